@@ -7,6 +7,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the contracts define it; bytes.split() without arguments splits on exactly these.
 WS = r"[\x20\x09-\x0D]+"
@@ -46,9 +47,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def small(df: DataFrame, limit_rows: int) -> bool:
-    """Whether df has at most limit_rows rows; reads no more than that many and one."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+def hash_sample(df: DataFrame, n: int, key: str = "doc_id", by: str | None = None) -> DataFrame:
+    """About n rows (all, if fewer) by a hash of the key, or about n of each value of by: a filter, so that no task and
+    not the driver gathers more. The key should differ between copies, so that one much-copied row is not all or nothing."""
+    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    if by is None:
+        most = [(F.lit(True), df.count())]
+    else:
+        most = [(F.col(by).eqNullSafe(F.lit(r[by])), r["n"]) for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()]
+    keep = F.lit(False)
+    for own, rows in most:
+        keep = keep | (own & (cell < int((1 << 30) * min(1.0, n / max(1, rows)))))
+    return df.where(keep)
 
 
 def chunks_of(batches, column: str, most_bytes: int = 2_000_000):

@@ -75,8 +75,9 @@ def classify(docs: DataFrame, index: DigestIndex | None = None, buckets: int = 6
     index = index or DigestIndex(spark, scratch(spark, "digest-index"), buckets)
     digested = materialise(docs.select(F.col("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
     index.absorb(digested)
-    # A hot digest makes the left side uneven; both sides are exchanged, so adaptive execution splits it.
-    grouped = index.read().repartition("digest")
+    # A hot digest makes the left side uneven. Both sides are written tables and exchanged for this join alone, so
+    # adaptive execution splits it.
+    grouped = materialise(index.read(), "digest-groups")
     return digested.join(grouped, "digest", "left").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),

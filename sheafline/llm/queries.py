@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, secrets, topk
+from . import exact_dedup, html_text, langid, mixing, near_dedup, pieces, secrets, topk, toxicity
 
 #: Folder of the public tokenizers; another one can be named in the environment.
 TOKENIZERS = os.environ.get("SHEAFLINE_TOKENIZERS", "/opt/tokenizers")
@@ -33,11 +33,39 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"), near_dedup.NearSpec(words=4))
+
+
+def tox_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled rows outside the held-out fold."""
+    marks = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").where(langid.fold(F.col("doc_id"), 5) != 0).join(marks, "doc_id").select("doc_id", "text", "toxic")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(tox_labels(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model, ("doc_id",))
+    return out.select("doc_id", (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.spelled(F.col("base_spans")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    crf = langid.train(docs.where(langid.fold(F.col("doc_id"), 4) != 2))
+    out = langid.predict(docs, crf, ("doc_id",))
+    return out.select("doc_id", (langid.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, PIECE_MODEL, check="round_trip")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, hash_sample, materialise
 
 # The patterns of the base spans.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,7 +32,7 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=.-"
 
 @dataclass(frozen=True)
 class SecretSpec:
-    """min_token: shortest token judged. threshold: least mean log ratio. train_docs: most documents whose words are the
+    """min_token: shortest token judged. threshold: least mean log ratio. train_docs: about how many documents' words are the
     sample of ordinary identifiers (ordinary_length letters or more); random strings come from all base matches."""
 
     min_token: int = 20
@@ -118,7 +118,7 @@ def score(token: Column, ratios: list[float]) -> Column:
 def samples_of(docs: DataFrame, found: DataFrame, spec: SecretSpec) -> DataFrame:
     """Labelled samples from the texts themselves: values of base matches are random strings, words of letters ordinary."""
     random = found.where("ok AND kind < 3").select(F.col("val").alias("token")).distinct().withColumn("label", F.lit(1))
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(spec.train_docs)
+    texts = hash_sample(docs.select("doc_id", "text"), spec.train_docs)
     words = texts.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("token"))
     ordinary = words.where(F.col("token").rlike(f"^[A-Za-z]{{{spec.ordinary_length},}}$")).distinct().withColumn("label", F.lit(0))
     return random.unionByName(ordinary)
