@@ -40,7 +40,7 @@ class TopKSpec:
     scale: float = 64.0
     slices: int = 2
     query_block: int = 1024
-    candidate_block: int = 4096
+    candidate_block: int = 8192
 
 
 def quantised(vectors: DataFrame, scale: float, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -128,33 +128,44 @@ def top_k(vectors: DataFrame, is_query: Column, spec: TopKSpec | None = None) ->
                 part = _slices(r["dim"], m)[r["node"]]
                 q, c = _matrix(r["qvs"], r["dim"])[:, part].astype(np.float64), _matrix(r["vs"], r["dim"])[:, part].T.astype(np.float64)
                 qid, cid, t = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64), np.array(r["ts"], np.float64)
-                for a in range(0, len(q), 256):  # bounds the matrix and the rows sent at once
+                out = []
+                for a in range(0, len(q), 256):  # bounds the matrix
                     s = q[a : a + 256] @ c
                     i, j = np.nonzero((s * m >= t[a : a + 256, None]) & (qid[a : a + 256, None] != cid[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["qb"])), pa.array(np.full(len(i), r["cb"])), pa.array((i + a).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), r["node"], np.int32)), pa.array(s[i, j].astype(np.int64))], ["qb", "cb", "i", "j", "node", "s"])
-
-    sent = grid.join(packed, "qb").mapInArrow(collect, "qb long, cb long, i int, j int, node int, s long")
-    pairs = sent.groupBy("qb", "cb", "i", "j").agg(F.sum("s").alias("s"), F.expr("bit_or(shiftleft(1, node))").alias("seen"))
-    # What a cell lacks is resolved where both blocks are at hand; a cell's list is bounded by the two block sizes.
-    listed = pairs.groupBy("qb", "cb").agg(F.collect_list(F.struct("i", "j", "s", "seen")).alias("ps"))
+                    out.append(((i + a).astype(np.int64) * len(cid) + j, s[i, j].astype(np.int64)))
+                at, s = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([r["qb"]], pa.int64()), pa.array([r["cb"]], pa.int64()), pa.array([r["node"]], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], ["qb", "cb", "node", "at", "s"])
+
+    # A node's entries for a cell travel as one row: places (query row * block size + candidate row) and partial products.
+    sent = grid.join(packed, "qb").mapInArrow(collect, "qb long, cb long, node int, at binary, s binary")
+    listed = sent.groupBy("qb", "cb").agg(F.sort_array(F.collect_list(F.struct("node", "at", "s"))).alias("lists"))
+    # What a cell lacks is resolved where both blocks are at hand; a cell's lists are bounded by the two block sizes.
     final = listed.join(cand, "cb").join(query, "qb")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in range(batch.num_rows):
-                row = batch.slice(x, 1)
-                get = {n: row.column(row.schema.get_field_index(n)) for n in ("dim", "qvs", "vs", "qids", "ids", "ps")}
-                dim = get["dim"][0].as_py()
-                q, c = _matrix(get["qvs"][0].as_py(), dim), _matrix(get["vs"][0].as_py(), dim)
-                qid, cid = np.frombuffer(get["qids"][0].as_py(), np.int64), np.frombuffer(get["ids"][0].as_py(), np.int64)
-                ps = get["ps"].flatten()
-                i, j, s, seen = (ps.field(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "s", "seen"))
-                s = s.astype(np.int64).copy()
+            for r in (batch.slice(x, 1).to_pylist()[0] for x in range(batch.num_rows)):
+                dim = r["dim"]
+                q, c = _matrix(r["qvs"], dim), _matrix(r["vs"], dim)
+                qid, cid = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                lists = {x["node"]: (np.frombuffer(x["at"], np.int64), np.frombuffer(x["s"], np.int64)) for x in r["lists"]}
+                at = np.unique(np.concatenate([a for a, _ in lists.values()]))
+                i, j, s = at // len(cid), at % len(cid), np.zeros(len(at), np.int64)
                 for node, part in enumerate(_slices(dim, m)):
-                    lack = np.nonzero(~((seen >> node) & 1).astype(bool))[0]
+                    lack = np.ones(len(at), bool)
+                    if node in lists:
+                        have = np.searchsorted(at, lists[node][0])
+                        s[have] += lists[node][1]
+                        lack[have] = False
+                    lack = np.nonzero(lack)[0]
                     for a in range(0, len(lack), 65536):
-                        at = lack[a : a + 65536]
-                        s[at] += np.einsum("ij,ij->i", q[i[at]][:, part].astype(np.int64), c[j[at]][:, part].astype(np.int64))
+                        x = lack[a : a + 65536]
+                        s[x] += np.einsum("ij,ij->i", q[i[x]][:, part].astype(np.int64), c[j[x]][:, part].astype(np.int64))
+                # The k best of a query in this cell are enough.
+                order = np.lexsort((cid[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, s = (x[place < k] for x in (i, j, s))
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(cid[j]), pa.array(s)], ["query_id", "vec_id", "score"])
 
     exact = final.mapInArrow(resolve, "query_id long, vec_id long, score long")
