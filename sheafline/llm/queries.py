@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, mixing, near_dedup, pieces, secrets, topk, toxicity
+from . import exact_dedup, html_text, langid, mixing, near_dedup, pieces, repeats, secrets, topk, toxicity
 
 #: Folder of the public tokenizers; another one can be named in the environment.
 TOKENIZERS = os.environ.get("SHEAFLINE_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.spans_removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"), near_dedup.NearSpec(words=4))
 
