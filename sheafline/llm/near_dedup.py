@@ -34,7 +34,8 @@ from .common import chunks_of, materialise
 
 @dataclass(frozen=True)
 class NearSpec:
-    """words per shingle; similarity as a ratio of integers; permutations and values per band; rows per block."""
+    """words per shingle; similarity as a ratio of integers; permutations and values per band; rows per block; most
+    candidate ids that are broadcast."""
 
     words: int = 5
     similar: int = 80
@@ -42,6 +43,7 @@ class NearSpec:
     permutations: int = 64
     rows: int = 4
     block: int = 256
+    broadcast_ids: int = 2_000_000
 
 
 def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
@@ -174,7 +176,10 @@ def components(docs: DataFrame, spec: NearSpec | None = None) -> DataFrame:
     star = materialise(star, "stars")
     meant = star.select("x").union(star.select("z")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = materialise(texts.join(meant.withColumnRenamed("x", "id"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    meant = materialise(meant.withColumnRenamed("x", "id"), "candidate-ids")
+    # So many ids (8 bytes each) are sent to the texts; more are joined by an exchange of both.
+    held_ids = F.broadcast(meant) if meant.count() <= spec.broadcast_ids else meant
+    texts = materialise(texts.join(held_ids, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
     able = star.where(spec.of * F.least("n", "zn") >= spec.similar * F.greatest("n", "zn")).select("z", "x")
     pairs = able.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("id").alias("z"), F.col("text").alias("z_text")), "z")
     edges = materialise(linked_pairs(pairs, spec).select(F.col("z").alias("a"), F.col("x").alias("b")), "links")
