@@ -43,7 +43,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tox_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows outside the held-out fold."""
-    marks = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # Up to so many labels (16 bytes each) are sent to the texts; more are joined by an exchange of both.
+    if labels.count() <= 2_000_000:
+        marks = F.broadcast(marks)
     return docs.select("doc_id", "text").where(langid.fold(F.col("doc_id"), 5) != 0).join(marks, "doc_id").select("doc_id", "text", "toxic")
 
 

@@ -1,7 +1,6 @@
 """Toxicity of texts: a lexicon with misspellings, weighed by what stands around each hit.
 
-1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all labelled texts, distinct texts counting
-   once, and words of toxic texts by how many different words stand before them: a word of one text that is copied with
+1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all labelled texts, and strong words by how many different words stand before them: a word of one text that is copied with
    small changes has many texts but one neighbour, and stays out. Terms weigh their log ratio. Heads enter if several
    strong words begin with them.
 2. Spelling. The lexicon is a trie. Levenshtein automata of its terms run over the trie together: a state is a set of
@@ -200,17 +199,29 @@ def features(lexicon: Lexicon, text: str | None, window: int = 6, memo: dict | N
     return [*map(math.log1p, out), math.log1p(len({k for _, _, k in hits})), math.log1p(100.0 * total / len(low)), capitals, shouts]
 
 
+LETTERS = r"[\p{L}\p{N}]+"
+
+
+def _words(labelled: DataFrame) -> DataFrame:
+    return labelled.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("ws"))
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
-    """(word, pos, neg, before): distinct labelled texts by word; different words before it in the toxic ones."""
-    texts = labelled.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    texts = texts.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("ws"))
-    words = texts.select("toxic", F.explode(F.array_distinct("ws")).alias("word")).where(F.length("word") >= 3)
-    by_word = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    """(word, pos, neg): labelled texts by word. Texts stay where they are; words are counted before they are dealt."""
+    words = _words(labelled).select("toxic", F.explode(F.array_distinct("ws")).alias("word")).where(F.length("word") >= 3)
+    return words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+
+
+def words_before(labelled: DataFrame, words: list[str]) -> dict[str, int]:
+    """How many different words stand before each of these (a bounded list) in toxic texts."""
+    if not words:
+        return {}
     ws = F.col("ws")
     previous = F.concat(F.array(F.lit("")), F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))))
-    pairs = texts.where("toxic = 1").select(F.explode(F.array_distinct(F.zip_with(ws, previous, lambda w, p: F.struct(w.alias("word"), p.alias("p"))))).alias("x")).select("x.*")
-    before = pairs.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("before"))
-    return by_word.where("pos > 0 OR neg > 0").join(before, "word", "left")
+    pairs = _words(labelled.where("toxic = 1")).select(F.explode(F.zip_with(ws, previous, lambda w, p: F.struct(w.alias("word"), p.alias("p")))).alias("x")).select("x.*")
+    named = labelled.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    found = pairs.join(F.broadcast(named), "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in found.collect()}
 
 
 def _sample(labelled: DataFrame, most: int) -> dict[int, list[str]]:
@@ -223,20 +234,30 @@ def _sample(labelled: DataFrame, most: int) -> dict[int, list[str]]:
 def learn(labelled: DataFrame, spec: ToxSpec | None = None) -> ToxModel:
     """labelled: doc_id, text, toxic (0 or 1)."""
     spec = spec or ToxSpec()
-    labelled = materialise(labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "tox-labelled")
+    labelled = labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return ToxModel([], [-50.0] + [0.0] * len(FEATURES), [0.0] * len(FEATURES), [1.0] * len(FEATURES), spec.window)
     counts = materialise(term_counts(labelled), "word-counts")
     ratio = (F.col("pos") + 0.1) / n[1] / ((F.col("neg") + 0.5) / n[0])
-    strong = (F.col("pos") >= spec.min_hits) & (ratio >= spec.min_ratio) & (F.col("before") >= spec.min_before)
-    counts = counts.withColumns({"strong": F.coalesce(strong, F.lit(False)), "w": F.log(ratio)})
-    rows = counts.where("strong").orderBy(F.desc(F.col("pos") * F.col("w")), "word").limit(spec.terms).collect()
+    counts = counts.withColumn("w", F.log(ratio))
+    strong = counts.where((F.col("pos") >= spec.min_hits) & (ratio >= spec.min_ratio))
+    rows = strong.orderBy(F.desc(F.col("pos") * F.col("w")), "word").limit(4 * spec.terms).collect()
+    before = words_before(labelled, [r["word"] for r in rows])
+    rows = [r for r in rows if before.get(r["word"], 0) >= spec.min_before][: spec.terms]
     terms = [(r["word"], False, min(5.0, r["w"])) for r in rows]
-    heads = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.when(F.length("word") > k, F.substring(F.col("word"), F.lit(1), k)))).alias("head"), "pos", "neg", "strong").where("head IS NOT NULL")
-    heads = heads.groupBy("head").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if("strong").alias("members"))
-    heads = heads.withColumn("w", F.log(ratio)).where((F.col("members") >= spec.head_words) & (ratio >= spec.head_ratio))
-    found = [(r["head"], r["pos"], r["w"]) for r in heads.orderBy(F.desc(F.col("pos") * F.col("w")), "head").limit(4 * spec.heads).collect()]
+    members: dict[str, int] = {}
+    for term, _, _ in terms:
+        for k in range(4, min(8, len(term))):
+            members[term[:k]] = members.get(term[:k], 0) + 1
+    members = {h: m for h, m in members.items() if m >= spec.head_words}
+    found = []
+    if members:
+        named = labelled.sparkSession.createDataFrame([(h,) for h in members], "head string")
+        heads = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.when(F.length("word") > k, F.substring(F.col("word"), F.lit(1), k)))).alias("head"), "pos", "neg")
+        heads = heads.join(F.broadcast(named), "head").groupBy("head").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        found = [(r["head"], r["pos"], r["w"]) for r in heads.withColumn("w", F.log(ratio)).where(ratio >= spec.head_ratio).collect()]
+        found.sort(key=lambda x: (-x[1] * x[2], x[0]))
     longer = lambda h, p: any(o != h and o.startswith(h) and q >= 0.9 * p for o, q, _ in found)
     terms += [(h, True, min(5.0, w)) for h, p, w in found if not longer(h, p)][: spec.heads]
     sample = _sample(labelled, spec.fit_docs)
