@@ -1,8 +1,8 @@
 """Toxicity of texts: a lexicon with misspellings, weighed by what stands around each hit.
 
-1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all labelled texts, and strong words by how many different words stand before them: a word of one text that is copied with
-   small changes has many texts but one neighbour, and stays out. Terms weigh their log ratio. Heads enter if several
-   strong words begin with them.
+1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all labelled texts, and strong words by how
+   many different words stand before them: a word of one text that is copied with small changes has many texts but one
+   neighbour, and stays out. Terms weigh their log ratio. Heads enter if several strong words begin with them.
 2. Spelling. The lexicon is a trie. Levenshtein automata of its terms run over the trie together: a state is a set of
    (trie node, edits left), made when first met and kept. A word is fed letter by letter and most words reach the dead
    state after two or three. Terms of 5 letters may differ by one edit, of 9 by two; shorter ones by none. A head
