@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ascii_digits
+from .text import ascii_digits, let
 
 DECIMAL = "decimal(38,6)"
 
@@ -14,18 +14,27 @@ DECIMAL = "decimal(38,6)"
 def parse_money(text: Column, factor: Column | None = None) -> Column:
     """Amount of a cell, null if it has no number. A scale word in the cell replaces the table's factor."""
     factor = F.lit(1) if factor is None else factor
-    t = F.lower(F.trim(ascii_digits(text)))
-    negative = t.rlike(r"^\(.*\)$") | t.startswith("-")
-    bare = F.when(negative, F.regexp_replace(t, r"^[()\- ]+|[()\- ]+$", "")).otherwise(t)
-    scale, rest = factor.cast("decimal(20,0)"), bare
-    for word, value in reversed(fixed.SCALES):
-        hit = bare.contains(word)
-        scale = F.when(hit, F.lit(value).cast("decimal(20,0)")).otherwise(scale)
-        rest = F.when(hit, F.trim(F.replace(bare, F.lit(word), F.lit("")))).otherwise(rest)
-    plain = F.regexp_replace(rest, r"[₹$£€]|rs\.?|inr|[,/\-'\"\s]", "")
-    number = F.regexp_extract(plain, r"([-+]?\d+(?:\.\d+)?)", 1)
-    value = F.when(number != "", number).try_cast("decimal(18,6)")
-    return (F.when(negative, -F.abs(value)).otherwise(value) * scale).cast(DECIMAL)
+
+    def scaled(bare: Column) -> Column:
+        """(scale, rest): the factor of the first scale word contained and the text without the word."""
+        out = F.struct(factor.cast("decimal(20,0)").alias("scale"), bare.alias("rest"))
+        for word, value in reversed(fixed.SCALES):
+            own = F.struct(F.lit(value).cast("decimal(20,0)").alias("scale"), F.trim(F.replace(bare, F.lit(word), F.lit(""))).alias("rest"))
+            out = F.when(bare.contains(word), own).otherwise(out)
+        return out
+
+    def amount(t: Column) -> Column:
+        negative = t.rlike(r"^\(.*\)$") | t.startswith("-")
+        bare = F.when(negative, F.regexp_replace(t, r"^[()\- ]+|[()\- ]+$", "")).otherwise(t)
+
+        def value(x: Column) -> Column:
+            plain = F.regexp_replace(x["rest"], r"[₹$£€]|rs\.?|inr|[,/\-'\"\s]", "")
+            number = F.nullif(F.regexp_extract(plain, r"([-+]?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("decimal(18,6)")
+            return (F.when(negative, -F.abs(number)).otherwise(number) * x["scale"]).cast(DECIMAL)
+
+        return let(let(bare, scaled), value)
+
+    return let(F.lower(F.trim(ascii_digits(text))), amount)
 
 
 def scale_of(header: Column) -> tuple[Column, Column]:

@@ -10,6 +10,16 @@ from . import fixed
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(text: Column, pairs: list[tuple[str, str]], otherwise: Column | None = None) -> Column:
     """Name of the first pattern that occurs in text, without regard to case."""
     out = F.lit(None).cast("string") if otherwise is None else otherwise
@@ -138,8 +148,8 @@ def clamp(score: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"(?=(?:^|\n)\s*(?:\(\d+\)|\d+[.\-]\s*))"), F.trim), lambda s: s != "")
-    return F.when(F.trim(text) == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(F.trim(text))).otherwise(parts)
+    parts = F.filter(F.transform(F.split(text, r"(?=(?:^|\n)\s*(?:\(\d+\)|\d+[.\-]\s*))"), strip), lambda s: s != "")
+    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def packed(units: Column, size: int) -> Column:

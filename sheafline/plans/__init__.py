@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES, Query
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "filters", "grounding", "tables")
 
 
 def _load() -> None:

@@ -53,10 +53,10 @@ def dense_rank(spark, sf):
     return R.dense_rank(corpus(spark, sf), questions(spark, sf).drop("department")).withColumn("dense_sim", F.round("dense_sim", 6))
 
 
-@query("cosine", f"SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON q.query_id % 10 = c.id % 10 AND c.embedding IS NOT NULL")
+@query("cosine", f"SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON c.embedding IS NOT NULL")
 def cosine(spark, sf):
     q, c = questions(spark, sf).select("query_id", F.col("embedding").alias("qe")), corpus(spark, sf).where("embedding IS NOT NULL").select("id", "embedding")
-    return c.join(F.broadcast(q), F.col("query_id") % 10 == F.col("id") % 10).select("query_id", "id", F.round(R.cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
+    return c.crossJoin(F.broadcast(q)).select("query_id", "id", F.round(R.cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
 
 
 @query("sparse_match", f"SELECT q.query_id, c.id FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON contains(lower(c.text), q.query_text)")
@@ -75,10 +75,10 @@ def rrf_fusion(spark, sf):
     return R.fuse(R.dense_rank(corpus(spark, sf), q), R.sparse_rank(facts(spark, sf), q)).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("dense_sim", 6).alias("dense_sim"))
 
 
-@query("rrf_hydrate", f"SELECT f.query_id, f.place, f.id, c.department, c.year, left(c.text, 120) AS excerpt FROM {scored_sql(10)} f JOIN {CORPUS_SQL} c ON f.id = c.id")
+@query("rrf_hydrate", f"SELECT f.query_id, f.place, f.id, c.department, c.year, sha256(c.text) AS text_digest FROM {scored_sql(10)} f JOIN {CORPUS_SQL} c ON f.id = c.id")
 def rrf_hydrate(spark, sf):
     ids = found(spark, sf, 10).select("query_id", "place", "id")
-    return facts(spark, sf).join(ids, "id").select("query_id", "place", "id", "department", "year", F.substring("text", 1, 120).alias("excerpt"))
+    return facts(spark, sf).join(ids, "id").select("query_id", "place", "id", "department", "year", F.sha2("text", 256).alias("text_digest"))
 
 
 @query("topk", f"SELECT query_id, place, id FROM {scored_sql(5)}")
