@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES, Query
 
-MODULES = ("retrieval", "filters", "grounding", "tables")
+MODULES = ("retrieval", "filters", "grounding", "tables", "store")
 
 
 def _load() -> None:
