@@ -52,7 +52,7 @@ def or_blank(text: Column, least: int = 30) -> Column:
 
 
 def summary(text: Column, lines: int = 3, chars: int = 180) -> Column:
-    kept = F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: F.length(s) > 10), 1, lines)
+    kept = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 10), 1, lines)
     return F.array_join(F.transform(kept, lambda s: F.concat(F.lit("- **"), F.substring(s, 1, chars))), "\n")
 
 

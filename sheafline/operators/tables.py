@@ -100,7 +100,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     # Within an island a table starts at its first header line.
     own = Window.partitionBy("page", "island")
     x = x.withColumn("at", F.min(F.when(F.col("head"), F.col("i"))).over(own)).where("at IS NOT NULL AND (i = at OR i > at + 1)")
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), lambda s: F.trim(s))
     x = x.withColumn("cells", cells)
     x = x.withColumn("headers", F.min_by("cells", "i").over(own)).where("i > at")
     x = x.withColumn("r", F.row_number().over(Window.partitionBy("page", "island").orderBy("i")) - 1)

@@ -249,7 +249,7 @@ PACK_SQL = """WITH RECURSIVE u AS (SELECT doc_id, list_filter([trim(x) FOR x IN
 
 @query("clause_pack", PACK_SQL)
 def clause_pack(spark, sf):
-    units = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    units = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(X.packed(units, 500)).alias("k", "c"))
     return d.select("doc_id", (F.col("k") + 1).alias("k"), F.length("c").cast("long").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
