@@ -73,7 +73,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class PieceTransducer:
-    def __init__(self, raw: bytes, cache: int = 300_000):
+    def __init__(self, raw: bytes, cache: int = 120_000):
         self.names, self.scores, self.kinds = [], [], []
         self.model, self.byte_fallback, self.prefix, self.squeeze = UNIGRAM, False, True, True
         charsmap = b""
@@ -164,7 +164,7 @@ class PieceTransducer:
         known = self.fits.get((u, v))
         if known is not None:
             return known
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 250_000:
             self.fits.clear()
         r, left, until, boundary_first, ok = u, v, INF, False, True
         while True:

@@ -170,7 +170,7 @@ def features(lexicon: Lexicon, text: str | None, window: int = 6, memo: dict | N
         if w in memo:
             d = memo[w]
         else:
-            if len(memo) > 300_000:
+            if len(memo) > 80_000:
                 memo.clear()
             d = memo[w] = match(w)
         if d is not None:
