@@ -33,14 +33,15 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=.-"
 @dataclass(frozen=True)
 class SecretSpec:
     """min_token: shortest token judged. threshold: least mean log ratio. train_docs: about how many documents' words are the
-    sample of ordinary identifiers (ordinary_length letters or more); random strings come from all base matches."""
+    sample of ordinary identifiers (ordinary_length letters or more); random strings come from all base matches. prior: weight of single characters
+    against pairs; floor: count added to each character."""
 
     min_token: int = 20
     threshold: float = 0.7
     train_docs: int = 2000
     ordinary_length: int = 6
-    smooth_random: float = 1.0
-    smooth_ordinary: float = 0.2
+    prior: float = 10.0
+    floor: float = 0.1
 
 
 def _found(text: Column, gate: Column, pattern: str, kind: int, ok, value=None) -> Column:
@@ -92,13 +93,19 @@ def train(samples: DataFrame, spec: SecretSpec) -> list[float]:
     counts = {0: {}, 1: {}}
     for r in pair_counts(samples).collect():  # bounded by the alphabet, not by the input
         counts[int(r["label"])][int(r["pair"])] = int(r["n"])
-    size, out = len(ALPHABET), [0.0] * (128 * 128)
+    out = [0.0] * (128 * 128)
     if not counts[0] or not counts[1]:
         return out
-    first = {k: [sum(c.get(a * 128 + b, 0) for b in range(128)) for a in range(128)] for k, c in counts.items()}
-    for a in map(ord, ALPHABET):
-        for b in map(ord, ALPHABET):
-            p = {k: (counts[k].get(a * 128 + b, 0) + s) / (first[k][a] + s * size) for k, s in ((1, spec.smooth_random), (0, spec.smooth_ordinary))}
+    letters = list(map(ord, ALPHABET))
+    first = {k: {a: sum(c.get(a * 128 + b, 0) for b in letters) for a in letters} for k, c in counts.items()}
+    alone = {}
+    for k, c in counts.items():
+        n = {b: sum(c.get(a * 128 + b, 0) for a in letters) + spec.floor for b in letters}
+        alone[k] = {b: x / sum(n.values()) for b, x in n.items()}
+    for a in letters:
+        for b in letters:
+            # Pairs rest on single characters where they are rare, so a character that identifiers lack tells by itself.
+            p = {k: (c.get(a * 128 + b, 0) + spec.prior * alone[k][b]) / (first[k][a] + spec.prior) for k, c in counts.items()}
             out[a * 128 + b] = math.log(p[1] / p[0])
     return out
 
