@@ -31,7 +31,7 @@ def review_batch(log: DataFrame) -> DataFrame:
     return x.select("session", "seq", status_of(F.col("action")).alias("status"), "action")
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         pending, seq = state.get
         state.remove()
@@ -47,19 +47,26 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             out.append((key[0], int(r.seq), "grounded_synthesis" if r.action in APPROVING else "refusal_redirect", r.action))
             pending = False
     state.update((bool(pending), int(at)))
-    state.setTimeoutDuration(3_600_000)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     if out:
         yield pd.DataFrame(out, columns=["session", "seq", "status", "action"])
 
 
-def review_stream(log: DataFrame) -> DataFrame:
-    """The streaming form: session, seq, status, action as decisions arrive."""
-    return log.groupBy("session").applyInPandasWithState(_fold, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def review_stream(log: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """The streaming form: session, seq, status, action as decisions arrive. Without a time to live requests never expire
+    (a stream over finite input then ends by itself)."""
+
+    def fold(key, frames, state):
+        return _fold(key, frames, state, ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return log.groupBy("session").applyInPandasWithState(fold, OUTPUT, STATE, "append", timeout)
 
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """start, event_type, n, total per window of event time. Works on streams (late rows are dropped) and on tables."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # watermarks need a zone
     g = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
