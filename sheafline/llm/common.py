@@ -61,6 +61,14 @@ def hash_sample(df: DataFrame, n: int, key: str = "doc_id", by: str | None = Non
     return df.where(keep)
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows per Arrow batch where the session has the default of 10000: batches of whole texts otherwise take tens
+    of MB in the executor and again in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def chunks_of(batches, column: str, most_bytes: int = 2_000_000):
     """Slices of Arrow batches holding about most_bytes of the string column (one row at least)."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import chunks_of, materialise
+from .common import chunks_of, lean, materialise
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,7 @@ class NearSpec:
 
 def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
     """doc_id, n, k1, k2 (digest of the set), bands (null for empty sets): one row per row of docs."""
+    lean(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches, "text", 1_500_000):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import chunks_of
+from .common import chunks_of, lean
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -314,6 +314,7 @@ def _broadcast(spark: SparkSession, model_path: str):
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """docs with an array of piece ids; check: name of a boolean column, whether decoding gives the text back."""
+    lean(docs.sparkSession)
     model = _broadcast(docs.sparkSession, model_path)
     keep = [c for c in docs.columns if c not in (ids, check)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))

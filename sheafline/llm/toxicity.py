@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_of, hash_sample, materialise
+from .common import chunks_of, hash_sample, lean, materialise
 
 
 @dataclass(frozen=True)
@@ -299,6 +299,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: ToxModel, keep: tuple[str, ...] | None = None, column: str = "score") -> DataFrame:
     """keep (None: all columns) and the score of each row of docs."""
+    lean(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c != column]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(column, T.DoubleType())])
     own = docs.select(*[F.col(f"`{c}`") for c in names], *([] if "text" in names else ["text"]))
