@@ -73,7 +73,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class PieceTransducer:
-    def __init__(self, raw: bytes, cache: int = 120_000):
+    def __init__(self, raw: bytes, cache: int = 250_000):
         self.names, self.scores, self.kinds = [], [], []
         self.model, self.byte_fallback, self.prefix, self.squeeze = UNIGRAM, False, True, True
         charsmap = b""
