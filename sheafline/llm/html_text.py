@@ -8,7 +8,8 @@ links:
 
 with C characters, T tags, LC and LT those in links, LCb/Cb the share of links in the body; zero denominators count as 1.
 A node's sum adds the densities of its children; the node of the largest sum is the core. The least density on the path
-from the core to the body is the threshold: the core grows to a parent while all that the parent adds reaches it.
+from the core to the body is the threshold. The core grows to its parents; what stands beside it stays, headings and short
+sections too, unless it is mostly links and below the threshold.
 
 A page is one row and its tree one page's size; nothing is shared between pages, so tasks are independent.
 
@@ -199,13 +200,38 @@ def core(root: Node) -> Node | None:
     if semantic is not None:
         return semantic
     while top is not body and top.parent is not None and top.parent is not root:
-        added = [i for i in top.parent.items if isinstance(i, Node) and not i.noise and i is not top and i.c]
-        if any(i.density < threshold for i in added):
-            break
+        _leave_out(top.parent, top, threshold)
         top = top.parent
     return top
 
 
+def _leave_out(parent: Node, inner: Node, threshold: float) -> None:
+    """Take from a parent the blocks beside inner that are mostly links and less dense than the threshold. Text and inline
+    elements between two blocks count as one block, so that links within a sentence stay in it."""
+    kept: list = []
+    run: list = []
+
+    def end_run() -> None:
+        c = sum(sum(map(len, i.split())) if isinstance(i, str) else i.c for i in run)
+        lc = sum(i.lc for i in run if isinstance(i, Node))
+        t = sum(i.t + 1 for i in run if isinstance(i, Node))
+        if inner in run or 2 * lc <= c or c / max(t, 1) * math.log(c / lc) >= threshold:
+            kept.extend(run)
+        run.clear()
+
+    for i in parent.items:
+        if isinstance(i, Node) and i.noise:
+            continue
+        if isinstance(i, str) or i.tag not in BLOCK:
+            run.append(i)
+            continue
+        end_run()
+        if i is inner or 2 * i.lc <= i.c or i.density >= threshold:
+            kept.append(i)
+    end_run()
+    parent.items = kept
+
+
 def blocks(top: Node) -> list[str]:
     """Texts of the blocks under top, in page order, white space made single and trimmed."""
     out: list[str] = []

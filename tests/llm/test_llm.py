@@ -347,6 +347,19 @@ def test_pages_without_article_tag():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_pages_of_several_sections():
+    p = lambda k, n: f"<p>{f'word{k} ' * n}</p>"
+    wide, short = "".join(p(k, 55) for k in range(5)), "".join(p(k, 9) for k in range(5))
+    text = lambda *parts: "\n\n".join(" ".join(re.sub("<[^>]*>", " ", x).split()) for part in parts for x in re.split("(?<=</p>)", part) if x)
+    links = "<ul>" + "".join(f"<li><a href=/{k}>other story {k}</a></li>" for k in range(9)) + "</ul>"
+    page = f"<html><body><div class=post><h2>A</h2><div>{wide}</div><h2>B</h2><div>{wide}</div></div></body></html>"
+    assert html_text.main_text(page) == text("A", wide, "B", wide)
+    page = f"<html><body><h1>Title beside</h1><div>{wide}</div><section><h2>C</h2>{short}</section>{links}<div><a href=/a>Home</a> | <a href=/b>Contact us</a></div></body></html>"
+    assert html_text.main_text(page) == text("Title beside", wide, "C", short)
+    page = f"<html><body><a href=/a>Home</a> | <a href=/b>News</a><div><p>See <a href=/x>the linked page of that name</a> for <b>more</b> of it.</p>{short}</div></body></html>"
+    assert html_text.main_text(page) == text("See the linked page of that name for more of it.", short)
+
+
 def test_pages_odd(spark):
     rows = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r["text"] for r in html_text.extract(rows).collect()) == ["", "", "x"]
