@@ -9,7 +9,8 @@ links:
 with C characters, T tags, LC and LT those in links, LCb/Cb the share of links in the body; zero denominators count as 1.
 A node's sum adds the densities of its children; the node of the largest sum is the core. The least density on the path
 from the core to the body is the threshold. The core grows to its parents; what stands beside it stays, headings and short
-sections too, unless it is mostly links and below the threshold.
+sections too, unless it is mostly links and below the threshold. This decides on every page: an article or main element
+around the core that holds most of the text only says where growth ends.
 
 A page is one row and its tree one page's size; nothing is shared between pages, so tasks are independent.
 
@@ -48,6 +49,7 @@ CLOSES = {
 }
 P_CLOSERS = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend"}
 P_SCOPE = frozenset("html body table td th caption button object".split())
+CELLS = frozenset("li dt dd tr td th".split())
 # Words in class, id and role that mark what is not the article.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
@@ -196,10 +198,10 @@ def core(root: Node) -> Node | None:
             break
         x = x.parent
     threshold = min((p.density for p in path), default=0.0)
-    semantic = next((p for p in path if p.tag in ("article", "main")), None)
-    if semantic is not None:
-        return semantic
-    while top is not body and top.parent is not None and top.parent is not root:
+    # A hint after the densities: growth ends at an article or main that holds most of the text.
+    hints = [p for p in path if p.tag in ("article", "main") and 2 * (p.c - p.lc) > body.c - body.lc]
+    end = hints[-1] if hints else body
+    while top is not end and top.parent is not None and top.parent is not root:
         _leave_out(top.parent, top, threshold)
         top = top.parent
     return top
@@ -207,7 +209,8 @@ def core(root: Node) -> Node | None:
 
 def _leave_out(parent: Node, inner: Node, threshold: float) -> None:
     """Take from a parent the blocks beside inner that are mostly links and less dense than the threshold. Text and inline
-    elements between two blocks count as one block, so that links within a sentence stay in it."""
+    elements between two blocks count as one block, so that links within a sentence stay in it; cells of a table or list with
+one link stay."""
     kept: list = []
     run: list = []
 
@@ -226,7 +229,7 @@ def _leave_out(parent: Node, inner: Node, threshold: float) -> None:
             run.append(i)
             continue
         end_run()
-        if i is inner or 2 * i.lc <= i.c or i.density >= threshold:
+        if i is inner or 2 * i.lc <= i.c or i.density >= threshold or (i.tag in CELLS and i.lt <= 1):
             kept.append(i)
     end_run()
     parent.items = kept

@@ -347,6 +347,30 @@ def test_pages_without_article_tag():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_pages_with_article_tags_taken_off():
+    for h in table("pages").html:
+        want = html_text.main_text(h)
+        assert html_text.main_text(re.sub("</?article>", "", h)) == want
+        assert html_text.main_text(re.sub("(</?)article>", r"\1div>", h)) == want
+
+
+def test_density_decides_beside_article_tags():
+    p = "".join(f"<p>{f'word{k} ' * 50}</p>" for k in range(4))
+    page = f"<html><body><div><h2>A</h2>{p}</div><div><article><h2>B</h2>{p}<p>more</p></article></div><div><h2>C</h2>{p}</div></body></html>"
+    got = html_text.main_text(page)
+    assert [got.count(x) for x in ("A", "B", "C", "word3")] == [1, 1, 1, 150]
+    links = "<ul>" + "".join(f"<li><a href=/{k}>other story {k}</a></li>" for k in range(9)) + "</ul>"
+    got = html_text.main_text(f"<html><body><main><h1>T</h1><div>{p}</div>{links}</main><div>Copyright</div></body></html>")
+    assert got.startswith("T\n\nword0") and got.endswith("word3") and "story" not in got
+
+
+def test_linked_cells_beside_the_core_stay():
+    long = "a long cell of the table with many words " * 9
+    page = f"<body><table><tr><td><a href=/p>Paris</a></td><td>{long}<b>end</b></td></tr><tr><td><a href=/r>Rome</a></td><td>{long}</td></tr></table></body>"
+    got = html_text.main_text(page)
+    assert "Paris" in got and "Rome" in got and got.count("a long cell") == 18
+
+
 def test_pages_of_several_sections():
     p = lambda k, n: f"<p>{f'word{k} ' * n}</p>"
     wide, short = "".join(p(k, 55) for k in range(5)), "".join(p(k, 9) for k in range(5))
