@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a tree of nodes. Boilerplate by markup (scripts, styles, navigation, forms, elements whose class, id or
-role says advert, comment, ...) takes no part. For every node the composite density is characters per tag, adjusted by
+role says advert, comment, ...) takes no part; a class, id or role does not count where it would take the article with it
+(``_settle``). For every node the composite density is characters per tag, adjusted by
 links:
 
     d(x) = C/T * log(C/LC * T/LT) to the base ln(C/(C - LC) * LC + LCb/Cb * C + e)
@@ -22,6 +23,7 @@ semicolon are decoded where the standard does so. Repeated rows are extracted on
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -58,38 +60,115 @@ NOISE = frozenset(
     "menu footer masthead skip toolbar complementary contentinfo search".split()
 )
 HEADER_WORDS = frozenset("header site-header page-header topbar".split())
+# Words of NOISE that also name parts or states of a layout ("has-sidebar").
+LAYOUT = HEADER_WORDS | frozenset(
+    "banner cookie cookies consent gdpr notice notices alert popup modal overlay signup login sidebar sidebars widget widgets breadcrumb "
+    "breadcrumbs pagination pager nav navbar navigation menu footer masthead skip toolbar search".split()
+)
+#: How an element is marked: not, by a word of LAYOUT inside a name, by one that is a name or begins it, by another word of
+#: NOISE, by what it is.
+PLAIN, DOUBTFUL, NAMED, FOREIGN, FIRM = range(5)
 WORDS = re.compile(r"[a-z0-9]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "c", "t", "lc", "lt", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "noise", "c", "t", "lc", "lt", "density", "sum", "free", "out", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = PLAIN):
         self.tag, self.parent, self.items, self.noise = tag, parent, [], noise
+        self.free = self.out = 0
+        self.holds = False
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
 
 
-def _marked(tag: str, attrs: str, stack: list[Node]) -> bool:
-    """Whether an element is boilerplate by its name or attributes."""
+def _marked(tag: str, attrs: str, stack: list[Node]) -> int:
+    """Whether an element is boilerplate by its name or attributes, and how surely."""
     if tag in DROPPED:
-        return True
+        return FIRM
     inside = any(n.tag in ("article", "main") for n in stack)
     if tag == "header" and not inside:
-        return True
+        return FIRM
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return PLAIN
+    found = PLAIN
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return FIRM
         if name in ("class", "id", "role"):
-            words = set(WORDS.findall(value))
-            if words & NOISE or (not inside and (words & HEADER_WORDS or value == "banner")):
-                return True
-    return False
+            if value == "banner" and name == "role" and inside:
+                continue
+            noise = NOISE if inside else NOISE | HEADER_WORDS
+            for one in value.split():
+                for i, word in enumerate(WORDS.findall(one)):
+                    if word in noise:
+                        found = max(found, FOREIGN if word not in LAYOUT else DOUBTFUL if i else NAMED)
+    return found
+
+
+def _settle(root: Node) -> None:
+    """Take the marks by class, id or role from elements that hold the article: those around an article or main where no
+    other stands outside all marked elements (a FOREIGN one must have more text than stands unmarked); those with more
+    than half of the text outside links (nine tenths, unless DOUBTFUL); and, where marks would still take more than half of it, all DOUBTFUL ones that are not mostly links."""
+    nodes, todo, marked = [], [root], False
+    while todo:
+        x = todo.pop()
+        nodes.append(x)
+        marked = marked or x.noise != PLAIN
+        todo.extend(i for i in x.items if isinstance(i, Node) and i.noise != FIRM)
+    if not marked:
+        return
+    for x in reversed(nodes):
+        for i in x.items:
+            if isinstance(i, str):
+                n = sum(map(len, i.split()))
+                x.c, x.free, x.out = x.c + n, x.free + n, x.out + n
+            elif i.noise != FIRM:
+                x.c, x.free, x.holds = x.c + i.c, x.free + i.free, x.holds or i.holds or (i.tag in ("article", "main") and i.free > 0)
+                if i.noise == PLAIN:
+                    x.out += i.out
+        if x.tag == "a":
+            x.free = x.out = 0
+    waiting: list[tuple[int, int, int, bool, Node]] = []
+    left: list[Node] = []
+    semantic, plain, count = False, 0, 0
+
+    def enter(x: Node, inside: bool) -> None:
+        nonlocal semantic, plain, count
+        plain += x.out
+        todo = [(x, inside)]
+        while todo:
+            y, within = todo.pop()
+            if y.tag in ("article", "main"):
+                within = True
+                semantic = semantic or y.out > 0
+            for i in y.items:
+                if isinstance(i, Node) and i.noise != FIRM:
+                    if i.noise == PLAIN:
+                        todo.append((i, within))
+                    else:
+                        count += 1
+                        heapq.heappush(waiting, (i.noise, -i.free, count, within, i))
+
+    enter(root, False)
+    while waiting:
+        noise, _, _, inside, x = heapq.heappop(waiting)
+        most = 10 * x.free > (5 if noise == DOUBTFUL else 9) * root.free
+        around = x.holds and not semantic and (noise != FOREIGN or x.free > plain)
+        if around or (most and (inside or not semantic)):
+            x.noise = PLAIN
+            enter(x, inside)
+        else:
+            left.append(x)
+    if 2 * plain < root.free and not semantic:
+        for x in left:
+            if x.noise == DOUBTFUL and 2 * x.free > x.c:
+                x.noise = PLAIN
+    for x in nodes:
+        x.c = 0
 
 
 def parse(page: str) -> Node:
@@ -147,6 +226,7 @@ def parse(page: str) -> Node:
             at = n if end is None or close < 0 else close + 1
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
             stack.append(node)
+    _settle(root)
     return root
 
 

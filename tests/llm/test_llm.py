@@ -364,6 +364,30 @@ def test_density_decides_beside_article_tags():
     assert got.startswith("T\n\nword0") and got.endswith("word3") and "story" not in got
 
 
+WRAPPERS = ["<div class='content-sidebar-wrap'>", "<div id=page class='has-sidebar'>", "<div class='search-results'>", "<div class='page cookie-accepted'>", "<div class=search>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_named_like_noise_keep_the_article(wrapper):
+    body = "<h1>T</h1>" + "".join(f"<p>{f'word{k} ' * 40}</p>" for k in range(4))
+    want = html_text.main_text(f"<body>{body}</body>")
+    noise = "<div class=sidebar><p>side words</p></div><div class='comments'><article><p>a comment of some words</p></article></div>"
+    for tag in ("article", "main", "div"):
+        assert html_text.main_text(f"<html><body>{wrapper}<{tag}>{body}</{tag}>{noise}</div></body></html>") == want
+        assert html_text.main_text(f"<html><body><div class=sidebar><p>side words</p></div>{wrapper}{wrapper}<{tag}>{body}</{tag}></div></div></body></html>") == want
+    assert html_text.main_text(f"<html><body><main><h1>T</h1>{wrapper}{body[10:]}</div></main></body></html>") == want
+
+
+def test_marks_do_not_take_most_of_the_text():
+    p = lambda k: f"<p>{f'word{k} ' * 40}</p>" * 3
+    page = "<html><body>" + "".join(f"<div class='row with-sidebar'>{p(k)}</div>" for k in range(3)) + "</body></html>"
+    assert [html_text.main_text(page).count(f"word{k}") for k in range(3)] == [120] * 3
+    page = f"<html><body><article>{p(1)}</article><div id=comments>{p(2) * 3}</div><div class='left-sidebar'>{p(3) * 9}</div></body></html>"
+    assert html_text.main_text(page) == html_text.main_text(f"<body>{p(1)}</body>")
+    deep = "<div class=sidebar>" * 5000 + "deep" + "</div>" * 5000
+    assert html_text.main_text(deep) == "deep"
+
+
 def test_linked_cells_beside_the_core_stay():
     long = "a long cell of the table with many words " * 9
     page = f"<body><table><tr><td><a href=/p>Paris</a></td><td>{long}<b>end</b></td></tr><tr><td><a href=/r>Rome</a></td><td>{long}</td></tr></table></body>"
