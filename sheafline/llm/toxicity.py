@@ -1,8 +1,9 @@
 """Toxicity of texts: a lexicon with misspellings, weighed by what stands around each hit.
 
-1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all labelled texts, and strong words by how
-   many different words stand before them: a word of one text that is copied with small changes has many texts but one
-   neighbour, and stays out. Terms weigh their log ratio. Heads enter if several strong words begin with them.
+1. Lexicon. Words and word heads (4 to 7 letters) are counted by label over all different labelled texts, and strong words
+   by how many different words stand before them: a word of one text that is copied with small changes has many texts but
+   one neighbour, and stays out before terms are ranked. Terms weigh their log ratio. Heads enter if several strong words
+   begin with them.
 2. Spelling. The lexicon is a trie. Levenshtein automata of its terms run over the trie together: a state is a set of
    (trie node, edits left), made when first met and kept. A word is fed letter by letter and most words reach the dead
    state after two or three. Terms of 5 letters may differ by one edit, of 9 by two; shorter ones by none. A head
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks_of, hash_sample, lean, materialise
+from .exact_dedup import text_digest
 
 
 @dataclass(frozen=True)
@@ -203,25 +206,37 @@ LETTERS = r"[\p{L}\p{N}]+"
 
 
 def _words(labelled: DataFrame) -> DataFrame:
-    return labelled.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("ws"))
+    share = [F.col("share")] if "share" in labelled.columns else []
+    return labelled.select("toxic", *share, F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("ws"))
 
 
-def term_counts(labelled: DataFrame) -> DataFrame:
-    """(word, pos, neg): labelled texts by word. Texts stay where they are; words are counted before they are dealt."""
-    words = _words(labelled).select("toxic", F.explode(F.array_distinct("ws")).alias("word")).where(F.length("word") >= 3)
-    return words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+def shared(labelled: DataFrame, digests: DataFrame) -> DataFrame:
+    """labelled with share, 1 over the number of rows with that label and text, so that copies add up to one text."""
+    repeated = digests.where("n > 1")
+    # Up to so many (about 80 bytes each) are sent to the texts; more are joined by an exchange of both.
+    if repeated.count() <= 1_000_000:
+        repeated = F.broadcast(repeated)
+    joined = labelled.withColumn("digest", text_digest(F.col("text"))).join(repeated, ["toxic", "digest"], "left")
+    return joined.select("toxic", "text", (F.lit(1.0) / F.coalesce(F.col("n"), F.lit(1))).alias("share"))
 
 
-def words_before(labelled: DataFrame, words: list[str]) -> dict[str, int]:
-    """How many different words stand before each of these (a bounded list) in toxic texts."""
-    if not words:
-        return {}
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(word, pos, neg): different labelled texts by word. Texts stay where they are; words are counted before they are dealt."""
+    words = _words(texts).select("toxic", "share", F.explode(F.array_distinct("ws")).alias("word")).where(F.length("word") >= 3)
+    of = lambda k: F.round(F.sum(F.when(F.col("toxic") == k, F.col("share")).otherwise(F.lit(0.0)))).cast("long")
+    return words.groupBy("word").agg(of(1).alias("pos"), of(0).alias("neg"))
+
+
+def words_before(labelled: DataFrame, strong: DataFrame) -> DataFrame:
+    """(word, n): how many different words stand before each of the words of strong in toxic texts."""
     ws = F.col("ws")
     previous = F.concat(F.array(F.lit("")), F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))))
     pairs = _words(labelled.where("toxic = 1")).select(F.explode(F.zip_with(ws, previous, lambda w, p: F.struct(w.alias("word"), p.alias("p")))).alias("x")).select("x.*")
-    named = labelled.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    found = pairs.join(F.broadcast(named), "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in found.collect()}
+    named = strong.select("word")
+    # So many words are sent to the texts; more meet their pairs in an exchange.
+    if named.count() <= 200_000:
+        return pairs.join(F.broadcast(named), "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.distinct().join(named, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sample(labelled: DataFrame, most: int) -> dict[int, list[str]]:
@@ -235,16 +250,17 @@ def learn(labelled: DataFrame, spec: ToxSpec | None = None) -> ToxModel:
     """labelled: doc_id, text, toxic (0 or 1)."""
     spec = spec or ToxSpec()
     labelled = labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
+    digests = materialise(labelled.groupBy("toxic", text_digest(F.col("text")).alias("digest")).agg(F.count(F.lit(1)).alias("n")), "label-digests")
+    sizes = {r["toxic"]: r for r in digests.groupBy("toxic").agg(F.count(F.lit(1)).alias("texts")).collect()}
+    if 0 not in sizes or 1 not in sizes:
         return ToxModel([], [-50.0] + [0.0] * len(FEATURES), [0.0] * len(FEATURES), [1.0] * len(FEATURES), spec.window)
-    counts = materialise(term_counts(labelled), "word-counts")
-    ratio = (F.col("pos") + 0.1) / n[1] / ((F.col("neg") + 0.5) / n[0])
+    counts = materialise(term_counts(shared(labelled, digests)), "word-counts")
+    ratio = (F.col("pos") + 0.1) / sizes[1]["texts"] / ((F.col("neg") + 0.5) / sizes[0]["texts"])
     counts = counts.withColumn("w", F.log(ratio))
     strong = counts.where((F.col("pos") >= spec.min_hits) & (ratio >= spec.min_ratio))
-    rows = strong.orderBy(F.desc(F.col("pos") * F.col("w")), "word").limit(4 * spec.terms).collect()
-    before = words_before(labelled, [r["word"] for r in rows])
-    rows = [r for r in rows if before.get(r["word"], 0) >= spec.min_before][: spec.terms]
+    # Words of copied texts go before the ranking, so the limit leaves out the weakest terms only.
+    apart = words_before(labelled, strong).where(F.col("n") >= spec.min_before).select("word")
+    rows = strong.join(apart, "word").orderBy(F.desc(F.col("pos") * F.col("w")), "word").limit(spec.terms).collect()
     terms = [(r["word"], False, min(5.0, r["w"])) for r in rows]
     members: dict[str, int] = {}
     for term, _, _ in terms:
@@ -266,8 +282,10 @@ def learn(labelled: DataFrame, spec: ToxSpec | None = None) -> ToxModel:
     memo: dict = {}
     x = np.array([features(lexicon, t, spec.window, memo) for t in pos + neg])
     y = np.array([1.0] * len(pos) + [0.0] * len(neg))
-    # Each label's rows stand for all of that label.
-    w = np.where(y == 1, n[1] / max(1, y.sum()), n[0] / max(1, (1 - y).sum()))
+    # Each label's rows stand for all texts of that label, copies for one.
+    times = Counter(zip(y.tolist(), pos + neg, strict=True))
+    own = np.array([1 / times[k] for k in zip(y.tolist(), pos + neg, strict=True)])
+    w = own * np.where(y == 1, sizes[1]["texts"] / max(1, own @ y), sizes[0]["texts"] / max(1, own @ (1 - y)))
     return ToxModel(terms, *_regress(x, y, w / w.mean(), spec.l2), spec.window)
 
 

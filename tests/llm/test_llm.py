@@ -243,6 +243,21 @@ def test_toxicity_held_out(spark):
     assert (m.predicted == m.toxic).mean() >= 0.9
 
 
+def test_copied_texts_do_not_push_terms_out(spark):
+    rng = random.Random(6)
+    bad = [f"vile{c}{d}" for c in "abcdef" for d in "xyz"]
+    fill = lambda k: " ".join(f"plain{rng.randrange(400)}" for _ in range(k))
+    toxic = lambda: " ".join(f"{fill(2)} {w} {fill(1)}" for w in rng.sample(bad, 3))
+    long_text = " ".join(f"rare{k:05d}" for k in range(7000))
+    rows = [(i, toxic(), 1) for i in range(200)] + [(1000 + i, fill(12), 0) for i in range(200)]
+    rows += [(2000 + i, long_text, 1) for i in range(600)] + [(3000 + i, f"{long_text} {fill(1)}", 1) for i in range(60)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    whole = {t for t, head, _ in model.terms if not head}
+    assert whole == set(bad)
+    assert (toxicity.Scorer(model)([toxic() for _ in range(50)]) >= 0.5).all()
+    assert (toxicity.Scorer(model)([fill(12) for _ in range(50)]) < 0.5).all()
+
+
 def test_toxicity_odd(spark, odd, none):
     model = toxicity.learn(spark.createDataFrame([(i, "you scum " * 3 + f"w{i} scum" if i % 2 else f"fine text {i}", i % 2) for i in range(40)], "doc_id long, text string, toxic int"))
     out = toxicity.score(odd, model)
