@@ -6,7 +6,7 @@ shuffle), deduplicated by a sort-merge anti-join against the index and appended.
 there are appended as further rows with the keep_id on record, so reading sums n and takes the first keep_id.
 
 Cases. Null text counts as empty; all empty texts are equal. Rows that repeat a doc_id count in group_size and share its
-fate. A null doc_id is kept only if no row of the group has one. An empty table gives an empty result. Columns of the
+fate as far as their texts are equal; rows with one doc_id and different texts are different documents. A null doc_id is kept only if no row of the group has one. An empty table gives an empty result. Columns of the
 input other than doc_id and text are ignored by ``classify`` and returned unchanged by ``drop_copies``; names of its own
 that clash are avoided by working on a projection.
 """
@@ -87,6 +87,7 @@ def classify(docs: DataFrame, index: DigestIndex | None = None, buckets: int = 6
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without the rows whose text an earlier document (smaller doc_id) has; of repeated rows one stays."""
-    marked = classify(docs, index).where("kept").select("doc_id").distinct()
-    once = docs.join(marked.withColumnRenamed("doc_id", "__keep_id"), F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    marked = classify(docs, index).where("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_digest")).distinct()
+    own = docs.withColumn("__digest", text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest"))
+    return own.join(marked, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

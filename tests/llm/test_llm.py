@@ -65,6 +65,12 @@ def test_exact_odd(odd, none):
     assert sorted(r["doc_id"] or 0 for r in exact_dedup.drop_copies(odd).collect()) == [0, 1, 3, 4, 6, 8]
 
 
+def test_exact_keeps_documents_whose_id_is_null_or_repeats(spark):
+    rows = [(None, "first"), (None, "second"), (None, "copy of one"), (1, "copy  of one"), (2, "a"), (2, "b"), (2, "b"), (3, "a"), (None, "first")]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == [(0, "first"), (0, "second"), (1, "copy  of one"), (2, "a"), (2, "b")]
+
+
 # 2 repeats
 
 
