@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_sample, materialise
+from .common import hash_sample, materialise
 
 # The patterns of the base spans.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,13 +28,15 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_letters + string.digits + "+/_=.-"
+TOKEN = "[A-Za-z0-9+/_=.-]"
 
 
 @dataclass(frozen=True)
 class SecretSpec:
-    """min_token: shortest token judged. threshold: least mean log ratio. train_docs: about how many documents' words are the
-    sample of ordinary identifiers (ordinary_length letters or more); random strings come from all base matches. prior: weight of single characters
-    against pairs; floor: count added to each character."""
+    """min_token: shortest token judged. threshold: least mean log ratio. train_docs: about how many documents' strings
+    of token characters are the sample of ordinary identifiers (ordinary_length characters or more); random strings come from all base matches.
+    prior: weight of single characters against pairs; floor: count added to each character in the smaller sample, in the
+    other in proportion, so that a character neither holds weighs 0."""
 
     min_token: int = 20
     threshold: float = 0.7
@@ -65,15 +67,14 @@ def candidates(docs: DataFrame, spec: SecretSpec) -> DataFrame:
     x = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     t, low = F.col("t"), F.lower("t")
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
-    token = "[" + ALPHABET.replace(string.ascii_letters + string.digits, "A-Za-z0-9") + "]"
     # A run of so many token characters holds every access key and hex string that counts, so one test serves all three.
     shortest = min(spec.min_token, 20)
-    x = x.withColumn("long", t.rlike(f"{token}{{{shortest}}}"))
+    x = x.withColumn("long", t.rlike(f"{TOKEN}{{{shortest}}}"))
     every = F.concat(
         _found(t, named, ASSIGN, 0, lambda m, v: F.length(v) >= 6, 2),
         _found(t, F.col("long") & t.contains("AKIA"), ACCESS, 1, lambda m, v: F.length(m) >= 20),
         _found(t, F.col("long") & t.rlike("[0-9a-f]{24}"), "[0-9a-f]{24,}", 2, lambda m, v: F.lit(True)),
-        _found(t, F.col("long"), f"{token}{{{spec.min_token},}}", 3, lambda m, v: F.lit(True)),
+        _found(t, F.col("long"), f"{TOKEN}{{{spec.min_token},}}", 3, lambda m, v: F.lit(True)),
     )
     x = x.select("__row", "doc_id", F.explode_outer(every).alias("c")).select("__row", "doc_id", "c.*").repartition("__row")
     end = F.sum(F.col("gap").cast("long") + F.col("len")).over(Window.partitionBy("__row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -99,8 +100,10 @@ def train(samples: DataFrame, spec: SecretSpec) -> list[float]:
     letters = list(map(ord, ALPHABET))
     first = {k: {a: sum(c.get(a * 128 + b, 0) for b in letters) for a in letters} for k, c in counts.items()}
     alone = {}
+    sizes = {k: max(1, sum(first[k].values())) for k in counts}
     for k, c in counts.items():
-        n = {b: sum(c.get(a * 128 + b, 0) for a in letters) + spec.floor for b in letters}
+        floor = spec.floor * sizes[k] / min(sizes.values())
+        n = {b: sum(c.get(a * 128 + b, 0) for a in letters) + floor for b in letters}
         alone[k] = {b: x / sum(n.values()) for b, x in n.items()}
     for a in letters:
         for b in letters:
@@ -123,11 +126,19 @@ def score(token: Column, ratios: list[float]) -> Column:
 
 
 def samples_of(docs: DataFrame, found: DataFrame, spec: SecretSpec) -> DataFrame:
-    """Labelled samples from the texts themselves: values of base matches are random strings, words of letters ordinary."""
+    """Labelled samples from the texts themselves: values of base matches are random strings, all other
+    strings of token characters ordinary, the long ones unless they score as random beside the short ones."""
     random = found.where("ok AND kind < 3").select(F.col("val").alias("token")).distinct().withColumn("label", F.lit(1))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for pattern in (ASSIGN, f"{ACCESS[:-1]}{{16,}}", "[0-9a-f]{24,}"):
+        text = F.regexp_replace(text, pattern, " ")
+    tokens = F.regexp_extract_all(text, F.lit(f"{TOKEN}{{{spec.ordinary_length},}}"), F.lit(0))
     texts = hash_sample(docs.select("doc_id", "text"), spec.train_docs)
-    words = texts.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("token"))
-    ordinary = words.where(F.col("token").rlike(f"^[A-Za-z]{{{spec.ordinary_length},}}$")).distinct().withColumn("label", F.lit(0))
+    ordinary = materialise(texts.select(F.explode(tokens).alias("token")).distinct().withColumn("label", F.lit(0)), "ordinary-strings")
+    # Long ones may be the secrets that are sought: they are admitted by a model of the short ones.
+    long = F.length("token") >= spec.min_token
+    first = train(random.unionByName(ordinary.where(~long)), spec)
+    ordinary = ordinary.where(~long | (score(F.col("token"), first) < spec.threshold))
     return random.unionByName(ordinary)
 
 

@@ -306,6 +306,22 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert sum((r["n"] == 1) == (r["doc_id"] % 2 == 1) for r in got) >= 195
 
 
+def test_samples_of_the_texts_know_rules_paths_names_and_dates(spark):
+    rng = random.Random(8)
+    words = [w for w in " ".join(table("documents").text.head(60)).split() if re.fullmatch("[A-Za-z]{3,9}", w)]
+    rand = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    say = lambda: " ".join(rng.choices(words, k=60))
+    date = lambda: f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}"
+    low = lambda k: [w.lower() for w in rng.choices(words, k=k)]
+    plain = [lambda: "_".join(low(5)), lambda: "/usr/" + "/".join(low(5)), lambda: f"{date()}_{date()}.log", lambda: f"/{'/'.join(low(3))}-{rng.randrange(10)}.{rng.randrange(30)}.{rng.randrange(9)}.jar"]
+    rows = [(i, f"{say()} {plain[i % 4]()} {say()} token={rand(24)} {say()} {date()}") for i in range(400)]
+    rows += [(1000 + i, f"{say()} {c * 40} {say()}") for i, c in enumerate("-=_.+/")] + [(2000 + i, f"{say()} {rand(32)} {say()}") for i in range(60)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.expr("size(filter(spans, s -> s.k = 3))").alias("n")).collect()
+    assert sum(r["n"] > 0 for r in got if 1000 <= r["doc_id"] < 2000) == 0
+    assert sum(r["n"] > 0 for r in got if r["doc_id"] < 1000) <= 8
+    assert sum(r["n"] > 0 for r in got if r["doc_id"] >= 2000) >= 57
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan(odd).collect()
     assert len(got) == 10 and sum(r["n_assign"] for r in got) == 1
