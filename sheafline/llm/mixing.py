@@ -96,11 +96,17 @@ def budgets(leaves: DataFrame, spec: MixSpec) -> DataFrame:
     total = leaves.agg(F.sum("__tokens").cast("double").alias("__all"))
     want = F.lit(float(spec.budget_tokens)) if spec.budget_tokens is not None else F.col("__all") * spec.budget_share
     up = total.select(F.coalesce(want, F.lit(0.0)).alias("__parent_b"), F.lit(0).alias("__root"))
-    for level in range(len(LEVELS)):
+    # Capacities from the leaves up: a child of weight 0 takes nothing, so it gives its parent no capacity.
+    levels = []
+    for level in reversed(range(len(LEVELS))):
+        own = names[: level + 1]
+        nodes = _weights(capped.groupBy(*own).agg(F.sum("__cap").alias("__cap")), level, spec)
+        capped = nodes.withColumn("__cap", F.when(F.col("__w") > 0, F.col("__cap")).otherwise(F.lit(0.0)))
+        levels.insert(0, capped.withColumn("__root", F.lit(0)))
+    for level, nodes in enumerate(levels):
         own = names[: level + 1]
-        nodes = capped.groupBy(*own).agg(F.sum("__cap").alias("__cap")).withColumn("__root", F.lit(0))
         parent = own[:-1] or ["__root"]
-        nodes = _weights(nodes.join(up, parent), level, spec)
+        nodes = nodes.join(up, parent)
         filled = _fill(nodes, parent)
         up = filled.select(*own, F.col("__b").alias("__parent_b"))
     return leaves.join(up.select(*names, F.floor(F.col("__parent_b") + 1e-6).cast("long").alias("__b")), names)

@@ -573,6 +573,14 @@ def test_mix_matches_brute_force(spark, share):
     assert got == brute_mix(rows, spec)
 
 
+def test_weightless_child_leaves_its_share_to_others(spark):
+    rows = [(i, "a b c d e f g h i j", *leaf) for i, leaf in enumerate([("g0", "en", "s")] * 10 + [("g0", "de", "s")] + [("g1", "en", "s")] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, lang string, source string")
+    spec = mixing.MixSpec(weights={("g0", "en"): 0.0}, budget_tokens=100, max_epochs=1)
+    got = {(r["domain"], r["lang"]): r["leaf_budget"] for r in mixing.plan_mix(df, F.col("d"), spec).collect()}
+    assert got == {("g0", "en"): 0, ("g0", "de"): 10, ("g1", "en"): 90}
+
+
 def test_mix_odd(odd, none):
     spec = mixing.MixSpec(budget_share=1.0, max_epochs=3)
     got = mixing.plan_mix(odd, F.lit(None), spec).collect()
