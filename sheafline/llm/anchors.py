@@ -81,3 +81,23 @@ def stretches(texts: list[bytes], length: int, k: int) -> Stretches:
         z = np.zeros(0, np.int64)
         return Stretches(z, z, z, z, z.astype(np.uint64), z.astype(np.uint64))
     return Stretches(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def window_prints(raw: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of count windows of length bytes from each place of raw."""
+    size = count + length - 1
+    head = np.cumsum(size) - size
+    parts, a = [], 0
+    while a < len(at):  # about a million bytes at a time
+        z = max(a + 1, int(np.searchsorted(head, head[a] + MOST, side="right")) - 1) if head[-1] - head[a] > MOST else len(at)
+        n = size[a:z]
+        own = np.cumsum(n) - n
+        picked = raw[np.arange(int(n.sum())) - np.repeat(own, n) + np.repeat(at[a:z], n)]
+        up, down = powers(_P, len(picked)), powers(_P_INV, len(picked))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(picked) + 1, np.uint64)
+            np.cumsum(_BYTE[picked] * up, out=total[1:])
+            first = np.arange(int(count[a:z].sum())) - np.repeat(np.cumsum(count[a:z]) - count[a:z], count[a:z]) + np.repeat(own, count[a:z])
+            parts.append(mix64((total[first + length] - total[first]) * down[first]))
+        a = z
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)

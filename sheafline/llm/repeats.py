@@ -1,25 +1,27 @@
 """Removal of long byte strings that occur earlier, by merging Burrows-Wheeler transforms of shards.
 
 Candidates. Anchors (see ``anchors``) name, for every window of ``length`` bytes, a k-gram in it; only windows with the
-same anchor can be equal. Stretches whose anchor and whole context are equal are decided on their fingerprints (two 64-bit
-hashes; each map task first drops those it sees twice itself). What is left is where repeats begin and end: contexts with a
-common anchor but different surroundings. Their bytes are fetched and gathered by anchor.
-
-Decision. A gathered bucket is a string collection in which the anchor is one letter. It is cut into shards by document,
-each shard's Burrows-Wheeler transform is built on its own, and the transforms are merged by iterative interleave
-refinement: the interleave after h rounds orders all suffixes by their first h letters, each round is one stable partition
-by the transforms' letters, and the round in which a border between neighbours appears is their common prefix plus one.
-No suffix of the union is sorted again. Borders missing after length - k + 1 rounds are the repeated intervals; in each,
-the window with the smallest (doc_id, start) stays and the others are marked.
-
-A byte is removed if a marked window covers it. Every step is a map or a group of bounded size: buckets are set by the
-amount of text, contexts of equal content are collapsed before they meet, and texts are dealt by document.
+same anchor can be equal. Fingerprints (64 bits) of the contexts of anchors choose the text that is compared: contexts
+met twice, and, where an anchor has several contexts, single windows met twice. Fingerprints remove nothing.
+
+Units. What has one fingerprint is compared with its first occurrence (smallest doc_id, then start), in units of some
+eight other documents and 128 kB of the first's text, so a passage of any number of documents makes many small units. Map
+tasks compare what they meet twice themselves and send the first only, so a fingerprint has one row per map task; contexts
+of an anchor that has many in one task are dealt by window, not by anchor. No unit or bucket grows with a hot key.
+
+Decision. A unit's texts are strings over letters of up to ten bytes (one string for each offset, so every window is a
+suffix). They are cut into shards, each shard's Burrows-Wheeler transform is built on its own, and the transforms are
+merged by iterative interleave refinement: the interleave after h rounds orders all suffixes by their first h letters,
+each round is one stable partition by the transforms' letters, and the round in which a border between neighbours appears
+is their common prefix plus one. No suffix of the union is sorted again. Suffixes without a border between them after
+length bytes are the repeated intervals; in each the window with the smallest (doc_id, start) stays and the others are
+marked. Every mark comes from a merged interval. A byte is removed if a marked window covers it.
 
 Cases. Null text counts as empty. Texts shorter than length lose nothing. Windows never cross documents; overlapping
 repeats within one document count. Rows that repeat a doc_id count as one document with the least of their texts; each
 row gets its result. Rows with a null doc_id take no part and are returned whole. An empty table gives an empty result.
-Columns other than doc_id and text are ignored by ``spans_removed``. Fingerprints are 64 bits each for anchor and context,
-so equal contexts are wrongly assumed with a probability below 10^-20 a pair.
+Columns other than doc_id and text are ignored by ``spans_removed``. Equal windows always have equal fingerprints, so a
+collision costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -31,89 +33,221 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import _BYTE, _P, _P_INV, powers, stretches
-from .common import materialise
+from .anchors import stretches, window_prints
+from .common import discard, materialise
 from .shingles import mix64
 
 
 @dataclass(frozen=True)
 class RepeatSpec:
+    """length of a repeat; k: bytes of an anchor; shards of a merge; bytes of text per bucket, map step and hashing step;
+    documents and bytes of the first occurrence per unit; letters per merge; contexts of one anchor in a map step from
+    which its windows are dealt one by one."""
+
     length: int = 100
     k: int = 56
     shards: int = 4
     bucket_bytes: int = 8 << 20
     map_bytes: int = 16 << 20
     batch_bytes: int = 1 << 20
+    unit_docs: int = 8
+    unit_bytes: int = 1 << 17
+    merge_letters: int = 1 << 21
+    hot: int = 8
 
 
 # -- merging transforms
 
-
-def transform(strings: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transform of a collection: the letter before each suffix in order of at least depth letters, and the suffix's
-    string and start. Letters are positive 16-bit numbers; 0 ends a string and stands before its first letter."""
-    size = np.array(list(map(len, strings)), np.int64)
-    grid = np.zeros((len(strings), int(size.max(initial=0)) + 1 + depth), ">u2")
-    for i, s in enumerate(strings):
-        grid[i, : len(s)] = s
-    who = np.repeat(np.arange(len(strings)), size + 1)
-    start = np.arange(len(who)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    heads = np.ascontiguousarray(sliding_window_view(grid, depth, axis=1)[who, start]).view(f"S{2 * depth}").ravel()
-    order = np.argsort(heads, kind="stable")
-    who, start = who[order], start[order]
-    before = np.where(start > 0, grid[who, np.maximum(start - 1, 0)], 0).astype(np.uint16)
-    return before, who, start
-
-
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the transforms after depth rounds, and common prefixes of neighbours (depth where no border is).
-
-    interleave[i] is the place, in the transforms laid end to end, of the i-th suffix of the merged order.
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def _order(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (major, minor) and the dense rank, from 0, of each element."""
+    key = (major.astype(np.uint64) << np.uint64(32)) | minor.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    return order, rank
+
+
+def letters_of(raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of strings laid end to end, size + 1 each: (string, place in it, letter). The letter of a place is the rank,
+    from 1, of the width bytes there; 0 where fewer are left, which ends one of the string's width offsets."""
+    who = np.repeat(np.arange(len(size)), size + 1)
+    place = _ranges(np.zeros(len(size), np.int64), size + 1)
+    left = size[who] - place
+    whole = np.nonzero(left >= width)[0]
+    head = (np.cumsum(size) - size)[who[whole]] + place[whole]
+    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
+    rank = np.zeros(len(whole), np.int64)
+    for a in range(0, width, 4):  # four bytes at a time behind the rank so far
+        word = np.zeros(len(whole), np.uint32)
+        for i in range(a, min(a + 4, width)):
+            word = (word << np.uint32(8)) | padded[head + i]
+        if a == 0 and width <= 4:
+            _, rank = np.unique(word, return_inverse=True)
+        elif a == 0:
+            rank = word
+        else:
+            rank = _order(rank, word)[1]
+    letter = np.zeros(len(who), np.int64)
+    letter[whole] = rank.astype(np.int64) + 1
+    return who, place, letter
+
+
+def transform(slots: np.ndarray, room: np.ndarray, letter: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """Slots of one shard in the order of their first depth letters. room: slots from each to its string's last. Ranks
+    of 1, 2, 4, ... letters are joined; the transform's own letters are those width places before each slot."""
+    own = np.empty(len(letter), np.int64)
+    own[slots] = np.arange(len(slots))
+
+    def after(rank: np.ndarray, n: int) -> np.ndarray:
+        """Rank, from 1, of what stands n letters on; 0 beyond the string."""
+        inside = room[slots] >= n * width
+        out = np.zeros(len(slots), np.int64)
+        out[inside] = rank[own[slots[inside] + n * width]] + 1
+        return out
+
+    ranks, n = {1: letter[slots]}, 1
+    while 2 * n <= depth:
+        ranks[2 * n] = _order(ranks[n], after(ranks[n], n))[1]
+        n *= 2
+    done, rank = n, ranks[n]
+    while done < depth:
+        n = max(x for x in ranks if x <= depth - done)
+        rank = _order(rank, after(ranks[n], done))[1]
+        done += n
+    return slots[np.argsort(rank, kind="stable")]
+
+
+def merge(order: np.ndarray, before: np.ndarray, back: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of transforms after depth rounds, and common prefixes of neighbours (depth where no border is).
+
+    The transforms are laid end to end: order holds their slots, before the letter before each (0: none), back the place
+    of the suffix longer by that letter. ends: the places of the empty suffixes, which differ from each other and stay
+    first. The first result is, for each rank in the merged order, the slot there.
     """
-    letters = np.concatenate(transforms)
-    n, strings = len(letters), int((letters == 0).sum())
-    owner = np.repeat(np.arange(len(transforms), dtype=np.uint16), list(map(len, transforms)))
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint16), [int((t == 0).sum()) for t in transforms])
-    z, place = owner, np.arange(n)
-    common = np.full(n, depth, np.int32)
-    common[0] = 0
-    block = np.zeros(n, np.int64)
+    place, common = np.arange(len(order)), np.full(len(order), depth, np.int32)
+    block = np.zeros(len(order), np.int64)
+    common[:1] = 0
     for h in range(depth):
-        # The next letter of each transform, in the order of the interleave so far.
-        letter = letters[place]
-        o = np.argsort(letter, kind="stable")
-        z = z[o]
-        z[:strings] = ends  # ends of strings differ from each other and stay first
-        came, by = block[o], letter[o]
-        border = np.empty(n, bool)
-        border[0] = True
-        border[1:] = (came[1:] != came[:-1]) | (by[1:] != by[:-1])
-        border[: strings + 1] = True
+        letter = before[place]
+        on = np.nonzero(letter)[0]
+        key = (letter[on].astype(np.uint64) << np.uint64(32)) | on.astype(np.uint64)
+        key.sort()  # a stable partition by the letter: equal letters keep the order of the interleave
+        at = (key & LOW).astype(np.int64)
+        by, came = key >> np.uint64(32), block[at]
+        border = np.ones(len(order), bool)
+        border[len(ends) + 1 :] = (came[1:] != came[:-1]) | (by[1:] != by[:-1])
+        place = np.concatenate([ends, back[place[at]]])
         np.minimum(common, np.where(border, h, depth), out=common)
         block = np.cumsum(common < depth)
-        place = np.empty(n, np.int64)
-        place[np.argsort(z, kind="stable")] = np.arange(n)
-    return place, common
-
-
-def repeated(strings: list[np.ndarray], shard: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, interval) of every suffix whose first depth letters occur more than once, by merging the shards."""
-    parts, who, start = [], [], []
-    for s in np.unique(shard):
-        own = np.nonzero(shard == s)[0]
-        t, w, a = transform([strings[i] for i in own], depth)
-        parts.append(t)
-        who.append(own[w])
-        start.append(a)
-    place, common = merge(parts, depth)
-    who, start = np.concatenate(who)[place], np.concatenate(start)[place]
+    return order[place], common
+
+
+def repeated(raw: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, interval) of every window of length bytes that occurs more than once in strings laid end to end,
+    by merging the transforms of their shards."""
+    width = max(w for w in range(1, 11) if length % w == 0)
+    depth = length // width
+    who, place, letter = letters_of(raw, size, width)
+    room = size[who] - place
+    order = np.concatenate([transform(np.nonzero(shard[who] == s)[0], room, letter, width, depth) for s in np.unique(shard)])
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    inner = place[order] >= width
+    before, back = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    before[inner], back[inner] = letter[order[inner] - width], where[order[inner] - width]
+    slots, common = merge(order, before, back, np.nonzero(letter[order] == 0)[0], depth)
     interval = np.cumsum(common < depth)
     many = np.bincount(interval)[interval] > 1
-    return who[many], start[many], interval[many]
+    return who[slots[many]], place[slots[many]], interval[many]
+
+
+# -- units: rows (unit, doc, first window, windows)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] ... start[0] + size[0] - 1, start[1] ... laid end to end."""
+    head = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(head, size) + np.repeat(start, size)
+
+
+def _runs(unit: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows with those of one unit and document that touch joined, in order."""
+    start, count = start.astype(np.int64), count.astype(np.int64)
+    if not len(doc):
+        return unit, doc, start, count
+    o = np.lexsort((start, doc, unit))
+    unit, doc, start, end = unit[o], doc[o], start[o], (start + count)[o]
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])]
+    # Documents laid one after the other, so that the greatest end so far is one running maximum.
+    base = (np.cumsum(fresh) - 1) * (int(end.max()) + 2)
+    fresh[1:] |= (start + base)[1:] > np.maximum.accumulate(end + base)[:-1]
+    first = np.nonzero(fresh)[0]
+    return unit[first], doc[first], start[first], np.maximum.reduceat(end, first) - start[first]
+
+
+def _doc_key(doc: np.ndarray) -> np.ndarray:
+    return mix64(doc.astype(np.uint64)) >> np.uint64(8)
+
+
+def _firsts(*keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (keys, doc, start), and which of them begin a new value of the keys."""
+    o = np.lexsort((start, doc, *reversed(keys)))
+    new = np.ones(len(o), bool)
+    if len(o):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[o][1:] != k[o][:-1]
+    return o, new
+
+
+def _units(o: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
+    """Rows that set the later occurrences of each value (see ``_firsts``) beside its first."""
+    value = np.cumsum(new) - 1
+    m = np.bincount(value, minlength=1)
+    late = np.nonzero(~new)[0]
+    own, first = o[late], o[new][value[late]]
+    # About unit_docs documents meet a first in one unit; a document's share is the same for all values with like counts.
+    groups = np.exp2(np.ceil(np.log2(np.maximum(1, m[value[late]] / spec.unit_docs)))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        group = mix64(doc[own].astype(np.uint64) + np.uint64(0x9E37)) & (groups - np.uint64(1))
+        segment = (start[first].astype(np.int64) // spec.unit_bytes).astype(np.uint64)
+        unit = mix64(mix64(doc[first].astype(np.uint64) + np.uint64(77)) ^ mix64(segment + (group << np.uint64(24)))) >> np.uint64(1)
+    both = np.concatenate([own, first])
+    return _runs(np.concatenate([unit, unit]), doc[both], start[both], count[both])
+
+
+def _late_windows(unit: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray, raw: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
+    """Marks (doc, first window, windows) among the rows of units: windows that occur earlier. at: where in raw a row's
+    bytes begin. Units are taken together up to merge_letters."""
+    o = np.argsort(unit, kind="stable")
+    size = count[o] + spec.length - 1
+    ends = np.nonzero(np.r_[unit[o][1:] != unit[o][:-1], True])[0] + 1 if len(o) else []
+    total = np.r_[0, np.cumsum(size)]
+    marks, a = [], 0
+    for i, z in enumerate(ends):
+        if i + 1 < len(ends) and total[ends[i + 1]] - total[a] <= spec.merge_letters:
+            continue
+        own, n = o[a:z], size[a:z]
+        w, p, interval = repeated(raw[_ranges(at[own], n)], n, np.arange(len(own)) % spec.shards, spec.length)
+        d, s = doc[own[w]], start[own[w]] + p
+        order, new = _firsts(interval, doc=d, start=s)
+        # A window that stands in several rows of one document is one occurrence.
+        v = np.cumsum(new) - 1
+        lead = order[new][v] if len(order) else order
+        late = order[(d[order] != d[lead]) | (s[order] != s[lead])]
+        marks.append((d[late], s[late], np.ones(len(late), np.int64)))
+        a = z
+    if not marks:
+        return doc[:0], start[:0], count[:0]
+    d, s, c = (np.concatenate(x) for x in zip(*marks, strict=True))
+    return _runs(np.zeros(len(d), np.uint64), d, s, c)[1:]
 
 
 # -- transport: columns packed for one bucket
@@ -134,23 +268,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _together(blobs: list[bytes]) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)]
-
-
 def _deal(key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A packed blob for each bucket that has rows."""
     to = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            yield b, _pack(*[c[at] for c in columns])
-
-
-def _doc_key(doc: np.ndarray) -> np.ndarray:
-    return mix64(doc.astype(np.uint64)) >> np.uint64(8)
+    for at in np.split(order, np.nonzero(np.diff(to[order]))[0] + 1) if len(order) else []:
+        yield int(to[at[0]]), _pack(*[c[at] for c in columns])
 
 
 def _tasks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -169,27 +292,54 @@ def _tasks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nd
         yield np.array(ids, np.int64), texts
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+ROW = "bucket int, kind int, blob binary"
+#: What a blob holds. ENTRY: contexts, to their anchor's bucket. HOT: anchors dealt by window. WINDOW: single windows, to
+#: their fingerprint's bucket. WANTED, SOUGHT: rows of units and contexts, to their text's bucket. UNIT: rows with their
+#: bytes, to the unit's bucket. MARK: marks, to their text's bucket. TEXT: texts.
+ENTRY, HOT, WINDOW, WANTED, SOUGHT, UNIT, MARK, TEXT = range(8)
 
 
-ROW = "bucket int, kind int, blob binary"
-NAMES, KINDS = ["bucket", "kind", "blob"], [pa.int32(), pa.int32(), pa.binary()]
-ENTRY, MARK, OPEN = 0, 1, 2
+class Out:
+    """Rows of one step."""
 
+    def __init__(self, buckets: int):
+        self.buckets, self.rows = buckets, []
 
-def _merged_runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (windows from start, count of them) with those that touch joined."""
-    if not len(doc):
-        return doc, start, count
-    o = np.lexsort((start, doc))
-    doc, start, end = doc[o], start[o], (start + count)[o]
-    new = np.ones(len(doc), bool)
-    # Documents laid one after the other, so that the greatest end so far is one running maximum.
-    base = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) * (int(end.max()) + 2)
-    new[1:] = (start + base)[1:] > np.maximum.accumulate(end + base)[:-1]
-    first = np.nonzero(new)[0]
-    return doc[first], start[first], np.maximum.reduceat(end, first) - start[first]
+    def deal(self, kind: int, key: np.ndarray, *columns: np.ndarray) -> None:
+        if len(key):
+            self.rows += [(b, kind, blob) for b, blob in _deal(key, self.buckets, *columns)]
+
+    def marks(self, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        self.deal(MARK, _doc_key(doc), doc, start.astype(np.uint32), count.astype(np.uint32))
+
+    def wanted(self, unit: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        self.deal(WANTED, _doc_key(doc), unit, doc, start.astype(np.uint32), count.astype(np.uint32))
+
+    def windows(self, prints: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        self.deal(WINDOW, prints >> np.uint64(20), prints, doc, start.astype(np.uint32))
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "blob"])
+
+    def table(self) -> pa.Table:
+        return pa.Table.from_batches([self.batch()])
+
+
+def _read(t: pa.Table, kind: int, *empty: type) -> list[np.ndarray]:
+    """The columns of all blobs of a kind, end to end; of the given types where there are none."""
+    blobs = [b for k, b in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True) if k == kind]
+    return [np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)] if blobs else [np.zeros(0, x) for x in empty]
+
+
+def _single_windows(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, out: Out, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
+    """Deals the first occurrence of each window of the given contexts; returns rows of units for the others."""
+    prints = window_prints(raw, at, count, spec.length)
+    d, s = np.repeat(doc, count), _ranges(start, count)
+    o, new = _firsts(prints, doc=d, start=s)
+    first = o[new]
+    out.windows(prints[first], d[first], s[first])
+    return _units(o, new, d, s, np.ones(len(d), np.int64), spec)
 
 
 def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
@@ -203,93 +353,117 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
     buckets = max(1, -(-int(shape["b"] or 0) // spec.bucket_bytes))
     length, k = spec.length, spec.k
 
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (ids, texts) in enumerate(_tasks(batches, spec.map_bytes)):
-            parts, a = [], 0
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of a map task's texts: what it meets twice is compared here, the first goes to its anchor."""
+        for ids, texts in _tasks(batches, spec.map_bytes):
+            parts, a, out = [], 0, Out(buckets)
             while a < len(texts):
                 z, size = a, 0
                 while z < len(texts) and (z == a or size + len(texts[z]) <= spec.batch_bytes):
                     size += len(texts[z])
                     z += 1
                 s = stretches(texts[a:z], length, k)
-                parts.append((ids[a:z][s.text], s.start, s.count, s.offset, s.anchor, s.context))
+                parts.append((s.text + a, s.start, s.count, s.anchor, s.context))
                 a = z
-            doc, start, count, offset, anchors, context = (np.concatenate(c) for c in zip(*parts, strict=True))
-            if not len(doc):
+            # Texts by number in the order of their ids, which is the order of the documents.
+            order = np.argsort(ids, kind="stable")
+            number = np.empty(len(ids), np.int64)
+            number[order] = np.arange(len(ids))
+            text, start, count, anchors, context = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if not len(text):
                 continue
-            o = np.lexsort((start, doc, context, anchors))
-            again = np.zeros(len(o), bool)
-            again[1:] = (anchors[o][1:] == anchors[o][:-1]) & (context[o][1:] == context[o][:-1])
-            known, fresh = o[again], np.sort(o[~again])
-            out = [(b, ENTRY, blob) for b, blob in _deal(anchors[fresh] >> np.uint64(20), buckets, anchors[fresh], context[fresh], doc[fresh], start[fresh].astype(np.uint32), count[fresh].astype(np.uint16), offset[fresh].astype(np.uint8))]
-            if len(known):
-                d, s, c = _merged_runs(doc[known], start[known], count[known])
-                out.append((int((ids[0] * 31 + turn) % buckets), MARK, _pack(d, s.astype(np.uint32), c.astype(np.uint32))))
-            yield _rows(out, NAMES, KINDS)
+            doc, ids = number[text], ids[order]
+            texts = [texts[i] for i in order]
+            head = np.cumsum([0] + list(map(len, texts)))
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            o, new = _firsts(anchors, context, doc=doc, start=start)
+            # Groups of units need documents by id, the rest of this step by number.
+            met = [_units(o, new, ids[doc], start, count, spec)]
+            fresh = o[new]
+            _, of, contexts = np.unique(anchors[fresh], return_inverse=True, return_counts=True)
+            many = contexts[of] >= spec.hot
+            hot, rest = fresh[many], np.sort(fresh[~many])
+            out.deal(ENTRY, anchors[rest] >> np.uint64(20), anchors[rest], context[rest], ids[doc[rest]], start[rest].astype(np.uint32), count[rest].astype(np.uint16))
+            if len(hot):
+                named = np.unique(anchors[hot])
+                out.deal(HOT, named >> np.uint64(20), named)
+                met.append(_single_windows(raw, head[doc[hot]] + start[hot], ids[doc[hot]], start[hot], count[hot], out, spec))
+            unit, d, s, c = _runs(*(np.concatenate(x) for x in zip(*met, strict=True)))
+            if len(d):
+                out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, spec))
+            yield out.batch()
 
     def match(t: pa.Table) -> pa.Table:
-        kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
-        marks = [_unpack(b) for kind, b in zip(kinds, blobs, strict=True) if kind == MARK]
-        entries = [b for kind, b in zip(kinds, blobs, strict=True) if kind == ENTRY]
-        del blobs, t
-        out = []
-        if entries:
-            anchors, context, doc, start, count, offset = _together(entries)
-            o = np.lexsort((start, doc, context, anchors))
-            a, x = anchors[o], context[o]
-            new_anchor = np.ones(len(o), bool)
-            new_anchor[1:] = a[1:] != a[:-1]
-            new = new_anchor.copy()
-            new[1:] |= x[1:] != x[:-1]
-            group = np.cumsum(new_anchor) - 1
-            several = np.bincount(group, new)[group] > 1
-            dup, unclear = o[~new], o[new & several]
-            marks.append(list(_merged_runs(doc[dup], start[dup].astype(np.int64), count[dup].astype(np.int64))))
-            if len(unclear):
-                out += [(b, OPEN, blob) for b, blob in _deal(_doc_key(doc[unclear]), buckets, anchors[unclear], doc[unclear], start[unclear], count[unclear], offset[unclear])]
-        marks = [m for m in marks if len(m[0])]
-        if marks:
-            d, s, c = (np.concatenate([m[i] for m in marks]) for i in range(3))
-            out += [(b, MARK, blob) for b, blob in _deal(_doc_key(d), buckets, d, s.astype(np.uint32), c.astype(np.uint32))]
-        return pa.Table.from_batches([_rows(out, NAMES, KINDS)])
+        """Contexts by anchor: equal ones make units, windows of an anchor's different ones are sought."""
+        out = Out(buckets)
+        out.rows += [(b, x, blob) for b, x, blob in zip(*(t.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if x in (MARK, WINDOW)]
+        anchors, context, doc, start, count = _read(t, ENTRY, np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
+        (hot,) = _read(t, HOT, np.uint64)
+        start, count = start.astype(np.int64), count.astype(np.int64)
+        o, new = _firsts(anchors, context, doc=doc, start=start)
+        out.wanted(*_units(o, new, doc, start, count, spec))
+        first = o[new]
+        _, of, contexts = np.unique(anchors[first], return_inverse=True, return_counts=True)
+        sought = first[(contexts[of] > 1) | np.isin(anchors[first], hot)] if len(first) else first
+        out.deal(SOUGHT, _doc_key(doc[sought]), doc[sought], start[sought].astype(np.uint32), count[sought].astype(np.uint16))
+        return out.table()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _tasks(batches, spec.map_bytes):
-            to = (_doc_key(ids) % np.uint64(buckets)).astype(np.int64)
-            out = []
+            to, out = (_doc_key(ids) % np.uint64(buckets)).astype(np.int64), Out(buckets)
             for b in np.unique(to):
                 at = np.nonzero(to == b)[0]
-                raw = b"".join(texts[i] for i in at)
-                out.append((int(b), ENTRY, _pack(ids[at], np.array([len(texts[i]) for i in at], np.int64), np.frombuffer(raw, np.uint8))))
-            yield _rows(out, NAMES, KINDS)
-
-    def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
+                blob = _pack(ids[at], np.array([len(texts[i]) for i in at], np.int64), np.frombuffer(b"".join(texts[i] for i in at), np.uint8))
+                out.rows.append((int(b), TEXT, blob))
+            yield out.batch()
+
+    def by_id(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in order, their texts' sizes and places, and the bytes."""
+        ids, size, raw = _read(t, TEXT, np.int64, np.int64, np.uint8)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], size[order], (np.cumsum(size) - size)[order], raw
+
+    def serve(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        """Bytes of the wanted rows go to their units; windows of the sought contexts to their fingerprints."""
+        out = Out(buckets)
         if asked.num_rows and texts.num_rows:
-            anchors, doc, start, count, offset = _together(asked.column("blob").to_pylist())
-            ids, size, raw = _together(texts.column("blob").to_pylist())
-            head = np.cumsum(size) - size
-            order = np.argsort(ids)
-            at = head[order[np.searchsorted(ids[order], doc)]] + start
-            n = count.astype(np.int64) + length - 1
-            to = ((anchors >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(to):
-                i = np.nonzero(to == b)[0]
-                out.append((int(b), OPEN, _pack(anchors[i], doc[i], start[i], count[i], offset[i], raw[_ranges(at[i], n[i])])))
-        return pa.Table.from_batches([_rows(out, NAMES, KINDS)])
+            ids, _, head, raw = by_id(texts)
+            doc, start, count = _read(asked, SOUGHT, np.int64, np.uint32, np.uint16)
+            start, count = start.astype(np.int64), count.astype(np.int64)
+            if len(doc):
+                unit, d, s, c = _single_windows(raw, head[np.searchsorted(ids, doc)] + start, doc, start, count, out, spec)
+                if len(d):
+                    out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, spec))
+            unit, d, s, c = _runs(*_read(asked, WANTED, np.uint64, np.int64, np.uint32, np.uint32))
+            at = head[np.searchsorted(ids, d)] + s
+            to = (unit % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            for own in np.split(order, np.nonzero(np.diff(to[order]))[0] + 1) if len(order) else []:
+                blob = _pack(unit[own], d[own], s[own], c[own], raw[_ranges(at[own], c[own] + length - 1)])
+                out.rows.append((int(to[own[0]]), UNIT, blob))
+        return out.table()
+
+    def pair(t: pa.Table) -> pa.Table:
+        """Windows by fingerprint: equal ones make units."""
+        out = Out(buckets)
+        prints, doc, start = _read(t, WINDOW, np.uint64, np.int64, np.uint32)
+        o, new = _firsts(prints, doc=doc, start=start)
+        out.wanted(*_units(o, new, doc, start.astype(np.int64), np.ones(len(doc), np.int64), spec))
+        return out.table()
 
     def decide(t: pa.Table) -> pa.Table:
-        d, s, c = _decide(*_together(t.column("blob").to_pylist()), spec)
-        out = [(b, MARK, blob) for b, blob in _deal(_doc_key(d), buckets, d, s.astype(np.uint32), c.astype(np.uint32))] if len(d) else []
-        return pa.Table.from_batches([_rows(out, NAMES, KINDS)])
+        out = Out(buckets)
+        unit, doc, start, count, raw = _read(t, UNIT, np.uint64, np.int64, np.int64, np.int64, np.uint8)
+        size = count + length - 1
+        out.marks(*_late_windows(unit, doc, start, count, np.cumsum(size) - size, raw, spec))
+        return out.table()
 
     def cut(texts: pa.Table, marked: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         if texts.num_rows:
-            ids, size, raw = _together(texts.column("blob").to_pylist())
-            doc, start, count = _together(marked.column("blob").to_pylist()) if marked.num_rows else (np.zeros(0, np.int64),) * 3
-            doc, start, count = _merged_runs(doc, start.astype(np.int64), count.astype(np.int64) + length - 1)  # now bytes
-            head = np.cumsum(size) - size
+            ids, size, head, raw = by_id(texts)
+            doc, start, count = _read(marked, MARK, np.int64, np.uint32, np.uint32)
+            _, doc, start, count = _runs(np.zeros(len(doc), np.uint64), doc, start, count.astype(np.int64) + length - 1)  # now bytes
             lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
             for i in range(len(ids)):
                 own = raw[head[i] : head[i] + size[i]]
@@ -304,12 +478,16 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
 
-    found = materialise(own.mapInArrow(anchor, ROW).groupBy("bucket").applyInArrow(match, ROW), "repeat-marks")
+    of_kind = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     packed = own.mapInArrow(pack, ROW)
-    asked = found.where(F.col("kind") == OPEN)
-    contexts = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fetch, ROW)
-    edges = contexts.groupBy("bucket").applyInArrow(decide, ROW)
-    marks = found.where(F.col("kind") == MARK).unionByName(edges)
+    found = materialise(own.mapInArrow(find, ROW).groupBy("bucket").applyInArrow(match, ROW), "repeat-contexts")
+    served = materialise(packed.groupBy("bucket").cogroup(of_kind(found, WANTED, SOUGHT).groupBy("bucket")).applyInArrow(serve, ROW), "repeat-units")
+    windows = of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW)).groupBy("bucket").applyInArrow(pair, ROW)
+    more = packed.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(serve, ROW)
+    edges = of_kind(served, UNIT).unionByName(more).groupBy("bucket").applyInArrow(decide, ROW)
+    marks = materialise(of_kind(found, MARK).unionByName(of_kind(served, MARK)).unionByName(edges), "repeat-marks")
+    discard(found)
+    discard(served)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     result = packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, schema)
     empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
@@ -317,72 +495,3 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
     if shape["n"] != distinct:
         result = named.select("doc_id").join(result, "doc_id")
     return result.unionByName(whole) if shape["all"] != shape["n"] else result
-
-
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0] ... start[0] + size[0] - 1, start[1] ... laid end to end."""
-    head = np.cumsum(size) - size
-    return np.arange(int(size.sum())) - np.repeat(head, size) + np.repeat(start, size)
-
-
-def _decide(anchors, doc, start, count, offset, raw, spec: RepeatSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (doc, first window, windows) among contexts: windows that occur in an earlier one."""
-    length, k = spec.length, spec.k
-    start, count, offset = start.astype(np.int64), count.astype(np.int64), offset.astype(np.int64)
-    # Contexts without a repeated window go no further; of the others only runs of such windows.
-    size = count + length - 1
-    head = np.cumsum(size) - size
-    up, down = powers(_P, len(raw)), powers(_P_INV, len(raw))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up, out=total[1:])
-        at = _ranges(head, count)
-        print_ = mix64((total[at + length] - total[at]) * down[at])
-        _, code, many = np.unique(print_, return_inverse=True, return_counts=True)
-        hit = many[code] > 1
-        who = np.repeat(np.arange(len(doc)), count)
-        local = at - head[who]
-        first = hit.copy()
-        first[1:] &= ~(hit[:-1] & (who[1:] == who[:-1]))
-        last = hit.copy()
-        last[:-1] &= ~(hit[1:] & (who[1:] == who[:-1]))
-        f, z = np.nonzero(first)[0], np.nonzero(last)[0]
-        if not len(f):
-            return doc[:0], start[:0], count[:0]
-        run_who, run_at, run_n = who[f], local[f], z - f + 1
-        byte_at = head[run_who] + run_at
-        content = mix64((total[byte_at + run_n - 1 + length] - total[byte_at]) * down[byte_at] + run_n.astype(np.uint64))
-    run_doc, run_start, run_off, run_anchor = doc[run_who], start[run_who] + run_at, offset[run_who] - run_at, anchors[run_who]
-    # Runs of equal content: all but the earliest are repeats as a whole.
-    o = np.lexsort((run_start, run_doc, content, run_anchor))
-    same = np.zeros(len(o), bool)
-    same[1:] = (content[o][1:] == content[o][:-1]) & (run_anchor[o][1:] == run_anchor[o][:-1])
-    whole, keep = o[same], o[~same]
-    marks = [(run_doc[whole], run_start[whole], run_n[whole])]
-    # The anchor of each kept run becomes one letter.
-    _, letter = np.unique(run_anchor[keep], return_inverse=True)
-    step = 60_000  # letters at a time; runs are in order of their anchors
-    edges = np.searchsorted(letter, np.arange(0, int(letter.max()) + 1 + step, step))
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        if hi - lo < 2:
-            continue
-        own = keep[lo:hi]
-        strings = []
-        for i, name in zip(own.tolist(), (letter[lo:hi] % step).tolist(), strict=True):
-            b, off, n = int(byte_at[i]), int(run_off[i]), int(run_n[i]) - 1 + length
-            s = np.empty(n - k + 1, np.uint16)
-            s[:off] = raw[b : b + off]
-            s[off] = 300 + name
-            s[off + 1 :] = raw[b + off + k : b + n]
-            s[:off] += 1
-            s[off + 1 :] += 1
-            strings.append(s)
-        shard = (_doc_key(run_doc[own]) >> np.uint64(32)) % np.uint64(spec.shards)
-        w, a, interval = repeated(strings, shard, length - k + 1)
-        d, s = run_doc[own[w]], run_start[own[w]] + a
-        order = np.lexsort((s, d, interval))
-        late = np.zeros(len(order), bool)
-        late[1:] = interval[order][1:] == interval[order][:-1]
-        at = order[late]
-        marks.append((d[at], s[at], np.ones(len(at), np.int64)))
-    return _merged_runs(*(np.concatenate(x) for x in zip(*marks, strict=True)))

@@ -105,22 +105,34 @@ def test_repeats_of_few_letters(spark):
     assert got == brute_repeats(rows, 12)
 
 
-def test_merged_transforms_equal_sorting():
-    rng = random.Random(3)
-    for _ in range(60):
-        strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 12))], np.uint16) for _ in range(rng.randint(2, 9))]
-        depth, shard = rng.randint(1, 6), np.array([rng.randint(0, 2) for _ in strings])
-        w, a, interval = repeats.repeated(strings, shard, depth)
+@pytest.mark.parametrize("length", [1, 4, 6, 11, 20])
+def test_merged_transforms_equal_sorting(length):
+    rng = random.Random(length)
+    for _ in range(40):
+        strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 5 * length))], np.uint8) for _ in range(rng.randint(2, 9))]
+        shard = np.array([rng.randint(0, 2) for _ in strings])
+        w, a, interval = repeats.repeated(np.concatenate(strings), np.array(list(map(len, strings))), shard, length)
         got = defaultdict(set)
         for x, y, z in zip(w.tolist(), a.tolist(), interval.tolist(), strict=True):
             got[z].add((x, y))
         want = defaultdict(set)
         for i, s in enumerate(strings):
-            for p in range(len(s) - depth + 1):
-                want[tuple(s[p : p + depth].tolist())].add((i, p))
+            for p in range(len(s) - length + 1):
+                want[s[p : p + length].tobytes()].add((i, p))
         assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
 
 
+def test_passage_in_many_documents_with_different_surroundings(spark):
+    """A licence header whose anchors have as many contexts as there are documents: dealt by window, in small units."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = say(260), say(130)
+    rows = [(i, say(rng.randint(0, 150)) + passage + say(rng.randint(0, 150)) + (other if i % 3 == 0 else "") + say(40)) for i in range(300)]
+    spec = repeats.RepeatSpec(bucket_bytes=20_000, map_bytes=12_000, batch_bytes=4_000, merge_letters=9_000, unit_bytes=200)
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.spans_removed(spark.createDataFrame(rows, "doc_id long, text string"), spec).drop("spans").collect()}
+    assert got == brute_repeats(rows, 100)
+
+
 def test_repeats_odd(odd, none):
     got = [tuple(r)[:4] for r in repeats.spans_removed(odd).collect()]
     by = dict((r[0], r) for r in got)
