@@ -5,12 +5,14 @@ and the word itself if the training sample knew it (lexicon). Labels are languag
 forward-backward gives each word's posterior, so code-switched texts are labelled word by word. A text's language is the
 one with the largest posterior mass over its words, its score that mass per word.
 
-Training uses a bounded sample: about ``train_docs`` texts, dealt evenly over languages by a hash of the id, and of each at
-most ``windows`` windows of ``window`` words, joined in random order across languages so that switches are seen. The
-driver maximises the regularised likelihood by Adagrad; weights are hashed into 2^bits rows, so the model's size is fixed.
-
-Cases. Null texts and texts without a letter are ``und`` with score 0, as are all where no row is labelled. Very long texts
-are labelled whole. Repeated rows are labelled one by one; extra columns are dropped unless named in keep. Null languages
+Training uses a bounded sample: about ``train_docs`` whole texts, dealt evenly over languages by a hash of the id. They are
+cut into runs of ``window`` words, all of which are used in every epoch, and runs are joined in random order across
+languages so that switches are seen. The driver maximises the regularised likelihood by Adagrad; expected transitions are
+the pair marginals of forward-backward. Weights are hashed into 2^bits rows, so the model's size is fixed.
+
+Cases. Null texts and texts without a letter are ``und`` with score 0, as are all where no row is labelled. Of languages
+with equal posterior mass the first by name is taken. Very long texts are labelled whole. Repeated rows are labelled one by
+one; extra columns are dropped unless named in keep, and columns named lang_pred or score are replaced. Null languages
 never train.
 """
 
@@ -34,11 +36,9 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class CrfSpec:
-    train_docs: int = 3000
-    windows: int = 3
+    train_docs: int = 400
     window: int = 24
-    sequences: int = 3000
-    epochs: int = 4
+    epochs: int = 3
     batch: int = 100
     rate: float = 0.3
     l2: float = 1e-6
@@ -126,8 +126,9 @@ class Crf:
             out += self.weights[slot]
         return out
 
-    def posteriors(self, e: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-        """Posterior of each label for each word; texts side by side, longest first."""
+    def posteriors(self, e: np.ndarray, per_text: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Posterior of each label for each word; texts side by side, longest first. The posteriors of pairs of labels of
+        neighbouring words are added to pairs."""
         n = len(per_text)
         off = np.cumsum(per_text) - per_text
         order = np.argsort(-per_text, kind="stable")
@@ -149,7 +150,11 @@ class Crf:
             at = off[:m] + t
             g = fwd[at] * back[:m]
             post[at] = g / g.sum(axis=1, keepdims=True)
-            x = (p[at] * back[:m]) @ move.T
+            ahead = p[at] * back[:m]
+            if t and pairs is not None:
+                joint = fwd[at - 1][:, :, None] * move * ahead[:, None, :]
+                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            x = ahead @ move.T
             back[:m] = x / x.sum(axis=1, keepdims=True)
         return post
 
@@ -169,34 +174,30 @@ def train(labelled: DataFrame, spec: CrfSpec | None = None) -> Crf | None:
     if not labels:
         return None
     rng = np.random.default_rng(spec.seed)
-    pieces: list[tuple[int, list[str]]] = []
+    runs: list[tuple[int, list[str]]] = []
     for lang, text in sorted(rows):
         words = re.findall(r"[^\W\d_]+", text.lower())
-        for _ in range(spec.windows if words else 0):
-            a = int(rng.integers(0, max(1, len(words) - spec.window)))
-            pieces.append((labels.index(lang), words[a : a + spec.window]))
-    if not pieces:
+        runs += [(labels.index(lang), words[a : a + spec.window]) for a in range(0, len(words), spec.window)]
+    if not runs:
         return None
     n, k = 1 << spec.bits, len(labels)
-    by_label = [[p for p in pieces if p[0] == j] for j in range(k)]
-    by_label = [x for x in by_label if x]
-    sequences = []
-    for _ in range(spec.sequences):
-        some = [by_label[int(rng.integers(len(by_label)))] for _ in range(int(rng.integers(1, 4)))]
-        sequences.append([x[int(rng.integers(len(x)))] for x in some])
     crf = Crf(labels, np.zeros((n + 1, k), np.float32), np.zeros(n, bool), np.zeros((k, k)), np.zeros(k), spec.bits)
     seen, seen_move, seen_start = np.full((n + 1, k), 1e-6, np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)
     for epoch in range(spec.epochs):
-        order = rng.permutation(len(sequences))
-        for a in range(0, len(order), spec.batch):
-            batch = [sequences[i] for i in order[a : a + spec.batch]]
+        order = [runs[i] for i in rng.permutation(len(runs))]
+        ends = np.cumsum(rng.integers(1, 4, len(order)))  # one to three runs make a sequence
+        ends = [0, *ends[ends < len(order)].tolist(), len(order)]
+        sequences = [order[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+        for a in range(0, len(sequences), spec.batch):
+            batch = sequences[a : a + spec.batch]
             w = featurise([" ".join(" ".join(p) for _, p in s).encode() for s in batch], spec.bits)
             gold = np.concatenate([np.repeat([y for y, _ in s], [_count(p) for _, p in s]) for s in batch]).astype(np.int64)
             if len(gold) != len(w.affix) or not len(gold):
                 continue
             if not epoch:
                 crf.known[w.affix[:, -1]] = True
-            delta = -crf.posteriors(crf.emissions(w).astype(np.float64), w.per_text)
+            expected = np.zeros((k, k))
+            delta = -crf.posteriors(crf.emissions(w).astype(np.float64), w.per_text, expected)
             soft = -delta
             delta[np.arange(len(gold)), gold] += 1
             g = np.zeros_like(crf.weights)
@@ -209,14 +210,12 @@ def train(labelled: DataFrame, spec: CrfSpec | None = None) -> Crf | None:
             gh = g[hit] / len(batch) - spec.l2 * crf.weights[hit]
             seen[hit] += gh**2
             crf.weights[hit] += spec.rate * gh / np.sqrt(seen[hit])
-            # Transitions: observed pairs less those expected from neighbouring posteriors.
+            # Transitions: observed pairs less the expected ones.
             ends = np.cumsum(w.per_text)
             at = np.setdiff1d(np.arange(1, len(gold)), ends)
             gm = np.zeros((k, k))
             np.add.at(gm, (gold[at - 1], gold[at]), 1)
-            joint = soft[at - 1][:, :, None] * np.exp(crf.move)[None] * soft[at][:, None, :]
-            gm -= (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            gm = gm / len(batch) - 1e-3 * crf.move
+            gm = (gm - expected) / len(batch) - 1e-3 * crf.move
             seen_move += gm**2
             crf.move += spec.rate * gm / np.sqrt(seen_move)
             heads = (ends - w.per_text)[w.per_text > 0]

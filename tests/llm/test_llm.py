@@ -355,14 +355,55 @@ def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     crf = langid.Crf(["a", "b", "c"], None, None, rng.normal(size=(3, 3)), rng.normal(size=3), 4)
     e = rng.normal(size=(9, 3))
-    post = crf.posteriors(e.copy(), np.array([4, 0, 5]))
+    pairs, want_pairs = np.zeros((3, 3)), np.zeros((3, 3))
+    post = crf.posteriors(e.copy(), np.array([4, 0, 5]), pairs)
     for first, n in ((0, 4), (4, 5)):
-        want = np.zeros((n, 3))
+        want, own = np.zeros((n, 3)), np.zeros((3, 3))
         for y in itertools.product(range(3), repeat=n):
             s = crf.start[y[0]] + sum(e[first + i, k] for i, k in enumerate(y)) + sum(crf.move[a, b] for a, b in itertools.pairwise(y))
             for i, k in enumerate(y):
                 want[i, k] += np.exp(s)
-        assert np.allclose(post[first : first + n], want / want.sum(axis=1, keepdims=True))
+            for a, b in itertools.pairwise(y):
+                own[a, b] += np.exp(s)
+        total = want.sum(axis=1, keepdims=True)
+        assert np.allclose(post[first : first + n], want / total)
+        want_pairs += own / total[0]
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_transitions_follow_the_gradient():
+    """The expected pairs are the gradient of the log partition by the transitions, by finite differences."""
+    rng = np.random.default_rng(2)
+    move, start, e = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=(6, 3))
+
+    def log_z(m):
+        paths = (start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(m[a, b] for a, b in itertools.pairwise(y)) for y in itertools.product(range(3), repeat=6))
+        return np.log(sum(map(np.exp, paths)))
+
+    pairs = np.zeros((3, 3))
+    langid.Crf(["a", "b", "c"], None, None, move, start, 4).posteriors(e.copy(), np.array([6]), pairs)
+    for a, b in itertools.product(range(3), repeat=2):
+        d = np.zeros((3, 3))
+        d[a, b] = 1e-5
+        assert abs((log_z(move + d) - log_z(move - d)) / 2e-5 - pairs[a, b]) < 1e-6
+
+
+def test_words_of_switched_texts_are_labelled(spark):
+    d = duckdb.sql("SELECT doc_id, text, lang FROM read_parquet('/root/testdata/sf0.01/documents.parquet')").df()
+    crf = langid.train(spark.createDataFrame(d[d.doc_id % 4 != 2]))
+    some = {k: " ".join(x.text.iloc[0].split()[:30]).lower() for k, x in d[(d.doc_id % 4 == 2) & (d.text.str.len() > 300)].groupby("lang")}
+    for a, b in itertools.permutations(some, 2):
+        w = langid.featurise([f"{some[a]} {some[b]}".encode()], crf.bits)
+        got = crf.posteriors(crf.emissions(w), w.per_text).argmax(axis=1)
+        cut = len(langid.featurise([some[a].encode()], crf.bits).affix)
+        want = np.array([crf.labels.index(a)] * cut + [crf.labels.index(b)] * (len(got) - cut))
+        assert (got == want).mean() > 0.85, (a, b)
+
+
+def test_equal_mass_takes_the_first_language():
+    crf = langid.Crf(["a", "b"], np.zeros((17, 2), np.float32), np.zeros(16, bool), np.zeros((2, 2)), np.zeros(2), 4)
+    names, score = langid.label_texts(crf, ["some words", ""])
+    assert names == ["a", "und"] and score.tolist() == [0.5, 0.0]
 
 
 def test_language_odd(spark, odd, none):
