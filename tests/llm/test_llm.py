@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -545,10 +546,12 @@ def test_unigram_path():
 
 
 def brute_topk(rows, k):
-    v = {i: np.floor(64 * np.asarray(e, float)).astype(int) for i, e in rows if i is not None and e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e)}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    fine = lambda e: e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e)
+    v = {i: [clip(math.floor(64 * x)) if np.isfinite(64 * x) else clip((1 << 80) * int(np.sign(x))) for x in e] for i, e in rows if i is not None and fine(e)}
     out = []
     for q in (i for i in v if i % 20 == 0):
-        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:k]
+        best = sorted(((-clip(sum(a * b for a, b in zip(v[q], v[c], strict=True))), c) for c in v if c != q and len(v[c]) == len(v[q])))[:k]
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -563,6 +566,16 @@ def test_topk_matches_brute_force(spark, spec):
     assert sorted(map(tuple, got)) == brute_topk(rows, spec.k)
 
 
+def test_topk_of_other_lengths_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=1 + i % 3) * 10.0 ** int(rng.integers(0, 9))).tolist()) for i in range(90)]
+    spec = topk.TopKSpec(k=4, query_block=2, candidate_block=8)
+    for more in ([], [(100, [3e9, -2e9]), (101, [1e12, 5.0])], [(100, [1e300, 1.0]), (101, [-1e300, 2.0]), (120, [1e17, 1e17, -1e17]), (121, [1e17, 1e17, 1e17])]):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        got = topk.top_k(topk.quantised(df, 64.0), F.col("vec_id") % 20 == 0, spec).collect()
+        assert sorted(map(tuple, got)) == brute_topk(rows + more, 4)
+
+
 def test_topk_few(spark):
     rows = [(0, [0.5, 0.25]), (20, [0.5, -0.25]), (3, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
