@@ -5,11 +5,11 @@ same anchor can be equal. Fingerprints (64 bits) of the contexts of anchors choo
 met twice, and, where an anchor has several contexts, single windows met twice. Fingerprints remove nothing.
 
 Units. What has one fingerprint is compared with its first occurrence (smallest doc_id, then start), in units of some
-eight other documents and 128 kB of the first's text, so a passage of any number of documents makes many small units. Map
+sixteen other documents and 32 kB of the first's text, so a passage of any number of documents makes many small units. Map
 tasks compare what they meet twice themselves and send the first only, so a fingerprint has one row per map task; contexts
 of an anchor that has many in one task are dealt by window, not by anchor. No unit or bucket grows with a hot key.
 
-Decision. A unit's texts are strings over letters of up to ten bytes (one string for each offset, so every window is a
+Decision. A unit's texts are strings over letters of up to twenty bytes (one string for each offset, so every window is a
 suffix). They are cut into shards, each shard's Burrows-Wheeler transform is built on its own, and the transforms are
 merged by iterative interleave refinement: the interleave after h rounds orders all suffixes by their first h letters,
 each round is one stable partition by the transforms' letters, and the round in which a border between neighbours appears
@@ -51,26 +51,31 @@ class RepeatSpec:
     k: int = 56
     shards: int = 4
     bucket_bytes: int = 8 << 20
-    map_bytes: int = 16 << 20
+    map_bytes: int = 8 << 20
     batch_bytes: int = 1 << 20
-    unit_docs: int = 8
-    unit_bytes: int = 1 << 17
-    merge_letters: int = 1 << 21
+    unit_docs: int = 16
+    unit_bytes: int = 1 << 15
+    merge_letters: int = 1 << 19
     hot: int = 8
 
 
 # -- merging transforms
 
-LOW = np.uint64(0xFFFFFFFF)
-
-
 def _order(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (major, minor) and the dense rank, from 0, of each element."""
-    key = (major.astype(np.uint64) << np.uint64(32)) | minor.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    """Order by (major, minor), both below 2^32, and the dense rank, from 0, of each element. Keys that leave room for the
+    place in one number are sorted with it."""
+    bits, own = int(minor.max(initial=0)).bit_length(), len(major).bit_length()
+    key = (major.astype(np.uint64) << np.uint64(bits)) | minor.astype(np.uint64)
+    if int(major.max(initial=0)).bit_length() + bits + own <= 64:
+        key = (key << np.uint64(own)) | np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << own) - 1)).astype(np.int64)
+        key >>= np.uint64(own)
+    else:
+        order = np.argsort(key)
+        key = key[order]
     rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
     return order, rank
 
 
@@ -78,50 +83,40 @@ def letters_of(raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarra
     """Slots of strings laid end to end, size + 1 each: (string, place in it, letter). The letter of a place is the rank,
     from 1, of the width bytes there; 0 where fewer are left, which ends one of the string's width offsets."""
     who = np.repeat(np.arange(len(size)), size + 1)
-    place = _ranges(np.zeros(len(size), np.int64), size + 1)
-    left = size[who] - place
-    whole = np.nonzero(left >= width)[0]
-    head = (np.cumsum(size) - size)[who[whole]] + place[whole]
-    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
-    rank = np.zeros(len(whole), np.int64)
-    for a in range(0, width, 4):  # four bytes at a time behind the rank so far
-        word = np.zeros(len(whole), np.uint32)
-        for i in range(a, min(a + 4, width)):
-            word = (word << np.uint32(8)) | padded[head + i]
-        if a == 0 and width <= 4:
-            _, rank = np.unique(word, return_inverse=True)
-        elif a == 0:
-            rank = word
-        else:
-            rank = _order(rank, word)[1]
+    place = np.arange(len(who)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
     letter = np.zeros(len(who), np.int64)
-    letter[whole] = rank.astype(np.int64) + 1
+    n = len(raw) - width + 1
+    if n > 0:
+        # Ranks of the first bytes, of twice as many, ...; places beyond the last whole letter are never used.
+        done = next(w for w in range(min(5, width), 0, -1) if width % w == 0)
+        word = np.zeros(len(raw) - done + 1, np.uint64)
+        for i in range(done):
+            word = (word << np.uint64(8)) | raw[i : i + len(word)]
+        ranks = {done: _order(word >> np.uint64(24), word & np.uint64(0xFFFFFF))[1]}
+        while done < width:
+            step = done if 2 * done <= width else max(x for x in ranks if x <= width - done)
+            own = len(raw) - done - step + 1
+            ranks[done + step] = _order(ranks[done][:own], ranks[step][done : done + own])[1]
+            done += step
+        whole = np.nonzero(size[who] - place >= width)[0]
+        letter[whole] = ranks[width][whole - who[whole]] + 1
     return who, place, letter
 
 
 def transform(slots: np.ndarray, room: np.ndarray, letter: np.ndarray, width: int, depth: int) -> np.ndarray:
-    """Slots of one shard in the order of their first depth letters. room: slots from each to its string's last. Ranks
-    of 1, 2, 4, ... letters are joined; the transform's own letters are those width places before each slot."""
-    own = np.empty(len(letter), np.int64)
-    own[slots] = np.arange(len(slots))
-
-    def after(rank: np.ndarray, n: int) -> np.ndarray:
-        """Rank, from 1, of what stands n letters on; 0 beyond the string."""
-        inside = room[slots] >= n * width
-        out = np.zeros(len(slots), np.int64)
-        out[inside] = rank[own[slots[inside] + n * width]] + 1
-        return out
-
-    ranks, n = {1: letter[slots]}, 1
-    while 2 * n <= depth:
-        ranks[2 * n] = _order(ranks[n], after(ranks[n], n))[1]
-        n *= 2
-    done, rank = n, ranks[n]
+    """Slots of one shard in the order of their first depth letters. room: slots from each to its string's last. Ranks of
+    1, 2, 4, ... letters are joined; the transform's own letters are those width places before each slot."""
+    ranks, done, order = {1: letter}, 1, np.argsort(letter[slots], kind="stable")
     while done < depth:
-        n = max(x for x in ranks if x <= depth - done)
-        rank = _order(rank, after(ranks[n], done))[1]
+        n = done if 2 * done <= depth else max(x for x in ranks if x <= depth - done)
+        on = room[slots] >= done * width
+        after = np.zeros(len(slots), np.int64)  # the rank, from 1, of what stands done letters on; 0 beyond the string
+        after[on] = ranks[n][slots[on] + done * width] + 1
+        order, rank = _order(ranks[done][slots], after)
         done += n
-    return slots[np.argsort(rank, kind="stable")]
+        ranks[done] = np.zeros(len(letter), np.int64)
+        ranks[done][slots] = rank
+    return slots[order]
 
 
 def merge(order: np.ndarray, before: np.ndarray, back: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +126,32 @@ def merge(order: np.ndarray, before: np.ndarray, back: np.ndarray, ends: np.ndar
     of the suffix longer by that letter. ends: the places of the empty suffixes, which differ from each other and stay
     first. The first result is, for each rank in the merged order, the slot there.
     """
-    place, common = np.arange(len(order)), np.full(len(order), depth, np.int32)
-    block = np.zeros(len(order), np.int64)
+    place, common = np.arange(len(order), dtype=np.int32), np.full(len(order), depth, np.int32)
+    block = np.zeros(len(order), np.int32)
     common[:1] = 0
+    own = len(order).bit_length()
+    before, back, ends = before.astype(np.uint64) << np.uint64(own), back.astype(np.int32), ends.astype(np.int32)
+    low = np.uint64((1 << own) - 1)
     for h in range(depth):
         letter = before[place]
         on = np.nonzero(letter)[0]
-        key = (letter[on].astype(np.uint64) << np.uint64(32)) | on.astype(np.uint64)
+        key = letter[on] | on.astype(np.uint64)
         key.sort()  # a stable partition by the letter: equal letters keep the order of the interleave
-        at = (key & LOW).astype(np.int64)
-        by, came = key >> np.uint64(32), block[at]
+        at = (key & low).astype(np.int32)
+        key >>= np.uint64(own)
+        came = block[at]
         border = np.ones(len(order), bool)
-        border[len(ends) + 1 :] = (came[1:] != came[:-1]) | (by[1:] != by[:-1])
+        border[len(ends) + 1 :] = (came[1:] != came[:-1]) | (key[1:] != key[:-1])
         place = np.concatenate([ends, back[place[at]]])
-        np.minimum(common, np.where(border, h, depth), out=common)
-        block = np.cumsum(common < depth)
+        common[border & (common == depth)] = h
+        block = np.cumsum(common < depth, dtype=np.int32)
     return order[place], common
 
 
-def repeated(raw: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, interval) of every window of length bytes that occurs more than once in strings laid end to end,
-    by merging the transforms of their shards."""
-    width = max(w for w in range(1, 11) if length % w == 0)
+def repeated(raw: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, interval, slot) of every window of length bytes that occurs more than once in strings laid end to
+    end, by merging the transforms of their shards; intervals are numbered in order."""
+    width = max(w for w in range(1, 21) if length % w == 0)
     depth = length // width
     who, place, letter = letters_of(raw, size, width)
     room = size[who] - place
@@ -165,7 +164,8 @@ def repeated(raw: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int)
     slots, common = merge(order, before, back, np.nonzero(letter[order] == 0)[0], depth)
     interval = np.cumsum(common < depth)
     many = np.bincount(interval)[interval] > 1
-    return who[slots[many]], place[slots[many]], interval[many]
+    slots = slots[many]
+    return who[slots], place[slots], interval[many], slots
 
 
 # -- units: rows (unit, doc, first window, windows)
@@ -196,15 +196,12 @@ def _doc_key(doc: np.ndarray) -> np.ndarray:
     return mix64(doc.astype(np.uint64)) >> np.uint64(8)
 
 
-def _firsts(*keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the order of (keys, doc, start), and which of them begin a new value of the keys."""
-    o = np.lexsort((start, doc, *reversed(keys)))
-    new = np.ones(len(o), bool)
-    if len(o):
-        new[1:] = False
-        for k in keys:
-            new[1:] |= k[o][1:] != k[o][:-1]
-    return o, new
+def _firsts(key: np.ndarray, doc: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (key, doc, start), and which of them begin a new value of the key. Without doc and start the
+    rows are in their order."""
+    o = np.arange(len(key)) if doc is None else np.lexsort((start, doc))
+    o = o[np.argsort(key[o], kind="stable")]
+    return o, np.r_[True, key[o][1:] != key[o][:-1]][: len(o)]
 
 
 def _units(o: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, spec: RepeatSpec) -> tuple[np.ndarray, ...]:
@@ -227,23 +224,32 @@ def _late_windows(unit: np.ndarray, doc: np.ndarray, start: np.ndarray, count: n
     """Marks (doc, first window, windows) among the rows of units: windows that occur earlier. at: where in raw a row's
     bytes begin. Units are taken together up to merge_letters."""
     o = np.argsort(unit, kind="stable")
-    size = count[o] + spec.length - 1
+    total = np.r_[0, np.cumsum(count[o] + spec.length - 1)]
     ends = np.nonzero(np.r_[unit[o][1:] != unit[o][:-1], True])[0] + 1 if len(o) else []
-    total = np.r_[0, np.cumsum(size)]
     marks, a = [], 0
     for i, z in enumerate(ends):
         if i + 1 < len(ends) and total[ends[i + 1]] - total[a] <= spec.merge_letters:
             continue
-        own, n = o[a:z], size[a:z]
-        w, p, interval = repeated(raw[_ranges(at[own], n)], n, np.arange(len(own)) % spec.shards, spec.length)
-        d, s = doc[own[w]], start[own[w]] + p
-        order, new = _firsts(interval, doc=d, start=s)
-        # A window that stands in several rows of one document is one occurrence.
-        v = np.cumsum(new) - 1
-        lead = order[new][v] if len(order) else order
-        late = order[(d[order] != d[lead]) | (s[order] != s[lead])]
-        marks.append((d[late], s[late], np.ones(len(late), np.int64)))
+        own = o[a:z]
+        own = own[np.lexsort((start[own], doc[own]))]
+        n = count[own] + spec.length - 1
+        w, p, interval, slot = repeated(raw[_ranges(at[own], n)], n, np.arange(len(own)) % spec.shards, spec.length)
         a = z
+        if not len(w):
+            continue
+        # Strings are in the order of their documents and starts, so an interval's least slot is the first occurrence. A
+        # window that stands in several rows of one document is one occurrence.
+        head = np.nonzero(np.r_[True, interval[1:] != interval[:-1]])[0]
+        lead = np.repeat(np.minimum.reduceat(slot, head), np.diff(np.r_[head, len(slot)]))
+        late = np.zeros(int(n.sum()) + len(n) + 1, bool)
+        d, s = doc[own], start[own]
+        who = np.repeat(np.arange(len(n)), n + 1)
+        first = np.cumsum(n + 1) - n - 1
+        lw = who[lead]
+        late[slot] = (d[w] != d[lw]) | (s[w] + p != s[lw] + lead - first[lw])
+        edge = np.diff(np.r_[False, late].astype(np.int8))  # the last slot of a string is no window, so runs end in it
+        x, y = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        marks.append((d[who[x]], s[who[x]] + x - first[who[x]], y - x))
     if not marks:
         return doc[:0], start[:0], count[:0]
     d, s, c = (np.concatenate(x) for x in zip(*marks, strict=True))
@@ -336,134 +342,128 @@ def _single_windows(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.
     """Deals the first occurrence of each window of the given contexts; returns rows of units for the others."""
     prints = window_prints(raw, at, count, spec.length)
     d, s = np.repeat(doc, count), _ranges(start, count)
-    o, new = _firsts(prints, doc=d, start=s)
+    o, new = _firsts(prints, d, s)
     first = o[new]
     out.windows(prints[first], d[first], s[first])
     return _units(o, new, d, s, np.ones(len(d), np.int64), spec)
 
 
-def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, end) bytes): one row per row of docs."""
-    spec = spec or RepeatSpec()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shape = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
-    distinct = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().count()
-    named = rows.where("doc_id IS NOT NULL")
-    own = named if shape["n"] == distinct else materialise(named.groupBy("doc_id").agg(F.min("text").alias("text")), "single-texts")
-    buckets = max(1, -(-int(shape["b"] or 0) // spec.bucket_bytes))
-    length, k = spec.length, spec.k
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of a map task's texts: what it meets twice is compared here, the first goes to its anchor."""
-        for ids, texts in _tasks(batches, spec.map_bytes):
-            parts, a, out = [], 0, Out(buckets)
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= spec.batch_bytes):
-                    size += len(texts[z])
-                    z += 1
-                s = stretches(texts[a:z], length, k)
-                parts.append((s.text + a, s.start, s.count, s.anchor, s.context))
-                a = z
-            # Texts by number in the order of their ids, which is the order of the documents.
-            order = np.argsort(ids, kind="stable")
-            number = np.empty(len(ids), np.int64)
-            number[order] = np.arange(len(ids))
-            text, start, count, anchors, context = (np.concatenate(c) for c in zip(*parts, strict=True))
-            if not len(text):
-                continue
-            doc, ids = number[text], ids[order]
-            texts = [texts[i] for i in order]
-            head = np.cumsum([0] + list(map(len, texts)))
-            raw = np.frombuffer(b"".join(texts), np.uint8)
-            o, new = _firsts(anchors, context, doc=doc, start=start)
-            # Groups of units need documents by id, the rest of this step by number.
-            met = [_units(o, new, ids[doc], start, count, spec)]
-            fresh = o[new]
-            _, of, contexts = np.unique(anchors[fresh], return_inverse=True, return_counts=True)
-            many = contexts[of] >= spec.hot
-            hot, rest = fresh[many], np.sort(fresh[~many])
-            out.deal(ENTRY, anchors[rest] >> np.uint64(20), anchors[rest], context[rest], ids[doc[rest]], start[rest].astype(np.uint32), count[rest].astype(np.uint16))
-            if len(hot):
-                named = np.unique(anchors[hot])
-                out.deal(HOT, named >> np.uint64(20), named)
-                met.append(_single_windows(raw, head[doc[hot]] + start[hot], ids[doc[hot]], start[hot], count[hot], out, spec))
-            unit, d, s, c = _runs(*(np.concatenate(x) for x in zip(*met, strict=True)))
-            if len(d):
-                out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, spec))
-            yield out.batch()
-
-    def match(t: pa.Table) -> pa.Table:
+def _found(ids: np.ndarray, texts: list[bytes], out: Out, spec: RepeatSpec) -> None:
+    """Contexts of a map task's texts: what it meets twice is compared here, the first goes to its anchor."""
+    order = np.argsort(ids, kind="stable")
+    ids, texts = ids[order], [texts[i] for i in order]
+    parts, a = [], 0
+    while a < len(texts):
+        z, size = a, 0
+        while z < len(texts) and (z == a or size + len(texts[z]) <= spec.batch_bytes):
+            size += len(texts[z])
+            z += 1
+        s = stretches(texts[a:z], spec.length, spec.k)
+        parts.append((s.text + a, s.start, s.count, s.anchor, s.context))
+        a = z
+    doc, start, count, anchors, context = (np.concatenate(c) for c in zip(*parts, strict=True))  # doc: number of the text
+    if not len(doc):
+        return
+    head = np.cumsum([0] + list(map(len, texts)))
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    o, new = _firsts(context)
+    met = [_units(o, new, ids[doc], start, count, spec)]
+    fresh = o[new]
+    _, of, contexts = np.unique(anchors[fresh], return_inverse=True, return_counts=True)
+    many = contexts[of] >= spec.hot
+    hot, rest = fresh[many], np.sort(fresh[~many])
+    out.deal(ENTRY, anchors[rest] >> np.uint64(20), anchors[rest], context[rest], ids[doc[rest]], start[rest].astype(np.uint32), count[rest].astype(np.uint16))
+    if len(hot):
+        named = np.unique(anchors[hot])
+        out.deal(HOT, named >> np.uint64(20), named)
+        met.append(_single_windows(raw, head[doc[hot]] + start[hot], ids[doc[hot]], start[hot], count[hot], out, spec))
+    unit, d, s, c = _runs(*(np.concatenate(x) for x in zip(*met, strict=True)))
+    if len(d):
+        out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, spec))
+
+
+class Steps:
+    """What the tasks do, each on the rows of one bucket or a piece of the table."""
+
+    def __init__(self, buckets: int, spec: RepeatSpec):
+        self.buckets, self.spec = buckets, spec
+
+    def find(self, ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+        out = Out(self.buckets)
+        _found(ids, texts, out, self.spec)
+        return out.batch()
+
+    def match(self, t: pa.Table) -> pa.Table:
         """Contexts by anchor: equal ones make units, windows of an anchor's different ones are sought."""
-        out = Out(buckets)
+        out = Out(self.buckets)
         out.rows += [(b, x, blob) for b, x, blob in zip(*(t.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if x in (MARK, WINDOW)]
         anchors, context, doc, start, count = _read(t, ENTRY, np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
         (hot,) = _read(t, HOT, np.uint64)
         start, count = start.astype(np.int64), count.astype(np.int64)
-        o, new = _firsts(anchors, context, doc=doc, start=start)
-        out.wanted(*_units(o, new, doc, start, count, spec))
+        o, new = _firsts(context, doc, start)
+        out.wanted(*_units(o, new, doc, start, count, self.spec))
         first = o[new]
         _, of, contexts = np.unique(anchors[first], return_inverse=True, return_counts=True)
         sought = first[(contexts[of] > 1) | np.isin(anchors[first], hot)] if len(first) else first
         out.deal(SOUGHT, _doc_key(doc[sought]), doc[sought], start[sought].astype(np.uint32), count[sought].astype(np.uint16))
         return out.table()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _tasks(batches, spec.map_bytes):
-            to, out = (_doc_key(ids) % np.uint64(buckets)).astype(np.int64), Out(buckets)
-            for b in np.unique(to):
-                at = np.nonzero(to == b)[0]
-                blob = _pack(ids[at], np.array([len(texts[i]) for i in at], np.int64), np.frombuffer(b"".join(texts[i] for i in at), np.uint8))
-                out.rows.append((int(b), TEXT, blob))
-            yield out.batch()
+    def pack(self, ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+        """Texts by bucket."""
+        to, out = (_doc_key(ids) % np.uint64(self.buckets)).astype(np.int64), Out(self.buckets)
+        order = np.argsort(to, kind="stable")
+        for at in np.split(order, np.nonzero(np.diff(to[order]))[0] + 1) if len(order) else []:
+            blob = _pack(ids[at], np.array([len(texts[i]) for i in at], np.int64), np.frombuffer(b"".join(texts[i] for i in at), np.uint8))
+            out.rows.append((int(to[at[0]]), TEXT, blob))
+        return out.batch()
 
-    def by_id(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def by_id(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids in order, their texts' sizes and places, and the bytes."""
         ids, size, raw = _read(t, TEXT, np.int64, np.int64, np.uint8)
         order = np.argsort(ids, kind="stable")
         return ids[order], size[order], (np.cumsum(size) - size)[order], raw
 
-    def serve(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    def serve(self, texts: pa.Table, asked: pa.Table) -> pa.Table:
         """Bytes of the wanted rows go to their units; windows of the sought contexts to their fingerprints."""
-        out = Out(buckets)
+        out = Out(self.buckets)
         if asked.num_rows and texts.num_rows:
-            ids, _, head, raw = by_id(texts)
+            ids, _, head, raw = self.by_id(texts)
             doc, start, count = _read(asked, SOUGHT, np.int64, np.uint32, np.uint16)
             start, count = start.astype(np.int64), count.astype(np.int64)
             if len(doc):
-                unit, d, s, c = _single_windows(raw, head[np.searchsorted(ids, doc)] + start, doc, start, count, out, spec)
+                unit, d, s, c = _single_windows(raw, head[np.searchsorted(ids, doc)] + start, doc, start, count, out, self.spec)
                 if len(d):
-                    out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, spec))
+                    out.marks(*_late_windows(unit, d, s, c, head[np.searchsorted(ids, d)] + s, raw, self.spec))
             unit, d, s, c = _runs(*_read(asked, WANTED, np.uint64, np.int64, np.uint32, np.uint32))
             at = head[np.searchsorted(ids, d)] + s
-            to = (unit % np.uint64(buckets)).astype(np.int64)
+            to = (unit % np.uint64(self.buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             for own in np.split(order, np.nonzero(np.diff(to[order]))[0] + 1) if len(order) else []:
-                blob = _pack(unit[own], d[own], s[own], c[own], raw[_ranges(at[own], c[own] + length - 1)])
+                blob = _pack(unit[own], d[own], s[own], c[own], raw[_ranges(at[own], c[own] + self.spec.length - 1)])
                 out.rows.append((int(to[own[0]]), UNIT, blob))
         return out.table()
 
-    def pair(t: pa.Table) -> pa.Table:
+    def pair(self, t: pa.Table) -> pa.Table:
         """Windows by fingerprint: equal ones make units."""
-        out = Out(buckets)
+        out = Out(self.buckets)
         prints, doc, start = _read(t, WINDOW, np.uint64, np.int64, np.uint32)
-        o, new = _firsts(prints, doc=doc, start=start)
-        out.wanted(*_units(o, new, doc, start.astype(np.int64), np.ones(len(doc), np.int64), spec))
+        o, new = _firsts(prints, doc, start)
+        out.wanted(*_units(o, new, doc, start.astype(np.int64), np.ones(len(doc), np.int64), self.spec))
         return out.table()
 
-    def decide(t: pa.Table) -> pa.Table:
-        out = Out(buckets)
+    def decide(self, t: pa.Table) -> pa.Table:
+        out = Out(self.buckets)
         unit, doc, start, count, raw = _read(t, UNIT, np.uint64, np.int64, np.int64, np.int64, np.uint8)
-        size = count + length - 1
-        out.marks(*_late_windows(unit, doc, start, count, np.cumsum(size) - size, raw, spec))
+        size = count + self.spec.length - 1
+        out.marks(*_late_windows(unit, doc, start, count, np.cumsum(size) - size, raw, self.spec))
         return out.table()
 
-    def cut(texts: pa.Table, marked: pa.Table) -> pa.Table:
+    def cut(self, texts: pa.Table, marked: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         if texts.num_rows:
-            ids, size, head, raw = by_id(texts)
+            ids, size, head, raw = self.by_id(texts)
             doc, start, count = _read(marked, MARK, np.int64, np.uint32, np.uint32)
-            _, doc, start, count = _runs(np.zeros(len(doc), np.uint64), doc, start, count.astype(np.int64) + length - 1)  # now bytes
+            _, doc, start, count = _runs(np.zeros(len(doc), np.uint64), doc, start, count.astype(np.int64) + self.spec.length - 1)  # now bytes
             lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
             for i in range(len(ids)):
                 own = raw[head[i] : head[i] + size[i]]
@@ -478,18 +478,37 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
 
+
+def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, end) bytes): one row per row of docs."""
+    spec = spec or RepeatSpec()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shape = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
+    distinct = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().count()
+    named = rows.where("doc_id IS NOT NULL")
+    own = named if shape["n"] == distinct else materialise(named.groupBy("doc_id").agg(F.min("text").alias("text")), "single-texts")
+    buckets = max(1, -(-int(shape["b"] or 0) // spec.bucket_bytes))
+    length = spec.length
+
+    steps = Steps(buckets, spec)
+
+    def pieces(step):
+        return lambda batches: (step(ids, texts) for ids, texts in _tasks(batches, spec.map_bytes))
+
+    # Bound methods are wrapped: the number of a function's arguments tells whether it wants the key.
+    one, two = (lambda step: lambda t: step(t)), (lambda step: lambda t, u: step(t, u))
     of_kind = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
-    packed = own.mapInArrow(pack, ROW)
-    found = materialise(own.mapInArrow(find, ROW).groupBy("bucket").applyInArrow(match, ROW), "repeat-contexts")
-    served = materialise(packed.groupBy("bucket").cogroup(of_kind(found, WANTED, SOUGHT).groupBy("bucket")).applyInArrow(serve, ROW), "repeat-units")
-    windows = of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW)).groupBy("bucket").applyInArrow(pair, ROW)
-    more = packed.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(serve, ROW)
-    edges = of_kind(served, UNIT).unionByName(more).groupBy("bucket").applyInArrow(decide, ROW)
+    packed = own.mapInArrow(pieces(steps.pack), ROW)
+    found = materialise(own.mapInArrow(pieces(steps.find), ROW).groupBy("bucket").applyInArrow(one(steps.match), ROW), "repeat-contexts")
+    served = materialise(packed.groupBy("bucket").cogroup(of_kind(found, WANTED, SOUGHT).groupBy("bucket")).applyInArrow(two(steps.serve), ROW), "repeat-units")
+    windows = of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW)).groupBy("bucket").applyInArrow(one(steps.pair), ROW)
+    more = packed.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(two(steps.serve), ROW)
+    edges = of_kind(served, UNIT).unionByName(more).groupBy("bucket").applyInArrow(one(steps.decide), ROW)
     marks = materialise(of_kind(found, MARK).unionByName(of_kind(served, MARK)).unionByName(edges), "repeat-marks")
     discard(found)
     discard(served)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    result = packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, schema)
+    result = packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(two(steps.cut), schema)
     empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
     whole = rows.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
     if shape["n"] != distinct:

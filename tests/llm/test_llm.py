@@ -112,7 +112,7 @@ def test_merged_transforms_equal_sorting(length):
     for _ in range(40):
         strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 5 * length))], np.uint8) for _ in range(rng.randint(2, 9))]
         shard = np.array([rng.randint(0, 2) for _ in strings])
-        w, a, interval = repeats.repeated(np.concatenate(strings), np.array(list(map(len, strings))), shard, length)
+        w, a, interval, _ = repeats.repeated(np.concatenate(strings), np.array(list(map(len, strings))), shard, length)
         got = defaultdict(set)
         for x, y, z in zip(w.tolist(), a.tolist(), interval.tolist(), strict=True):
             got[z].add((x, y))
