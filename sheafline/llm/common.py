@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it; bytes.split() without arguments splits on exactly these.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_SHARED = "/tmp/checkpoints/sheafline"
+_LOCAL: dict[str, str] = {}  # temporary folders of local masters by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local master uses a temporary folder of
+    its own; a cluster has no folder that every node sees, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = DEFAULT_SHARED
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sheafline-")
+        _LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -38,13 +43,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*frames: DataFrame) -> None:
     """Remove what materialise() wrote, once nothing reads it any more."""
-    path = getattr(df, "_sheafline_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    for df in frames:
+        path = getattr(df, "_sheafline_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], most: int) -> DataFrame:
+    """docs less the rows whose keys (column of gone: expression over docs; null equals null) are in gone. Up to most rows
+    of gone are sent to the texts, which then stay in place; more are joined by an exchange of both."""
+    tag = uuid.uuid4().hex[:8]
+    own = gone.select(*[F.col(k).alias(f"{k}_{tag}") for k in keys])
+    same = F.lit(True)
+    for k, column in keys.items():
+        same = same & column.eqNullSafe(F.col(f"{k}_{tag}"))
+    return docs.join(F.broadcast(own) if own.count() <= most else own, same, "left_anti")
 
 
 def hash_sample(df: DataFrame, n: int, key: str = "doc_id", by: str | None = None) -> DataFrame:
@@ -61,9 +81,23 @@ def hash_sample(df: DataFrame, n: int, key: str = "doc_id", by: str | None = Non
     return df.where(keep)
 
 
-def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows per Arrow batch where the session has the default of 10000: batches of whole texts otherwise take tens
-    of MB in the executor and again in its Python worker."""
+@contextmanager
+def lean(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows per Arrow batch for the jobs run inside, where the session has the default of 10000: batches of whole
+    texts otherwise take tens of MB in the executor and again in its Python worker. The session's value is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    if before == "10000":
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For applications (queries, pipelines) that hand on results which Python has still to compute: the session's Arrow
+    batches hold few rows from here on, if it has the default."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))

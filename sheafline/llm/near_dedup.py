@@ -3,19 +3,21 @@
 1. Signatures. A document's set of n-word shingles gives, for each permutation, the minimum and the maximum: two values
    for one hash evaluation. Values are banded; documents that share a band are candidates. With 64 permutations and bands
    of 4 of the 128 values a pair at similarity 0.8 is missed with a probability of about 5 in 10^8.
-2. Classes. Documents with equal sets are one class, represented by the smallest id, before anything is paired: copies,
-   however many, cost one row per map task.
+2. Classes. Documents with equal sets are one class, named by a 128-bit digest of the set, before anything is paired:
+   copies, however many, cost one row per map task. From here on only digests and sets of hashes travel, no texts.
 3. Stars. In every bucket each member is compared with one centre, the member that meets most others. Links are decided
-   on the sets themselves, rebuilt from the texts.
+   on the sets themselves.
 4. Components of these links by alternating large and small stars; labels stay distributed and each round is written.
-5. Rest. Members of one centre's cluster that ended in different components have only been compared with the centre.
-   Those outside the cluster's largest component are compared with all its members, block by block, so any link between
-   members of a bucket is found; blocks bound the memory of a task, and pairs are never rows.
+5. Rest. Members of one centre's cluster that ended in different components have only been compared with the centre. Of
+   these the sets are joined exactly: two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of
+   each. Shingles that few sets have rare among their own give pairs; those of many are compared block by block, so a
+   common passage meets in no task as a whole, and no link between members of a bucket is lost.
 
 Cases. Null and empty texts have an empty set and are linked with nothing, not even each other. A text of fewer than n
 words is one shingle. Equal sets are linked. Rows that repeat a doc_id with the same text are one document and each row
-is returned; a null doc_id is returned alone, unlinked. An empty table gives an empty result. Columns beyond doc_id and
-text are ignored by ``components`` and returned unchanged by ``drop_near_copies``.
+is returned; rows of one doc_id with different texts are different documents, which share the id. A null doc_id is
+returned alone, unlinked. An empty table gives an empty result. Columns beyond doc_id and text are ignored by
+``components`` and returned unchanged by ``drop_near_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,17 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import chunks_of, lean, materialise
+from .common import chunks_of, discard, lean, materialise, without
 
 
 @dataclass(frozen=True)
 class NearSpec:
-    """words per shingle; similarity as a ratio of integers; permutations and values per band; rows per block; most
-    candidate ids that are broadcast."""
+    """words per shingle; similarity as a ratio of integers; permutations and values per band; rows per block and most
+    sets of a shingle that are paired; most candidates that are broadcast."""
 
     words: int = 5
     similar: int = 80
@@ -43,54 +45,78 @@ class NearSpec:
     permutations: int = 64
     rows: int = 4
     block: int = 256
-    broadcast_ids: int = 2_000_000
+    paired: int = 32
+    broadcast_ids: int = 1_000_000
 
 
-def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """doc_id, n, k1, k2 (digest of the set), bands (null for empty sets): one row per row of docs."""
-    lean(docs.sparkSession)
+def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
+    return shingles.sets_of([shingles.lowered(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], words)
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([np.array(shingles.set_digest(x), np.int64).tobytes() for x in sets], pa.binary())
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+
+
+def signatures(docs: DataFrame, spec: NearSpec, name: Column | None = None) -> DataFrame:
+    """doc_id, name, n, k (digest of the set), bands (null for empty sets): one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches, "text", 1_500_000):
-            sets = shingles.sets_of([shingles.lowered(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], spec.words)
+            sets = _sets(batch, spec.words)
             size = np.array(list(map(len, sets)), np.int64)
-            digests = np.array([shingles.set_digest(s) for s in sets], np.int64).reshape(-1, 2)
             full = np.nonzero(size)[0]
             bands = np.zeros((0, 1), np.int64)
             if len(full):
                 bands = shingles.band_keys(shingles.min_max([sets[i] for i in full], spec.permutations), spec.rows).view(np.int64)
             ends = np.concatenate([[0], np.cumsum((size > 0) * bands.shape[1])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(size), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), _digests(sets), lists], ["doc_id", "name", "n", "k", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if name is None else name).cast("long").alias("name"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, name long, n long, k binary, bands array<long>")
 
 
-def linked_pairs(pairs: DataFrame, spec: NearSpec) -> DataFrame:
-    """Of pairs (z, x, z_text, x_text) those (z, x) whose sets are similar enough."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
+    """k and s, the sorted shingle hashes, of the sets whose digests are in ids: one row each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks_of(batches, "x_text", 1_000_000):
-            names = batch.schema.names
-            z, x, zt, xt = (batch.column(names.index(c)).to_pylist() for c in ("z", "x", "z_text", "x_text"))
-            own = _by_id(z, zt, spec.words)
-            keep = []
-            for i, s in enumerate(shingles.sets_of([shingles.lowered(t) for t in xt], spec.words)):
-                both = shingles.overlap(own[z[i]], s)
-                if spec.of * both >= spec.similar * (len(own[z[i]]) + len(s) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], pa.int64()), pa.array([x[i] for i in keep], pa.int64())], ["z", "x"])
+        for batch in chunks_of(batches, "text", 1_500_000):
+            sets = _sets(batch, spec.words)
+            yield pa.RecordBatch.from_arrays([_digests(sets), _lists(sets)], ["k", "s"])
 
-    return pairs.select("z", "x", "z_text", "x_text").mapInArrow(run, "z long, x long")
+    made = texts.mapInArrow(run, "k binary, s array<long>")
+    # An id may repeat with the same text, or with others that are no candidates.
+    return made.join(ids.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s"))
 
 
-def _by_id(ids: list[int], texts: list[str], words: int) -> dict[int, np.ndarray]:
-    first = dict(zip(reversed(ids), reversed(texts), strict=True))
-    return dict(zip(first, shingles.sets_of([shingles.lowered(t) for t in first.values()], words), strict=True))
+def linked_pairs(pairs: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
+    """Of pairs (a, b) those whose sets are similar enough."""
+    held = pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("bs")), "b").join(sets.select(F.col("k").alias("a"), F.col("s").alias("xs")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)):
+                both = shingles.overlap(x, y)
+                if spec.of * both >= spec.similar * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return held.select("a", "b", "xs", "bs").mapInArrow(run, "a binary, b binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(v, component) of the vertices of edges (a, b): component is the smallest vertex reachable."""
+    """(v, component) of the vertices of edges (a, b) but the smallest of each component, which is its name."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
@@ -104,98 +130,131 @@ def connected(edges: DataFrame) -> DataFrame:
         # Now every pair points to a smaller vertex; small stars link a vertex's smaller neighbours with the smallest.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = materialise(small.distinct(), "edges")
+        old, now = now, materialise(small.distinct(), "edges")
+        discard(old)
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "v")
 
 
-def _rest(star: DataFrame, labels: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
+def _rest(star: DataFrame, labels: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     """Links (a, b) between members of a centre's cluster that lie in different components."""
     members = star.select("z", "x").union(star.select("z", F.col("z").alias("x")).distinct())
     named = members.join(labels.select(F.col("v").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     named = materialise(named, "cluster-members")
-    per = named.groupBy("z", "component").agg(F.count(F.lit(1)).alias("m"))
-    shape = per.groupBy("z").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    shape = named.groupBy("z").agg(F.count(F.lit(1)).alias("m"), (F.min("component") != F.max("component")).alias("open"))
     # With two members there is only the pair with the centre, which has been judged.
-    open_ = shape.where("parts > 1 AND all > 2").select("z", F.col("main.component").alias("main"), F.ceil(F.col("all") / spec.block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.m")) / spec.block).cast("int").alias("odd_blocks"))
-    open_ = materialise(open_, "open-clusters")
-    held = named.join(open_, "z")
-    odd = held.where("component <> main").withColumn("i", F.pmod(F.xxhash64("x"), F.col("odd_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("odd", F.lit(True))
-    every = held.withColumn("j", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("odd", F.lit(False))
-    names = ["z", "i", "j", "odd", "x", "component"]
-    cells = odd.select(*names).union(every.select(*names)).join(texts.select(F.col("id").alias("x"), "text"), "x")
+    open_ = named.join(shape.where("open AND m > 2").select("z"), "z", "left_semi").select("x", "component").distinct()
+    held = materialise(open_.join(sets.withColumnRenamed("k", "x"), "x"), "open-sets")
+    # How many sets have a shingle, and whether they lie in several components; shingles of one set come first in the order.
+    seen = held.select(F.explode("s").alias("t"), "component").groupBy("t").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("apart")).where("df > 1")
+    seen = materialise(seen, "shingle-counts")
+    n = F.size("s")
+    shared = held.select("x", "component", n.alias("n"), F.explode("s").alias("t")).join(seen.hint("merge"), "t")
+    order = Window.partitionBy("x").orderBy("df", "t")
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("x"))
+    # ceil(similar * n / of) in whole numbers
+    prefix = F.col("n") - F.floor((F.lit(spec.similar) * F.col("n") + (spec.of - 1)) / spec.of) + 1
+    rare = shared.withColumns({"place": F.row_number().over(order), "alone": alone}).where(F.col("place") + F.col("alone") <= prefix).where("apart").select("t", "x", "component", "n")
+    rare = materialise(rare, "rare-shingles")
+    groups = rare.groupBy("t").agg(F.count(F.lit(1)).alias("m"), (F.min("component") != F.max("component")).alias("apart")).where("apart").drop("apart")
+    groups = materialise(groups, "shingle-groups")
+    few = rare.join(groups.where(F.col("m") <= spec.paired).select("t"), "t")
+    other = few.select("t", F.col("x").alias("y"), F.col("component").alias("other"), F.col("n").alias("yn"))
+    pairs = few.join(other, "t").where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (spec.of * F.least("n", "yn") >= spec.similar * F.greatest("n", "yn")))
+    found = linked_pairs(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, spec)
+    # Shingles of many sets: those outside the largest component meet all others, block by block.
+    many = rare.join(groups.where(F.col("m") > spec.paired).select("t"), "t")
+    per = many.groupBy("t", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = per.groupBy("t").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main"))
+    sizes = sizes.select("t", F.col("main.component").alias("main"), F.ceil(F.col("all") / spec.block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.m")) / spec.block).cast("int").alias("odd_blocks"))
+    cells = many.join(sizes, "t")
+    block = lambda c: F.pmod(F.xxhash64("x"), F.col(c)).cast("int")
+    odd = cells.where("component <> main").withColumns({"i": block("odd_blocks"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "odd": F.lit(True)})
+    every = cells.withColumns({"j": block("blocks"), "i": F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)), "odd": F.lit(False)})
+    names = ["t", "i", "j", "odd", "x", "component"]
+    cells = odd.select(*names).union(every.select(*names)).join(sets.withColumnRenamed("k", "x"), "x")
 
     def compare(t: pa.Table) -> pa.Table:
-        odd = np.array(t.column("odd").to_pylist(), bool)
-        ids, comp = t.column("x").to_numpy(), t.column("component").to_numpy()
-        sets = shingles.sets_of([shingles.lowered(x) for x in t.column("text").to_pylist()], spec.words)
+        return _across(np.array(t.column("odd").to_pylist(), bool), t.column("x").to_pylist(), t.column("component").to_pylist(), _arrays(t.column("s").combine_chunks()), spec)
+
+    return found.union(cells.groupBy("t", "i", "j").applyInArrow(compare, "a binary, b binary"))
+
+
+def _across(odd: np.ndarray, ids: list[bytes], component: list[bytes], sets: list[np.ndarray], spec: NearSpec) -> pa.Table:
+    """Links between the odd rows and the others that lie in different components, by products of incidence matrices."""
+    left, right = np.nonzero(odd)[0], np.nonzero(~odd)[0]
+    out: list[tuple[bytes, bytes]] = []
+    if len(left) and len(right):
         size = np.array(list(map(len, sets)), np.int64)
-        left, right = np.nonzero(odd)[0], np.nonzero(~odd)[0]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            where = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
-            _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            common = df > 1
-            slot = np.cumsum(common) - 1
-            fine = common[code]
-            where, code = where[fine], slot[code[fine]]
-            both = np.zeros((len(left), len(right)), np.float32)
-            place = np.full(len(sets), -1)
-            place[left], side = np.arange(len(left)), odd
-            place[right] = np.arange(len(right))
-            step = 8192  # columns of the incidence matrices at a time
-            order = np.argsort(code, kind="stable")
-            where, code = where[order], code[order]
-            for a in range(0, int(common.sum()), step):
-                lo, hi = np.searchsorted(code, [a, a + step])
-                w, c = where[lo:hi], code[lo:hi] - a
-                p, q = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-                p[place[w[side[w]]], c[side[w]]] = 1
-                q[place[w[~side[w]]], c[~side[w]]] = 1
-                both += p @ q.T
-            both = both.astype(np.int64)
-            union = size[left][:, None] + size[right][None, :] - both
-            i, j = np.nonzero((spec.of * both >= spec.similar * union) & (comp[left][:, None] != comp[right][None, :]))
-            out_a, out_b = ids[left[i]], ids[right[j]]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return cells.groupBy("z", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def components(docs: DataFrame, spec: NearSpec | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+        _, comp = np.unique(np.array(component, object), return_inverse=True)
+        where = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
+        _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = df > 1
+        slot = np.cumsum(common) - 1
+        fine = common[code]
+        where, code = where[fine], slot[code[fine]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        place = np.full(len(sets), -1)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        step = 8192  # columns of the incidence matrices at a time
+        order = np.argsort(code, kind="stable")
+        where, code = where[order], code[order]
+        for a in range(0, int(common.sum()), step):
+            lo, hi = np.searchsorted(code, [a, a + step])
+            w, c = where[lo:hi], code[lo:hi] - a
+            p, q = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+            p[place[w[odd[w]]], c[odd[w]]] = 1
+            q[place[w[~odd[w]]], c[~odd[w]]] = 1
+            both += p @ q.T
+        both = both.astype(np.int64)
+        union = size[left][:, None] + size[right][None, :] - both
+        i, j = np.nonzero((spec.of * both >= spec.similar * union) & (comp[left][:, None] != comp[right][None, :]))
+        out = [(ids[left[x]], ids[right[y]]) for x, y in zip(i, j, strict=True)]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+
+def components(docs: DataFrame, spec: NearSpec | None = None, name: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and name, a number that tells rows of one doc_id apart, if given): one row per
+    row of docs."""
     spec = spec or NearSpec()
-    sig = materialise(signatures(docs, spec), "signatures")
-    one = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.first("n").alias("n"))
-    classes = materialise(one, "set-classes")
-    bands = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    held = materialise(bands.join(counts, "bucket"), "buckets")
-    degree = held.groupBy("id").agg(F.sum("m").alias("degree"))
-    centre = held.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), "n")).alias("c"))
-    centre = materialise(centre.select("bucket", (-F.col("c.back")).alias("z"), F.col("c.n").alias("zn")), "centres")
-    star = held.join(centre, "bucket").where("id <> z").groupBy("z", F.col("id").alias("x")).agg(F.first("n").alias("n"), F.first("zn").alias("zn"))
-    star = materialise(star, "stars")
-    meant = star.select("x").union(star.select("z")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    meant = materialise(meant.withColumnRenamed("x", "id"), "candidate-ids")
-    # So many ids (8 bytes each) are sent to the texts; more are joined by an exchange of both.
-    held_ids = F.broadcast(meant) if meant.count() <= spec.broadcast_ids else meant
-    texts = materialise(texts.join(held_ids, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    able = star.where(spec.of * F.least("n", "zn") >= spec.similar * F.greatest("n", "zn")).select("z", "x")
-    pairs = able.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("id").alias("z"), F.col("text").alias("z_text")), "z")
-    edges = materialise(linked_pairs(pairs, spec).select(F.col("z").alias("a"), F.col("x").alias("b")), "links")
-    labels = materialise(connected(edges), "components")
-    more = materialise(_rest(star, labels, texts, spec), "more-links")
-    if not more.isEmpty():
-        labels = materialise(connected(edges.union(more)), "components")
-    named = classes.select("k1", "k2", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
-    named = materialise(named, "class-components")
-    out = sig.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    with lean(docs.sparkSession):
+        sig = materialise(signatures(docs, spec, name), "signatures")
+        one = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+        classes = materialise(one, "set-classes")
+        bands = classes.select("k", "n", F.explode("bands").alias("bucket"))
+        counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        held = materialise(bands.join(counts, "bucket"), "buckets")
+        degree = held.groupBy("k").agg(F.sum("m").alias("degree"))
+        centre = held.join(degree, "k").groupBy("bucket").agg(F.max(F.struct("degree", "k", "n")).alias("c"))
+        centre = materialise(centre.select("bucket", F.col("c.k").alias("z"), F.col("c.n").alias("zn")), "centres")
+        star = held.join(centre, "bucket").where("k <> z").groupBy("z", F.col("k").alias("x")).agg(F.first("n").alias("n"), F.first("zn").alias("zn"))
+        star = materialise(star, "stars")
+        meant = star.select(F.col("x").alias("k")).union(star.select("z")).distinct()
+        meant = materialise(classes.join(meant, "k", "left_semi").select("k", "doc_id"), "candidates")
+        # So many (24 bytes each) are sent to the texts; more are joined by an exchange of both.
+        small = meant.count() <= spec.broadcast_ids
+        sets = materialise(shingle_sets(docs, F.broadcast(meant) if small else meant, spec), "candidate-sets")
+        able = star.where(spec.of * F.least("n", "zn") >= spec.similar * F.greatest("n", "zn")).select(F.col("z").alias("a"), F.col("x").alias("b"))
+        edges = materialise(linked_pairs(able, sets, spec), "links")
+        labels = materialise(connected(edges), "components")
+        more = materialise(_rest(star, labels, sets, spec), "more-links")
+        if not more.isEmpty():
+            labels = materialise(connected(edges.union(more)), "components")
+    # A component's id is the smallest doc_id of its classes.
+    every = labels.union(labels.select(F.col("component").alias("v"), "component").distinct())
+    named = classes.select("k", "doc_id").join(every.withColumnRenamed("v", "k"), "k")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("c"))
+    alone = classes.join(every.select(F.col("v").alias("k")), "k", "left_anti").select("k", F.col("doc_id").alias("c"))
+    named = materialise(named.join(least, "component").select("k", "c").union(alone), "class-components")
+    discard(classes, held, centre, star, meant, sets, edges, labels, more)
+    out = sig.join(named, "k", "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    tags = [] if name is None else ["name"]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *tags)
 
 
 def drop_near_copies(docs: DataFrame, spec: NearSpec | None = None) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id."""
-    gone = components(docs, spec).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    spec = spec or NearSpec()
+    print_ = F.xxhash64("text")
+    gone = materialise(components(docs, spec, print_).where("NOT kept").select("doc_id", "name").distinct(), "near-copies")
+    return without(docs, gone, {"doc_id": F.col("doc_id").cast("long"), "name": print_}, spec.broadcast_ids)

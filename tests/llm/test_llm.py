@@ -198,6 +198,33 @@ def test_near_group_of_variants(spark):
     assert got == brute_near(rows, 4)
 
 
+def test_near_passage_of_many_documents(spark):
+    """Documents that share most of a long passage and little else meet in many buckets without being linked; some of them
+    are linked with each other, not with the centre."""
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"d{i}_{k}" for k in range(rng.randint(14, 30))]
+        rows.append((i, " ".join(common + own)))
+        if i % 5 == 0:
+            rows.append((200 + i, " ".join(common + own + [f"e{i}"])))
+        if i % 10 == 0:
+            rows.append((400 + i, " ".join(common[: 55 + i % 5] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for paired in (2, 32):
+        got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.components(df, near_dedup.NearSpec(words=4, block=8, paired=paired)).collect()}
+        assert got == brute_near(rows, 4)
+
+
+def test_near_documents_of_one_id(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "other words stand here alone now"), (None, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"name": F.lit("clash"), "k": F.lit(1), "n_shingles": F.lit(2)})
+    got = near_dedup.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in got.collect()) == [(0, "a b c"), (1, "a b c"), (2, "other")]
+
+
 def test_near_odd(odd, none):
     got = {r["doc_id"]: r for r in near_dedup.components(odd).collect()}
     assert got[1]["component_id"] == 1 and got[2]["n_shingles"] == 0 and got[2]["kept"] and got[5]["component_id"] == 4 and got[7]["component_id"] == 6
