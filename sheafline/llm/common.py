@@ -48,6 +48,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None where there is no such file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    raw = bytes(b & 255 for b in iter(stream.read, -1))
+    stream.close()
+    return raw.decode()
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove what materialise() wrote, once nothing reads it any more."""
     for df in frames:

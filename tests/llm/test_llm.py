@@ -58,6 +58,27 @@ def test_exact_index_persists(spark, tmp_path):
     assert exact_dedup.DigestIndex(spark, path, 4).read().count() == 3
 
 
+def test_exact_batch_absorbed_again_changes_nothing(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "again"), 4)
+    for _ in range(3):
+        index.absorb(spark.createDataFrame([(5, "a"), (6, "b"), (7, "a")], "doc_id long, digest string"), "first")
+    assert sorted(map(tuple, index.read().collect())) == [("a", 5, 2), ("b", 6, 1)]
+    index.close()
+    reopened = exact_dedup.DigestIndex(spark, str(tmp_path / "again"), 64)
+    assert reopened.buckets == 4 and reopened.read().count() == 2
+    before = len(spark.catalog.listTables())
+    exact_dedup.classify(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()
+    assert len(spark.catalog.listTables()) == before
+    assert [exact_dedup.buckets_for(n) for n in (0, 10**6, 9 * 10**6, 10**10)] == [8, 8, 16, 16384]
+
+
+def test_exact_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a  b"), (1, "a b"), (3, "c")], "doc_id long, text string")
+    df = df.withColumns({"keep_id": F.lit(1), "__digest": F.lit("x"), "text_sha256": F.lit("y"), "digest": F.lit("z")})
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_exact_odd(odd, none):
     got = {r["doc_id"]: r for r in exact_dedup.classify(odd).collect()}
     assert got[2]["keep_id"] == 1 and got[4]["group_size"] == 3 and got[7]["keep_id"] == 6 and got[3]["kept"]
