@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import stretches, window_prints
-from .common import discard, materialise
+from .common import materialise
 from .shingles import mix64
 
 
@@ -504,9 +504,8 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
     windows = of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW)).groupBy("bucket").applyInArrow(one(steps.pair), ROW)
     more = packed.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(two(steps.serve), ROW)
     edges = of_kind(served, UNIT).unionByName(more).groupBy("bucket").applyInArrow(one(steps.decide), ROW)
-    marks = materialise(of_kind(found, MARK).unionByName(of_kind(served, MARK)).unionByName(edges), "repeat-marks")
-    discard(found)
-    discard(served)
+    # Not written: the texts dealt by bucket are exchanged once for this and the next step.
+    marks = of_kind(found, MARK).unionByName(of_kind(served, MARK)).unionByName(edges)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     result = packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(two(steps.cut), schema)
     empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
