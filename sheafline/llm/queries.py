@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, mixing, near_dedup, pieces, repeats, secrets, topk, toxicity
+from . import common, exact_dedup, html_text, langid, mixing, near_dedup, pieces, repeats, secrets, topk, toxicity
 
 #: Folder of the public tokenizers; another one can be named in the environment.
 TOKENIZERS = os.environ.get("SHEAFLINE_TOKENIZERS", "/opt/tokenizers")
@@ -51,6 +51,7 @@ def tox_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(tox_labels(docs, table(spark, sf_dir, "labels")))
     out = toxicity.score(docs, model, ("doc_id",))
@@ -74,6 +75,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, PIECE_MODEL, check="round_trip")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "round_trip", "ids")

@@ -13,7 +13,8 @@
 4. Score. A logistic regression over the weights of hits by kind and context and the text's capitals and exclamation
    marks, fitted on a bounded sample by iterated reweighted least squares.
 
-Cases. Null and empty texts get the score of a text without hits. Unlabelled rows, null labels and labels other than 0
+Cases. Null and empty texts get the score of a text without hits. A score of exactly 0.5 counts as toxic where a decision
+is made. Unlabelled rows, null labels and labels other than 0
 and 1 never train; without both labels every score is 0. Whole texts are read, however long. Repeated rows are scored
 one by one; extra columns are dropped unless named in keep.
 """
@@ -32,18 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_of, hash_sample, lean, materialise
+from .common import chunks_of, discard, hash_sample, materialise
 from .exact_dedup import text_digest
 
 
 @dataclass(frozen=True)
 class ToxSpec:
-    """terms, heads: most terms of a kind. fit_docs: about how many texts of each label the driver collects. min_hits,
-    min_before, min_ratio: what a word must reach in toxic texts; head_words: strong words that make a head."""
+    """fit_docs: about how many texts of each label the driver collects. min_hits, min_share, min_before, min_ratio: toxic
+    texts, share of them, words before and ratio that a word must reach; as a text holds so many words, a least share bounds
+    the lexicon whatever the number of texts. head_words: strong words that make a head. most_states: automaton states and
+    moves kept by a worker."""
 
-    terms: int = 1500
-    heads: int = 200
     fit_docs: int = 3000
+    min_share: float = 0.0002
     min_hits: int = 5
     min_before: int = 4
     min_ratio: float = 8.0
@@ -51,6 +53,7 @@ class ToxSpec:
     head_words: int = 5
     window: int = 6
     l2: float = 0.05
+    most_states: int = 200_000
 
 
 WORD = re.compile(r"\w[\w@$*]*")
@@ -63,7 +66,7 @@ FEATURES = ("whole", "near", "head", "quoted", "abuse", "kinds", "share", "capit
 class Lexicon:
     """Terms (text, whether a head, weight) as a trie with Levenshtein automata run over it."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], most_states: int = 200_000):
         self.terms = sorted({(t, h): w for t, h, w in terms}.items())
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # per node: (allowed edits, head, number of the term)
@@ -86,6 +89,12 @@ class Lexicon:
                 self.depth_allow[node] = max(self.depth_allow[node], allow)
             self.ends[node].append((allow, head, number))
         self.alphabet = {c for (t, _), _ in self.terms for c in t}
+        self.most_states = most_states
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all states; they are made again when met."""
+        self.n_moves = 0
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -127,10 +136,13 @@ class Lexicon:
                 best[node] = used + 1  # a letter too many
         out = self._state(best) if best else -1
         self.moves[state][c] = out
+        self.n_moves += 1
         return out
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, number of the term) of the best match: a whole term before a head, fewer edits first."""
+        if len(self.states) + self.n_moves > self.most_states:
+            self._clear()
         state, front, moves, heads = self.start, None, self.moves, self.heads
         for c in word:
             if c not in self.alphabet:
@@ -163,12 +175,11 @@ def features(lexicon: Lexicon, text: str | None, window: int = 6, memo: dict | N
     if not low:
         return [0.0] * (len(FEATURES) - 1) + [shouts]
     match, alphabet = lexicon.match, lexicon.alphabet
-    moves = lexicon.moves[lexicon.start]
     memo = {} if memo is None else memo
     hits = []
     for i, w in enumerate(low):
         c = w[0]
-        if moves.get(c if c in alphabet else "", 0) < 0:
+        if lexicon.moves[0].get(c if c in alphabet else "", 0) < 0:
             continue  # dead after the first letter
         if w in memo:
             d = memo[w]
@@ -257,10 +268,11 @@ def learn(labelled: DataFrame, spec: ToxSpec | None = None) -> ToxModel:
     counts = materialise(term_counts(shared(labelled, digests)), "word-counts")
     ratio = (F.col("pos") + 0.1) / sizes[1]["texts"] / ((F.col("neg") + 0.5) / sizes[0]["texts"])
     counts = counts.withColumn("w", F.log(ratio))
-    strong = counts.where((F.col("pos") >= spec.min_hits) & (ratio >= spec.min_ratio))
-    # Words of copied texts go before the ranking, so the limit leaves out the weakest terms only.
+    least = max(spec.min_hits, spec.min_share * sizes[1]["texts"])
+    strong = counts.where((F.col("pos") >= least) & (ratio >= spec.min_ratio))
     apart = words_before(labelled, strong).where(F.col("n") >= spec.min_before).select("word")
-    rows = strong.join(apart, "word").orderBy(F.desc(F.col("pos") * F.col("w")), "word").limit(spec.terms).collect()
+    rows = strong.join(apart, "word").collect()  # bounded by min_share
+    rows.sort(key=lambda r: (-r["pos"] * r["w"], r["word"]))
     terms = [(r["word"], False, min(5.0, r["w"])) for r in rows]
     members: dict[str, int] = {}
     for term, _, _ in terms:
@@ -275,10 +287,11 @@ def learn(labelled: DataFrame, spec: ToxSpec | None = None) -> ToxModel:
         found = [(r["head"], r["pos"], r["w"]) for r in heads.withColumn("w", F.log(ratio)).where(ratio >= spec.head_ratio).collect()]
         found.sort(key=lambda x: (-x[1] * x[2], x[0]))
     longer = lambda h, p: any(o != h and o.startswith(h) and q >= 0.9 * p for o, q, _ in found)
-    terms += [(h, True, min(5.0, w)) for h, p, w in found if not longer(h, p)][: spec.heads]
+    terms += [(h, True, min(5.0, w)) for h, p, w in found if not longer(h, p)]
+    discard(digests, counts)
     sample = _sample(labelled, spec.fit_docs)
     pos, neg = sample[1], sample[0]
-    lexicon = Lexicon(terms)
+    lexicon = Lexicon(terms, spec.most_states)
     memo: dict = {}
     x = np.array([features(lexicon, t, spec.window, memo) for t in pos + neg])
     y = np.array([1.0] * len(pos) + [0.0] * len(neg))
@@ -316,8 +329,8 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: ToxModel, keep: tuple[str, ...] | None = None, column: str = "score") -> DataFrame:
-    """keep (None: all columns) and the score of each row of docs."""
-    lean(docs.sparkSession)
+    """keep (None: all columns but one named column, which is replaced) and the score of each row of docs. Whole texts go to
+    Python: a job over long ones wants few rows in an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch)."""
     names = [c for c in (docs.columns if keep is None else keep) if c != column]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(column, T.DoubleType())])
     own = docs.select(*[F.col(f"`{c}`") for c in names], *([] if "text" in names else ["text"]))
