@@ -18,15 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm import exact_dedup, mixing, near_dedup, pieces, queries, toxicity
-from sheafline.llm.common import materialise
+from sheafline.llm.common import materialise, small_batches
 
+#: A name that no table has.
+SCORE = "score_3f1c9a5e"
 #: The pipeline keeps all tokens that the weights allow within two epochs.
 PIPELINE_MIX = mixing.MixSpec(weights=queries.MIX.weights, budget_share=0.9, max_epochs=2, seed=queries.MIX.seed)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.learn(queries.tox_labels(docs, queries.table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, None, "__toxic").where("__toxic < 0.5").drop("__toxic")
+    scored = toxicity.score(docs, model, None, SCORE)
+    return scored.where(F.col(SCORE) < 0.5).drop(SCORE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +46,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), queries.PIECE_MODEL)
     return out.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
 
