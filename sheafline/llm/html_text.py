@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a tree of nodes. Boilerplate by markup (scripts, styles, navigation, forms, elements whose class, id or
-role says advert, comment, ...) takes no part; a class, id or role does not count where it would take the article with it
-(``_settle``). For every node the composite density is characters per tag, adjusted by
+role names such a part: "comments", "left-sidebar", not "has-sidebar" or "search-results") takes no part; a class, id or
+role does not count where it would take the article with it (``_settle``). For every node the composite density is characters per tag, adjusted by
 links:
 
     d(x) = C/T * log(C/LC * T/LT) to the base ln(C/(C - LC) * LC + LCb/Cb * C + e)
@@ -13,7 +13,8 @@ from the core to the body is the threshold. The core grows to its parents; what
 sections too, unless it is mostly links and below the threshold. This decides on every page: an article or main element
 around the core that holds most of the text only says where growth ends.
 
-A page is one row and its tree one page's size; nothing is shared between pages, so tasks are independent.
+A page is one row and its tree one page's size; nothing is shared between pages, so tasks are independent. Every step
+takes time in proportion to the page, however deep its tags are nested.
 
 Cases. Null or empty html, and pages without text, give ''. Unclosed and stray tags are taken as browsers do for the
 common cases (p, li, td, option close their like). Truncated markup ends with the page. Character references without a
@@ -43,7 +44,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form iframe svg math canvas object embed video audio button select option textarea input label menu dialog map".split()
+    "script style noscript template head title nav footer form iframe svg canvas object embed video audio button select option textarea input label menu dialog map".split()
 )
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -51,22 +52,24 @@ CLOSES = {
 }
 P_CLOSERS = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend"}
 P_SCOPE = frozenset("html body table td th caption button object".split())
+CONTAINERS = ("td", "th", "table", "article", "body")
+RAW_END = {tag: re.compile(f"</{tag}[\\s/>]", re.I) for tag in RAW}
 CELLS = frozenset("li dt dd tr td th".split())
-# Words in class, id and role that mark what is not the article.
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply sidebar "
-    "sidebars widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager nav navbar navigation "
-    "menu footer masthead skip toolbar complementary contentinfo search".split()
-)
-HEADER_WORDS = frozenset("header site-header page-header topbar".split())
-# Words of NOISE that also name parts or states of a layout ("has-sidebar").
-LAYOUT = HEADER_WORDS | frozenset(
-    "banner cookie cookies consent gdpr notice notices alert popup modal overlay signup login sidebar sidebars widget widgets breadcrumb "
-    "breadcrumbs pagination pager nav navbar navigation menu footer masthead skip toolbar search".split()
-)
-#: How an element is marked: not, by a word of LAYOUT inside a name, by one that is a name or begins it, by another word of
-#: NOISE, by what it is.
+# Names of parts of a page in class, id and role, by what they are.
+MENUS = "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar skip"
+HEADERS = "header masthead topbar"
+FOOTERS = "footer contentinfo"
+SIDEBARS = "sidebar sidebars complementary"
+NOTICES = "notice notices cookie cookies consent gdpr alert popup modal overlay banner"
+FORMS = "search searchform login signup subscribe subscription newsletter"
+ADVERTS = "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion"
+COMMENTS = "comment comments commentlist disqus respond replies reply"
+LAYOUT = frozenset(" ".join((MENUS, HEADERS, FOOTERS, SIDEBARS, NOTICES, FORMS)).split())
+NOISE = LAYOUT | frozenset(f"{ADVERTS} {COMMENTS}".split())
+# Words that begin the name of a state ("has-sidebar"), not of a part.
+STATES = frozenset("has have with without no not is in on hide show".split())
+#: How an element is marked: not, by a name that ends in a word of LAYOUT, by a word of LAYOUT, by an advert's or comment's
+#: name, by what it is.
 PLAIN, DOUBTFUL, NAMED, FOREIGN, FIRM = range(5)
 WORDS = re.compile(r"[a-z0-9]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -74,22 +77,30 @@ ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "c", "t", "lc", "lt", "density", "sum", "free", "out", "holds")
+    __slots__ = ("tag", "parent", "inside", "items", "noise", "c", "t", "lc", "lt", "density", "sum", "free", "out", "holds")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = PLAIN):
         self.tag, self.parent, self.items, self.noise = tag, parent, [], noise
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.free = self.out = 0
         self.holds = False
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
 
 
-def _marked(tag: str, attrs: str, stack: list[Node]) -> int:
+def _named(name: str, inside: bool) -> int:
+    """What one name of a class, id or role says. The last word tells what a thing is: a "left-sidebar" is a sidebar, a
+    "content-sidebar-wrap" is not."""
+    words = [w for w in WORDS.findall(name) if not w.isdigit()]
+    if not words or words[-1] not in NOISE or (len(words) > 1 and words[0] in STATES) or (inside and words[-1] in HEADERS.split()):
+        return PLAIN
+    return FOREIGN if words[-1] not in LAYOUT else DOUBTFUL if len(words) > 1 else NAMED
+
+
+def _marked(node: Node, attrs: str) -> int:
     """Whether an element is boilerplate by its name or attributes, and how surely."""
-    if tag in DROPPED:
-        return FIRM
-    inside = any(n.tag in ("article", "main") for n in stack)
-    if tag == "header" and not inside:
+    tag = node.tag
+    if tag in DROPPED or (tag in ("header", "aside") and not node.inside):
         return FIRM
     if not attrs or tag in ("html", "body", "article", "main"):
         return PLAIN
@@ -98,14 +109,8 @@ def _marked(tag: str, attrs: str, stack: list[Node]) -> int:
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return FIRM
-        if name in ("class", "id", "role"):
-            if value == "banner" and name == "role" and inside:
-                continue
-            noise = NOISE if inside else NOISE | HEADER_WORDS
-            for one in value.split():
-                for i, word in enumerate(WORDS.findall(one)):
-                    if word in noise:
-                        found = max(found, FOREIGN if word not in LAYOUT else DOUBTFUL if i else NAMED)
+        if name in ("class", "id", "role") and not (name == "role" and value == "banner" and node.inside):
+            found = max([found, *(_named(one, node.inside) for one in value.split())])
     return found
 
 
@@ -171,16 +176,33 @@ def _settle(root: Node) -> None:
         x.c = 0
 
 
+class _Open:
+    """The open elements, and for each name the places of those that have it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def last(self, names) -> int:
+        """Place of the innermost open element with one of a few names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        for node in self.stack[place:]:
+            self.places[node.tag].pop()
+        del self.stack[place:]
+
+
 def parse(page: str) -> Node:
     root = Node("#root", None)
-    stack, at, n = [root], 0, len(page)
+    open_, at, n = _Open(root), 0, len(page)
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].items.append(html.unescape(raw) if "&" in raw else raw)
-
-    def pop_to(i: int) -> None:
-        del stack[i:]
+            open_.stack[-1].items.append(html.unescape(raw) if "&" in raw else raw)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -191,41 +213,33 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if stack[i].tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
-                    break  # a stray end tag does not leave its container
+            place = open_.last((tag,))
+            # A stray end tag does not leave its container.
+            if place and (tag in BLOCK or tag in CONTAINERS or open_.last(CONTAINERS) < place):
+                open_.close(place)
             continue
         if not m[2]:
             continue
         tag, attrs = m[2].lower(), m[3] or ""
-        if tag in P_CLOSERS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in P_SCOPE:
-                    break
+        if tag in P_CLOSERS and (place := open_.last(("p",))) > open_.last(P_SCOPE):
+            open_.close(place)
         if tag in CLOSES:
             like, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in like:
-                    pop_to(i)
-                    break
-        node = Node(tag, stack[-1], _marked(tag, attrs, stack))
-        stack[-1].items.append(node)
+            outer = open_.last(scope)
+            inner = [x for x in (open_.last((t,)) for t in like) if x > outer]
+            if inner:
+                open_.close(max(inner))
+        node = Node(tag, open_.stack[-1])
+        node.noise = _marked(node, attrs)
+        open_.stack[-1].items.append(node)
         if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             stop = end.start() if end else n
             node.items.append(page[at:stop])
             close = page.find(">", stop)
             at = n if end is None or close < 0 else close + 1
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
-            stack.append(node)
+            open_.push(node)
     _settle(root)
     return root
 

@@ -527,6 +527,81 @@ def test_marks_do_not_take_most_of_the_text():
     assert html_text.main_text(deep) == "deep"
 
 
+NAMES = ["post share-enabled", "search-results", "related-work", "no-sidebar page", "cookie-free", "comment-style-guide", "header-image-on"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_misleading_names_drop_nothing(name):
+    body = "".join(f"<p>{f'word{k} ' * 30}</p>" for k in range(3))
+    assert html_text.main_text(f"<body><div class='{name}'>{body}</div></body>").count("word") == 90
+    assert "kept part" in html_text.main_text(f"<body><article>{body}<p class='{name}'>kept part of it</p></article></body>")
+
+
+def test_parts_of_an_article_stay():
+    body = "".join(f"<p>{f'word{k} ' * 30}</p>" for k in range(3))
+    got = html_text.main_text(f"<body><aside>outer</aside><article><header><h1>Head</h1></header>{body}<aside>inner note</aside><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> shown.</p></article></body>")
+    assert got.startswith("Head\n\n") and got.endswith("inner note\n\nEnergy E=m shown.") and "outer" not in got
+    for part in ("<nav>x9</nav>", "<footer>x9</footer>", "<form>x9</form>", "<div class='left-sidebar'>x9</div>", "<div id=cookie-notice>x9</div>", "<div class='ad-2'>x9</div>", "<ul class=comments><li>x9</ul>", "<div role=complementary>x9</div>"):
+        assert "x9" not in html_text.main_text(f"<body>{part}<article>{body}</article>{part}</body>")
+
+
+def test_density_equals_its_formula():
+    """Composite density of every node, and the node of the greatest sum, beside a plain count over all descendants."""
+    rng = random.Random(12)
+
+    def grow(node, depth):
+        for _ in range(rng.randint(1, 4)):
+            if depth < 4 and rng.random() < 0.6:
+                kid = html_text.Node(rng.choice(["div", "p", "b", "a", "section"]), node)
+                node.items.append(kid)
+                grow(kid, depth + 1)
+            else:
+                node.items.append(f" w{rng.randrange(10 ** rng.randint(1, 9))} ")
+
+    def below(x, linked):
+        linked = linked or x.tag == "a"
+        for k in x.items:
+            if isinstance(k, str):
+                yield len("".join(k.split())), 0, linked
+            else:
+                yield 0, 1, linked or k.tag == "a"
+                yield from below(k, linked)
+
+    def density(x, body):
+        rows = list(below(x, False))
+        c, t = sum(r[0] for r in rows), sum(r[1] for r in rows)
+        lc, lt = sum(r[0] for r in rows if r[2]), sum(r[1] for r in rows if r[2]) + (x.tag == "a")
+        links = list(below(body, False))
+        share = sum(r[0] for r in links if r[2]) / max(1, sum(r[0] for r in links))
+        t, first, lt = max(t, 1), max(lc, 1), max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c else 0.0
+        return c / t * math.log(c / first * t / lt) / (math.log(base) if base > 1 else 1.0) if c else 0.0
+
+    for _ in range(60):
+        root = html_text.Node("#root", None)
+        body = html_text.Node("body", root)
+        root.items.append(body)
+        grow(body, 0)
+        nodes = [x for x in html_text.measure(root) if x is not root]
+        want = {id(x): density(x, body) for x in nodes}
+        assert all(math.isclose(x.density, want[id(x)], abs_tol=1e-9) for x in nodes)
+        total = {id(x): sum(want[id(k)] for k in x.items if not isinstance(k, str)) or 0.5 * want[id(x)] for x in nodes}
+        assert all(math.isclose(x.sum, total[id(x)], abs_tol=1e-9) for x in nodes)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    body = "".join(f"<p>{f'word{k} ' * 30}</p>" for k in range(3))
+    began = time.time()
+    assert html_text.main_text("<div>" * 100_000 + "deep" + "</div>" * 100_000) == "deep"
+    assert html_text.main_text("<b><table>" + "<div>" * 30_000 + body + "</b>" * 30_000).count("word") == 90
+    assert html_text.main_text("<p>" + "<span>" * 30_000 + "<p>x" * 30_000).count("x") == 30_000
+    assert html_text.main_text("<ul>" + "<li><i>" * 30_000 + "x").endswith("x")
+    assert len(html_text.main_text(f"<body>{body * 3000}</body>")) > 1_000_000
+    assert time.time() - began < 30
+
+
 def test_linked_cells_beside_the_core_stay():
     long = "a long cell of the table with many words " * 9
     page = f"<body><table><tr><td><a href=/p>Paris</a></td><td>{long}<b>end</b></td></tr><tr><td><a href=/r>Rome</a></td><td>{long}</td></tr></table></body>"
