@@ -1,22 +1,27 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled once into three transducers: the normaliser (identity, blanks to U+2581, a blank put first),
-the piece trie (a path of characters emits one piece) and byte fallback (a character of no piece emits its UTF-8 bytes).
-Composed with an input they give a lattice whose arcs are the pieces found at each place, and the tropical-semiring
-shortest path over it is the encoding:
+The model file is compiled once into transducers, and an input is composed with them arc by arc:
 
-* unigram models: an arc weighs minus its score, paths add up;
-* pair-merge models: scores order merges and do not add up, so the plain sum gives wrong pieces. There the lattice is
-  composed with one more transducer whose states are pieces: an arc weighs 1, and infinity if the merges of the two
-  pieces side by side would not leave exactly the two. Every prefix has one path of finite weight, the merge result.
+* the normaliser: the model's character rules (longest match), then a machine of three states that puts a blank first,
+  joins blanks where the model says so and writes them as U+2581;
+* the piece trie: a path of characters emits one piece;
+* byte fallback: a character of no piece emits its UTF-8 bytes, or the unknown piece;
+* the weights: for unigram models one state, a piece weighs minus its score. The scores of pair-merge models order merges
+  and do not add up, so there the states are pieces: a piece after another weighs 1, and infinity if the merges of the two
+  side by side would not leave exactly the two.
 
-Pieces never continue after a blank has followed other characters (checked when compiling), so the lattice splits into
-independent chunks and equal chunks are encoded once per worker.
+The composition is a lattice whose states are (place, state of the weights); the tropical-semiring shortest path over it,
+found place by place, is the encoding. In pair-merge models at most one path of finite weight reaches a place, the merge
+result.
+
+Pieces never continue after a blank has followed other characters (checked when compiling), and the normaliser is in the
+same state behind every word, so both split into independent chunks and equal chunks are encoded once per worker.
 
 Cases. Null text gives null ids, empty text no ids. Control pieces in a text are ordinary characters. Decoding joins
-bytes, replaces invalid UTF-8 and drops the blank put first; ids out of range raise. Decoding returns the text unless
-it holds U+2581 itself, which becomes a blank as in the library. Rows that repeat are encoded row by row; extra columns
-are kept by ``encode`` and a column of the output's name is replaced. Long texts are one row of ids.
+bytes, replaces invalid UTF-8 and drops the blank put first; ids out of range raise. What a model's rules change, and
+U+2581 itself, which becomes a blank, decoding does not bring back; ``check`` says so. Of unigram paths of equal weight the
+one whose last piece begins first is taken. Rows that repeat are encoded row by row; extra columns are kept by ``encode``
+and a column of the output's name is replaced. Long texts are one row of ids.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import chunks_of, lean
+from .common import chunks_of
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -72,10 +77,83 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+class Normaliser:
+    """Character rules as a trie transducer (longest match, else the character itself), then blanks by states."""
+
+    def __init__(self, charsmap: bytes, prefix: bool, squeeze: bool):
+        self.prefix, self.squeeze = prefix, squeeze
+        self.trie: dict = {}
+        for key, out in _rules(charsmap).items():
+            node = self.trie
+            for c in key:
+                node = node.setdefault(c, {})
+            node[""] = out
+        # Characters that begin a rule; all between them pass.
+        self.first = re.compile("[" + "".join(map(re.escape, self.trie)) + "]") if self.trie else None
+
+    def map(self, text: str) -> str:
+        if self.first is None:
+            return text
+        out, at = [], 0
+        for m in iter(lambda: self.first.search(text, at), None):
+            out.append(text[at : m.start()])
+            node, end, found, stop = self.trie, m.start(), text[m.start()], m.start() + 1
+            while end < len(text) and (node := node.get(text[end])) is not None:
+                end += 1
+                if "" in node:
+                    found, stop = node[""], end
+            out.append(found)
+            at = stop
+        return "".join(out) + text[at:]
+
+    def blanks(self, chunk: str, first: bool) -> str:
+        """States: START before any character, TEXT, and GAP behind a blank that is still to be written."""
+        if not first and not self.squeeze:
+            return chunk.replace(" ", BLANK)  # the machine stays in TEXT
+        state, out = START if first else TEXT, []
+        for c in chunk:
+            if c != " ":
+                out.append(BLANK + c if state == GAP or (state == START and self.prefix) else c)
+                state = TEXT
+            elif not self.squeeze:
+                out.append(BLANK + BLANK if state == START and self.prefix else BLANK)
+                state = TEXT
+            elif state == TEXT:
+                state = GAP
+        return "".join(out)
+
+
+START, TEXT, GAP = range(3)
+
+
+def _rules(charsmap: bytes) -> dict[str, str]:
+    """Rules of a compiled character map: a double-array trie of 32-bit units, then texts that end in a zero byte. A unit
+    holds its label in the low byte, whether a value follows in bit 8, and the way to its children in bits 9 to 30."""
+    if not charsmap:
+        return {}
+    size = struct.unpack_from("<I", charsmap)[0]
+    units, texts = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist(), charsmap[4 + size :]
+    way = lambda u: (u >> 10) << ((u & 512) >> 6)
+    out, todo = {}, [(b"", way(units[0]))]
+    while todo:
+        key, base = todo.pop()
+        for b in range(1, 256):
+            at = base ^ b
+            if at >= len(units) or units[at] & 0x800000FF != b:
+                continue
+            own = key + bytes([b])
+            below = at ^ way(units[at])
+            if units[at] >> 8 & 1:
+                value = units[below] & 0x7FFFFFFF
+                out[own] = texts[value : texts.index(b"\0", value)]
+            todo.append((own, below))
+    return {k.decode("utf-8"): v.decode("utf-8") for k, v in out.items()}
+
+
 class PieceTransducer:
     def __init__(self, raw: bytes, cache: int = 250_000):
         self.names, self.scores, self.kinds = [], [], []
-        self.model, self.byte_fallback, self.prefix, self.squeeze = UNIGRAM, False, True, True
+        self.model, self.byte_fallback, prefix, squeeze = UNIGRAM, False, True, True
         charsmap = b""
         for n, v in _fields(raw):
             if n == 1:
@@ -88,9 +166,8 @@ class PieceTransducer:
                 self.model, self.byte_fallback = f.get(3, UNIGRAM), bool(f.get(35, 0))
             elif n == 3:
                 f = dict(_fields(v))
-                charsmap, self.prefix, self.squeeze = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1))
-        if charsmap:
-            raise ValueError("only identity normalisers are compiled")
+                charsmap, prefix, squeeze = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1))
+        self.normaliser, self.prefix = Normaliser(charsmap, prefix, squeeze), prefix
         if self.model not in (UNIGRAM, BPE):
             raise ValueError("neither a unigram nor a pair-merge model")
         self.id = {s: i for i, s in enumerate(self.names) if self.kinds[i] in (NORMAL, USER)}
@@ -98,20 +175,19 @@ class PieceTransducer:
             raise ValueError("a piece goes on after a blank")
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte = {int(s[3:5], 16): i for i, s in enumerate(self.names) if self.kinds[i] == BYTE}
-        # Piece heads: true where a piece ends, false on the way to one. The trie has the same by characters.
-        self.heads = {s[:n]: False for s in self.id for n in range(1, len(s))}
         if self.model == BPE:
             self.splits, self.times = {}, {}
-            self.heads |= {s: True for s in self.id if self.time(s) < INF or len(s) == 1}
+            able = [s for s in self.id if self.time(s) < INF or len(s) == 1]
         else:
-            self.heads |= dict.fromkeys(self.id, True)
+            able = list(self.id)
+            # What a character of no piece weighs in unigram models.
+            self.other = 10.0 - min((x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
         self.trie: dict = {}
-        for s, whole in self.heads.items():
-            if whole:
-                node = self.trie
-                for c in s:
-                    node = node.setdefault(c, {})
-                node[""] = s
+        for s in able:
+            node = self.trie
+            for c in s:
+                node = node.setdefault(c, {})
+            node[""] = s
         self.out = [
             bytes([int(s[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else s.replace(BLANK, " ").encode()
             for s, k in zip(self.names, self.kinds, strict=True)
@@ -186,11 +262,67 @@ class PieceTransducer:
 
     # -- composition and shortest path
 
+    def arcs(self, chunk: str, place: int) -> list[str]:
+        """Pieces that begin at a place, shortest first; a character of no piece stands for its fallback."""
+        node, end, found = self.trie, place, []
+        while end < len(chunk) and (node := node.get(chunk[end])) is not None:
+            end += 1
+            if "" in node:
+                found.append(node[""])
+        if not found or len(found[0]) > 1:
+            found.insert(0, chunk[place])
+        return found
+
+    def weight(self, state: str | None, piece: str) -> float:
+        """Weight of a piece after a state."""
+        i = self.id.get(piece)
+        if self.model == UNIGRAM:
+            return self.other if i is None else -self.scores[i]
+        if i is None or not state or state not in self.id:
+            return 1.0  # a character of no piece never merges
+        ok = self.fits.get((state, piece))
+        return 1.0 if (self.fit(state, piece) if ok is None else ok) else INF
+
+    def shortest(self, chunk: str) -> list[str]:
+        """Pieces of the shortest path over the lattice, place by place. One state of the weights is kept for each place:
+        unigram models have one, and in pair-merge models all but one have infinite weight. ``arcs`` and ``weight`` stand
+        inline, as this is the inner loop."""
+        n, merges, root, ids, fits, scores = len(chunk), self.model == BPE, self.trie, self.id, self.fits, self.scores
+        cost, last = [0.0] + [INF] * n, [""] * (n + 1)
+        for place in range(n):
+            so_far, state = cost[place], last[place]
+            if so_far == INF:
+                continue
+            bound, node, end = merges and state in ids, root, place
+            while end < n and (node := node.get(chunk[end])) is not None:
+                end += 1
+                piece = node.get("")
+                if piece is None:
+                    continue
+                if merges:
+                    if cost[end] < INF:
+                        continue
+                    if bound:
+                        ok = fits.get((state, piece))
+                        if not (self.fit(state, piece) if ok is None else ok):
+                            continue
+                    w = so_far + 1.0
+                else:
+                    w = so_far - scores[ids[piece]]
+                if w < cost[end]:
+                    cost[end], last[end] = w, piece
+            if chunk[place] not in ids and so_far + (1.0 if merges else self.other) < cost[place + 1]:
+                cost[place + 1], last[place + 1] = so_far + (1.0 if merges else self.other), chunk[place]
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
+
     def path(self, chunk: str) -> list[int]:
-        """Ids of the shortest path over the lattice of one chunk."""
-        pieces = self._pairs(chunk) if self.model == BPE else self._sums(chunk)
+        """Ids of the shortest path over the lattice of one normalised chunk."""
         out = []
-        for s in pieces:
+        for s in self.shortest(chunk) if chunk else ():
             i = self.id.get(s)
             if i is not None:
                 out.append(i)
@@ -200,82 +332,39 @@ class PieceTransducer:
                 out.append(self.unknown)
         return out
 
-    def _pairs(self, chunk: str) -> list[str]:
-        """Pair-merge models: the state of a place is the one piece that ends there on a path of finite weight."""
-        n, root, fits, ids = len(chunk), self.trie, self.fits, self.id
-        state: list[str | None] = [None] * (n + 1)
-        for start in range(n):
-            u = state[start]
-            if start and u is None:
-                continue
-            known = u in ids
-            node, end = root, start
-            while end < n and (node := node.get(chunk[end])) is not None:
-                end += 1
-                if state[end] is None and (s := node.get("")) is not None:
-                    if known:
-                        ok = fits.get((u, s))
-                        if not (self.fit(u, s) if ok is None else ok):
-                            continue
-                    state[end] = s
-            if state[start + 1] is None and chunk[start] not in ids:
-                state[start + 1] = chunk[start]  # of no piece: never merges with what is before or after
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at -= len(state[at])
-        return out[::-1]
-
-    def _sums(self, chunk: str) -> list[str]:
-        """Unigram models: weights along a path add up; of equal paths the one found first stays."""
-        n, heads = len(chunk), self.heads
-        other = 10.0 - min((x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
-        cost, back = [0.0] + [INF] * n, [0] * (n + 1)
-        for start in range(n):
-            single = False
-            for end in range(start + 1, n + 1):
-                s = chunk[start:end]
-                kind = heads.get(s)
-                if kind:
-                    single = single or end == start + 1
-                    w = cost[start] - self.scores[self.id[s]]
-                    if w < cost[end]:
-                        cost[end], back[end] = w, start
-                elif kind is None:
-                    break
-            if not single and cost[start] + other < cost[start + 1]:
-                cost[start + 1], back[start + 1] = cost[start] + other, start
-        out, at = [], n
-        while at:
-            out.append(chunk[back[at] : at])
-            at = back[at]
-        return out[::-1]
-
-    def chunks(self, text: str) -> list[str]:
-        t = text
-        if self.squeeze:
-            t = re.sub(" +", " ", t).strip(" ")
-        if t and self.prefix:
-            t = " " + t
-        return _CHUNK.findall(t.replace(" ", BLANK))
+    def _ids(self, chunk: str, first: bool = False) -> bytes:
+        return array("i", self.path(self.normaliser.blanks(chunk, first))).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        chunks = self.chunks(text)
+        """Ids as little-endian 32-bit integers. A chunk is a run of blanks and what follows up to the next; the first one
+        differs only by the state the normaliser is in."""
+        text = self.normaliser.map(text)
+        if self.normaliser.prefix and self.normaliser.squeeze:
+            chunks, head = _CHUNK.findall(" " + text.lstrip(" ")), b""  # the same as the blank put first
+            if not text.strip(" "):
+                return b""
+        else:
+            chunks = _CHUNK.findall(text)
+            head = self._ids(chunks[0], True) if chunks else b""
+            del chunks[:1]
         out = list(map(self.young.get, chunks))
         if None in out:
             young, old = self.young, self.old
             for at, got in enumerate(out):
                 if got is None:
                     c = chunks[at]
-                    got = young.get(c) or old.get(c) or array("i", self.path(c)).tobytes()
+                    got = young.get(c)
+                    if got is None:
+                        got = old.get(c)
+                    if got is None:
+                        got = self._ids(c)
                     if len(c) < 200:
                         if len(young) >= self.cache_size:
                             self.old = old = young
                             self.young = young = {}
                         young[c] = got
                     out[at] = got
-        return b"".join(out)
+        return head + b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
@@ -292,7 +381,7 @@ class PieceTransducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_CHUNK = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
 _COMPILED: dict[str, PieceTransducer] = {}
 
 
@@ -313,8 +402,8 @@ def _broadcast(spark: SparkSession, model_path: str):
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
-    """docs with an array of piece ids; check: name of a boolean column, whether decoding gives the text back."""
-    lean(docs.sparkSession)
+    """docs with an array of piece ids; check: name of a boolean column, whether decoding gives the text back. Whole texts
+    go to Python: a job over long ones wants few rows in an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch)."""
     model = _broadcast(docs.sparkSession, model_path)
     keep = [c for c in docs.columns if c not in (ids, check)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))
@@ -329,7 +418,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([r is None for r in raws] + [False])), pa.array(flat, pa.int32()))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [lists]
             if check:
-                cols.append(pa.array([None if r is None else t.decode(np.frombuffer(r, "<i4")) == x.replace(BLANK, " ") for r, x in zip(raws, texts, strict=True)], pa.bool_()))
+                cols.append(pa.array([None if r is None else t.decode(np.frombuffer(r, "<i4")) == x for r, x in zip(raws, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)

@@ -649,9 +649,46 @@ def test_pieces_round_trip(spark, odd, none):
     assert next(r for r in out if r["doc_id"] == 1)["ids"] is None and next(r for r in out if r["doc_id"] == 2)["ids"] == []
     assert pieces.encode(none, queries.PIECE_MODEL).count() == 0
     assert queries.op8_sentencepiece(spark, SMALL).where("NOT round_trip").count() == 0
+    told = pieces.encode(spark.createDataFrame([("a b",), ("a▁b",), (None,)], "text string"), queries.PIECE_MODEL, check="same").collect()
+    assert [r["same"] for r in told] == [True, False, None]
+
+
+def test_character_rules_equal_the_library():
+    lib = pytest.importorskip("sentencepiece")
+    rng = random.Random(3)
+    letters = "ab  ﬁﬂ①②№ｱｶﾞﾊﾟ㌀é\u0301e\u0308\u00a0\u3000\t\n\u200b\ufeff\u00ad½ªñßΩ℃ Ⅷ字한\u1112\u1161\u11ab"
+    for rule in ("nmt_nfkc", "nfkc", "nmt_nfkc_cf"):
+        own = lib.SentencePieceNormalizer(rule_name=rule)
+        spec = dict(pieces._fields(own.serialized_model_proto()))[3]
+        f = dict(pieces._fields(spec))
+        n = pieces.Normaliser(f[2], bool(f.get(3, 1)), bool(f.get(4, 1)))
+        assert len(n.trie) > 1000
+        for _ in range(2000):
+            x = "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))
+            assert n.blanks(n.map(x), True) == own.normalize(x), (rule, x)
+
+
+def test_shortest_path_equals_all_paths():
+    """The path of least weight among all segmentations, for the pair-merge model, where it is the only finite one."""
+    with open(queries.PIECE_MODEL, "rb") as f:
+        t = pieces.PieceTransducer(f.read())
 
+    def every(chunk, place, state):
+        if place == len(chunk):
+            yield 0.0, ()
+            return
+        for p in t.arcs(chunk, place):
+            w = t.weight(state, p)
+            if w < pieces.INF:
+                for rest, tail in every(chunk, place + len(p), p):
+                    yield w + rest, (p, *tail)
 
-def test_unigram_path():
+    for chunk in ("▁the", "▁tokens", "abab", "▁▁x", "é漢z", "▁running"):
+        found = list(every(chunk, 0, None))
+        assert [list(p) for _, p in found] == [t.shortest(chunk)]
+
+
+def made_model(vocabulary, squeeze=False):
     def field(n, kind, raw):
         return bytes([n << 3 | kind]) + (bytes([len(raw)]) + raw if kind == 2 else raw)
 
@@ -660,9 +697,31 @@ def test_unigram_path():
     def piece(s, score, kind):
         return field(1, 2, field(1, 2, s.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
 
-    raw = b"".join(piece(*p) for p in [("<unk>", 0, 2), ("a", -3, 1), ("b", -3, 1), ("ab", -5, 1), ("abc", -9, 1), ("c", -3, 1), ("▁", -2, 1)]) + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(3, 0, b"\x00") + field(4, 0, b"\x00"))
-    t = pieces.PieceTransducer(raw)
+    flag = bytes([int(squeeze)])
+    return b"".join(piece(*p) for p in vocabulary) + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(3, 0, flag) + field(4, 0, flag))
+
+
+def test_unigram_path():
+    t = pieces.PieceTransducer(made_model([("<unk>", 0, 2), ("a", -3, 1), ("b", -3, 1), ("ab", -5, 1), ("abc", -9, 1), ("c", -3, 1), ("▁", -2, 1)]))
     assert [t.names[i] for i in t.encode("abc")] == ["ab", "c"] and t.encode("abx") == [3, 0]
+    assert t.encode(" a  b") == [6, 1, 6, 6, 2] and t.decode(t.encode(" a  b")) == " a  b"
+
+
+def test_unigram_model_equals_the_library():
+    lib = pytest.importorskip("sentencepiece")
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc▁") for _ in range(rng.randint(2, 5))) for _ in range(60)})
+    words = [w for w in words if "▁" not in w.lstrip("▁")]
+    vocabulary = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(w, -rng.uniform(2, 9), 1) for w in ["a", "b", "c", "▁", *words] if len(w) == 1 or w.strip("▁")]
+    for squeeze in (False, True):
+        raw = made_model(vocabulary, squeeze)
+        t, sp = pieces.PieceTransducer(raw), lib.SentencePieceProcessor(model_proto=raw)
+        for _ in range(1500):
+            x = "".join(rng.choice("aabbccx  ") for _ in range(rng.randint(0, 25)))
+            got, want = t.encode(x), sp.encode(x)
+            joined = [i for k, i in enumerate(got) if i or not k or got[k - 1]]  # the library joins unknown characters
+            weight = lambda ids: sum(t.scores[i] for i in ids)
+            assert joined == want or math.isclose(weight(joined), weight(want), rel_tol=1e-6), x  # equal weights: either
 
 
 # 9 top-k
