@@ -141,8 +141,11 @@ def _rest(star: DataFrame, labels: DataFrame, sets: DataFrame, spec: NearSpec) -
     named = members.join(labels.select(F.col("v").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     named = materialise(named, "cluster-members")
     shape = named.groupBy("z").agg(F.count(F.lit(1)).alias("m"), (F.min("component") != F.max("component")).alias("open"))
-    # With two members there is only the pair with the centre, which has been judged.
-    open_ = named.join(shape.where("open AND m > 2").select("z"), "z", "left_semi").select("x", "component").distinct()
+    # With two members there is only the pair with the centre, which has been judged. Written apart from the members, so that
+    # a large cluster's rows are not drawn into the task that counts them.
+    wide = materialise(shape.where("open AND m > 2").select("z"), "open-clusters")
+    wide = F.broadcast(wide) if wide.count() <= spec.broadcast_ids else wide
+    open_ = named.join(wide, "z", "left_semi").select("x", "component").distinct()
     held = materialise(open_.join(sets.withColumnRenamed("k", "x"), "x"), "open-sets")
     # How many sets have a shingle, and whether they lie in several components; shingles of one set come first in the order.
     seen = held.select(F.explode("s").alias("t"), "component").groupBy("t").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("apart")).where("df > 1")
