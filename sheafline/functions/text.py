@@ -28,8 +28,11 @@ def first_match(text: Column, pairs: list[tuple[str, str]], otherwise: Column |
     return out
 
 
+TOKEN = r"([\p{L}\p{M}\p{N}]+)"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
 def language(text: Column) -> Column:
@@ -39,10 +42,13 @@ def language(text: Column) -> Column:
 
 def grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of letters, digits, underscores and the script's block; a shorter text is its own."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+", "")
-    size = F.length(clean)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(clean, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(clean)).otherwise(F.array_distinct(cut))
+
+    def cut(clean: Column) -> Column:  # clean is computed once, not once for each place
+        size = F.length(clean)
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(clean, i, F.lit(n)))
+        return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(clean)).otherwise(F.array_distinct(parts))
+
+    return let(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+", ""), cut)
 
 
 def recall(own: Column, other: Column) -> Column:

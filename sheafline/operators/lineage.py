@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, sent
+
 KNOWN = ("CURRENT_ACTIVE", "AMENDED", "SUPERSEDED", "UNKNOWN")
 
 
@@ -18,6 +20,13 @@ def confidence(passages: DataFrame, words: DataFrame) -> DataFrame:
     return g.select("query_id", F.round(0.5 * F.least(F.lit(1.0), "a") + 0.3 * F.least(F.lit(1.0), 2 * margin) + 0.2 * cover, 3).alias("confidence"))
 
 
+def blend(c: Column, other: Column) -> Column:
+    """Half of each of two confidences of three decimals, a half rounded up; in whole thousandths, so that no engine's
+    fractions decide."""
+    whole = lambda x: F.round(x * 1000).cast("long")
+    return F.floor((whole(c) + whole(other) + 1) / 2) / 1000.0
+
+
 def fast_path(c: Column, one_order: Column, conflict: Column) -> Column:
     """One order, no conflict and a fair score are lifted to at least 0.92."""
     return F.when(one_order & ~conflict & (c >= 0.35), F.greatest(F.lit(0.92), c)).otherwise(c)
@@ -26,7 +35,7 @@ def fast_path(c: Column, one_order: Column, conflict: Column) -> Column:
 def statuses(keys: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, status, superseded_by of each key: exact edge, then an edge whose number contains the key or is contained
     in it (smallest number first), then the document of that number, else active."""
-    keys = F.broadcast(keys)
+    keys = sent(keys)
     nil = F.lit(None).cast("long")
     exact = edges.join(keys, F.col("go") == F.col("key")).select("query_id", F.lit(1).alias("rule"), "go", "status", "superseded_by")
     near = edges.join(keys, F.col("go").contains(F.col("key")) | F.col("key").contains(F.col("go"))).select("query_id", F.lit(2).alias("rule"), "go", "status", "superseded_by")
@@ -47,13 +56,5 @@ def closure(edges: DataFrame, most: int) -> DataFrame:
         paths = paths.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth"))
         reach *= 2
         if reach < most:
-            paths = _cut(paths)
+            paths = saved(paths, "lineage-paths")
     return paths
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder, which is set here only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/sheafline")
-    return df.checkpoint()

@@ -6,6 +6,7 @@ vectors stay in separate projections; ids are fused first and texts joined last.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import saved, sent
+from . import checks as C
 
 DEPTH, K = 50, 60
 #: Most queries whose vectors are sent to every task.
@@ -25,22 +28,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def allowed(department: Column, year: Column, status: Column, go: Column, facets: list[str]) -> Column:
+    """Whether a row passes the facets of its query (columns q_*): a facet that is null filters nothing. Department is any
+    of the words of a department within the row's, whatever the case; go a LIKE pattern."""
+    tests = {
+        "department": F.exists("q_department", lambda w: F.lower(department).contains(F.lower(w))),
+        "status": F.col("q_status") == status,
+        "year_from": year.between(F.col("q_year_from"), F.coalesce("q_year_to", "q_year_from")),
+        "go": F.lower(go).contains(F.lower(F.regexp_replace("q_go", "^%|%$", ""))),
+    }
+    ok = F.lit(True)
+    for f in facets:
+        ok = ok & (F.col(f"q_{f}").isNull() | F.coalesce(tests[f], F.lit(False)))
+    return ok
+
+
+def facets_of(queries: DataFrame) -> tuple[DataFrame, list[str]]:
+    """query_id and the facets as q_* columns (department as its words, null for none; go as a pattern), and their names."""
+    names = [f for f in ("department", "status", "year_from", "go") if f in queries.columns]
+    words = lambda: C.department_words(F.col("department"))
+    made = {"department": lambda: F.when(F.size(words()) > 0, words()), "go": lambda: C.order_pattern(F.col("go"))}
+    cols = [made.get(f, lambda f=f: F.col(f))().alias(f"q_{f}") for f in names]
+    if "year_from" in names:
+        cols.append((F.col("year_to") if "year_to" in queries.columns else F.col("year_from")).alias("q_year_to"))
+    return queries.select("query_id", *cols), names
+
+
 def dense_scores(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
     """query_id, id, sim: for each query the depth most similar rows of corpus (id, embedding, facets).
 
-    queries: query_id, embedding, and optional facet columns department, year_from, year_to, status. Products are taken
+    queries: query_id, embedding, and optional facet columns department, year_from, year_to, status, go. Products are taken
     a batch at a time as a matrix; each batch keeps depth rows a query, so what is exchanged does not grow with texts.
+    More than MOST_QUERIES are dealt in blocks, each of which reads the vectors once.
     """
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError("deal more queries in blocks")
-    names = set(queries.columns)
+    n = -(-queries.count() // MOST_QUERIES)
+    if n <= 1:
+        return _dense_block(corpus, queries, depth)
+    parts = [_dense_block(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == i), depth) for i in range(2 * n)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _dense_block(corpus: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    wanted, facets = facets_of(queries)
+    rows = queries.select("query_id", "embedding").join(wanted, "query_id").collect()  # about MOST_QUERIES at most
     qid = [r["query_id"] for r in rows]
     qv = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
-    facets = [f for f in ("department", "status") if f in names]
-    want = {f: [r[f] for r in rows] for f in facets}
-    years = ([r["year_from"] for r in rows], [r["year_to"] for r in rows]) if "year_from" in names else None
     norm = np.sqrt((qv**2).sum(axis=1)) if len(qv) else np.zeros(0)
+    low = lambda x: None if x is None else x.lower()
+    tests = {
+        "department": ("department", [r["q_department"] and list(map(low, r["q_department"])) for r in rows] if "department" in facets else [], lambda h, w: h is not None and any(x in h.lower() for x in w)),
+        "status": ("status", [r["q_status"] for r in rows] if "status" in facets else [], lambda h, w: h == w),
+        "year_from": ("year", [r["q_year_from"] and (r["q_year_from"], r["q_year_to"] or r["q_year_from"]) for r in rows] if "year_from" in facets else [], lambda h, w: h is not None and w[0] <= h <= w[1]),
+        "go": ("go_number", [r["q_go"] and low(r["q_go"].strip("%")) for r in rows] if "go" in facets else [], lambda h, w: h is not None and w in h.lower()),
+    }
+    # Queries by the value they ask for: a facet is tested once for each pair of different values.
+    groups = {}
+    for f in facets:
+        column, values, test = tests[f]
+        known = {}
+        code = [known.setdefault(repr(v), len(known)) for v in values]
+        groups[f] = (column, [next(v for v in values if repr(v) == k) for k in known], np.array(code), test)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,27 +96,23 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> D
                 continue
             v = np.array(col["embedding"].to_pylist(), np.float64)
             with np.errstate(invalid="ignore", divide="ignore"):
-                sim = (v @ qv.T) / (np.sqrt((v**2).sum(axis=1))[:, None] * norm[None, :])
+                sim = np.round((v @ qv.T) / (np.sqrt((v**2).sum(axis=1))[:, None] * norm[None, :]), 12)
             ids = col["id"].to_numpy(zero_copy_only=False)
             ok = np.ones(sim.shape, bool)
-            for f in facets:
-                have = col[f].to_pylist()
-                ok &= np.array([[w is None or w == h for w in want[f]] for h in have], bool).reshape(ok.shape)
-            if years:
-                y = col["year"].to_numpy(zero_copy_only=False)
-                for j, (a, b) in enumerate(zip(*years, strict=True)):
-                    if a is not None:
-                        ok[:, j] &= (y >= a) & (y <= b)
+            for column, values, code, test in groups.values():
+                have = col[column].dictionary_encode()
+                fits = np.array([[w is None or test(h, w) for w in values] for h in [*have.dictionary.to_pylist(), None]], bool)
+                at = have.indices.fill_null(len(have.dictionary)).to_numpy(zero_copy_only=False)
+                ok &= fits[at][:, code]
             out = []
             for j in range(len(qid)):
                 at = np.nonzero(ok[:, j])[0]
-                s = np.round(sim[at, j], 12)
-                order = np.lexsort((ids[at], -s))[:depth]
-                out.append((np.full(len(order), qid[j]), ids[at][order], s[order]))
+                order = np.lexsort((ids[at], -sim[at, j]))[:depth]
+                out.append((np.full(len(order), qid[j]), ids[at][order], sim[at, j][order]))
             a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "sim"])
 
-    need = ["id", "embedding", *facets, *(["year"] if years else [])]
+    need = ["id", "embedding", *dict.fromkeys(tests[f][0] for f in facets)]
     return corpus.where("embedding IS NOT NULL").select(*need).mapInArrow(run, "query_id long, id long, sim double")
 
 
@@ -80,28 +123,88 @@ def dense_rank(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> Dat
     return out.select("query_id", "id", "dense_rank", F.col("sim").alias("dense_sim"))
 
 
+def cover_density(tokens: Column, terms: Column) -> Column:
+    """Sum over the minimal covers of the terms (spans of tokens that hold all of them and no shorter such span) of 0.1 over
+    one plus the tokens in it that are no terms; null without a cover.
+
+    One fold over the occurrences: the last one of each term is kept, the least of these begins the shortest cover that
+    ends here, and a cover counts if no earlier one begins at the same place.
+    """
+    at = F.transform(tokens, lambda t, i: F.struct(F.array_position(terms, t).cast("int").alias("k"), i.alias("p")))
+    start = F.struct(
+        F.transform(terms, lambda t: F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))).alias("last"),
+        F.lit(-1).alias("begun"), F.lit(0).alias("i"), F.lit(0.0).alias("score"), F.lit(0).alias("n"),
+    )
+
+    def step(a: Column, o: Column) -> Column:
+        last = F.transform(a["last"], lambda x, j: F.when(j + 1 == o["k"], F.struct(a["i"].alias("i"), o["p"].alias("p"))).otherwise(x))
+
+        def with_first(x: Column) -> Column:
+            first, found = x["first"], (x["first"]["i"] >= 0) & (x["first"]["i"] > a["begun"])
+            noise = (o["p"] - first["p"]) - (a["i"] - first["i"])
+            return F.struct(
+                x["last"].alias("last"), F.when(found, first["i"]).otherwise(a["begun"]).alias("begun"), (a["i"] + 1).alias("i"),
+                (a["score"] + F.when(found, F.lit(0.1) / (F.lit(1.0) + noise)).otherwise(F.lit(0.0))).alias("score"), (a["n"] + found.cast("int")).alias("n"),
+            )
+
+        return X.let(last, lambda x: X.let(F.struct(x.alias("last"), F.array_min(x).alias("first")), with_first))
+
+    return F.aggregate(F.filter(at, lambda o: o["k"] > 0), start, step, lambda a: F.when(a["n"] > 0, a["score"]))
+
+
+#: Questions too short for tokens to decide where they stand literally are dealt in blocks of so many.
+NEEDLES = 1_000
+
+
 def sparse_matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score: rows of corpus (id, text) that hold every term of the query, or the query itself as it stands.
+    """query_id, id, score: rows of corpus (id, text) that hold every term of the query, or its first 100 characters as they
+    stand. The score is the cover density of the terms, 0 for a row that holds the query only literally.
 
-    Terms go through an inverted list: tokens of the corpus are cut to those that any query has before anything is
-    exchanged. A single-term query scores 0.1 for each occurrence, a row that only holds the query literally 0; several
-    terms score the number of minimal spans, 0.1 over their length in tokens less the terms plus one.
+    Candidates come from an inverted list of one term for each query, the one that fewest rows have; all else is decided on
+    those rows. A row that holds the characters has every whole token inside them, so their rarest inner token serves in
+    the same way. Only of queries without an inner token the characters are looked for in every text.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("query_text")))).alias("token"))
-    n_terms = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    posts = corpus.select("id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))
-    wanted = F.broadcast(terms)
-    found = posts.join(wanted, "token").groupBy("query_id", "id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    full = found.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("m"), F.min("tf").alias("tf")).join(F.broadcast(n_terms), "query_id")
-    by_term = full.where("m = n_terms").select("query_id", "id", (F.col("tf") * 0.1 / F.col("n_terms")).alias("score"))
-    literal = F.broadcast(queries.select("query_id", F.lower(F.substring("query_text", 1, 100)).alias("needle")))
-    as_is = corpus.select("id", F.lower("text").alias("t")).join(literal, F.col("t").contains(F.col("needle"))).select("query_id", "id", F.lit(0.0).alias("score"))
-    return by_term.unionByName(as_is).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    low = F.lower(F.col("query_text"))
+    asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("query_text"))).alias("terms"), F.substring(low, 1, 100).alias("needle"))
+    cut = X.tokens(F.col("needle"))
+    asked = saved(asked.withColumn("inner", F.array_distinct(F.when(F.size(cut) > 2, F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>")))), "questions")
+    tokens = corpus.select("id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
+    every = asked.select(F.explode("terms").alias("token")).union(asked.select(F.explode("inner"))).distinct()
+    counts = sent(saved(tokens.join(sent(every), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "term-counts"))
+
+    def rarest(of: str) -> DataFrame:
+        named = asked.select("query_id", F.explode(of).alias("token")).join(counts, "token", "left")
+        return named.groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+
+    chosen = saved(rarest("terms").union(rarest("inner")).distinct(), "rare-terms")
+    # A text is read and cut once for all queries that it is a candidate of.
+    asking = tokens.join(sent(chosen), "token").groupBy("id").agg(F.collect_set("query_id").alias("asking"))
+    texts = corpus.select("id", F.lower("text").alias("t"))
+    held = texts.join(asking, "id").withColumn("words", F.regexp_extract_all("t", F.lit(X.TOKEN), F.lit(1)))
+    held = held.select("id", "t", "words", F.explode("asking").alias("query_id")).join(sent(asked.select("query_id", "terms", "needle")), "query_id")
+    complete = (F.size("terms") > 0) & F.forall("terms", lambda t: F.array_contains(F.col("words"), t))
+    held = held.withColumn("literal", F.contains("t", "needle")).withColumn("complete", complete).where("literal OR complete")
+    by_token = held.select("query_id", "id", F.coalesce(F.when(F.col("complete"), cover_density(F.col("words"), F.col("terms"))), F.lit(0.0)).alias("score"))
+    short = asked.where(F.size("inner") == 0).select("query_id", "needle")
+    n = -(-short.count() // NEEDLES)
+    if n:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+        blocks = short.groupBy(block.alias("b")).agg(F.collect_list(F.struct("query_id", "needle")).alias("needles"))
+        dealt = texts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(blocks) if n <= 16 else blocks, "b")
+        found = dealt.select("id", F.explode(F.filter("needles", lambda x: F.contains(F.col("t"), x["needle"]))).alias("x"))
+        by_token = by_token.unionByName(found.select("x.query_id", "id", F.lit(0.0).alias("score")))
+    return by_token.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score"))
 
 
 def sparse_rank(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """query_id, id, sparse_rank, sparse_score: rows that pass the queries' facets, ties go to the smaller id."""
+    found = sparse_matches(corpus, queries)
+    wanted, facets = facets_of(queries)
+    if facets:
+        own = corpus.select("id", *[F.col(c) if c in corpus.columns else F.lit(None).alias(c) for c in ("department", "year", "status", "go_number")])
+        found = found.join(sent(wanted), "query_id").join(own, "id").where(allowed(F.col("department"), F.col("year"), F.col("status"), F.col("go_number"), facets))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = sparse_matches(corpus, queries).withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= depth)
+    out = found.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= depth)
     return out.select("query_id", "id", "sparse_rank", F.col("score").alias("sparse_score"))
 
 
@@ -128,27 +231,24 @@ def top(fused: DataFrame, k: int) -> DataFrame:
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """query_id, place, id, rrf, score for each query; facets of the queries filter both legs. A query that finds
-    nothing within its department is asked again without it."""
-    relaxed = queries.withColumn("department", F.lit(None).cast("string")) if "department" in queries.columns else None
+    """query_id, place, id, rrf, score for each query; facets of the queries filter both legs. A query that finds nothing
+    within its department is asked again without it; one that names an order and still finds nothing, without years too."""
 
     def legs(q: DataFrame) -> DataFrame:
-        lex = corpus.select("id", "text", *[c for c in ("department", "year", "status") if c in corpus.columns])
-        sparse = sparse_matches(lex, q)
-        keep = F.lit(True)
-        facts = [c for c in ("department", "status", "year_from", "year_to") if c in q.columns]
-        if facts:
-            sparse = sparse.join(F.broadcast(q.select("query_id", *[F.col(c).alias(f"q_{c}") for c in facts])), "query_id").join(lex.drop("text"), "id")
-            for c in ("department", "status"):
-                if c in facts:
-                    keep = keep & (F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
-            if "year_from" in facts:
-                keep = keep & (F.col("q_year_from").isNull() | F.col("year").between(F.col("q_year_from"), F.col("q_year_to")))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        sparse = sparse.where(keep).withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= DEPTH)
-        return top(fuse(dense_rank(corpus, q), sparse.select("query_id", "id", "sparse_rank")), k)
-
-    found = legs(queries)
-    if relaxed is not None:
-        found = found.unionByName(legs(relaxed.join(found.select("query_id").distinct(), "query_id", "left_anti")))
+        sparse = sparse_rank(corpus, q).select("query_id", "id", "sparse_rank")
+        return saved(top(fuse(dense_rank(corpus, q), sparse), k), "search")
+
+    found, left = legs(queries), queries
+    for names, only in ((("department",), F.lit(True)), (("department", "year_from", "year_to"), F.col("go").isNotNull() if "go" in queries.columns else F.lit(False))):
+        drop = [c for c in names if c in queries.columns]
+        left = saved(left.where(only).join(found.select("query_id").distinct(), "query_id", "left_anti"), "unanswered") if drop else left
+        if drop and not left.isEmpty():
+            found = found.unionByName(legs(left.withColumns({c: F.lit(None).cast(queries.schema[c].dataType) for c in drop})))
     return found.select("query_id", "place", "id", "rrf", normalised(F.col("dense_sim"), F.col("rrf")).alias("score"))
+
+
+def relevant(found: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
+    """found (query_id, place, score, ...) without rows below least, unless the query names an order; place by score."""
+    exact = queries.select("query_id", (F.col("go").isNotNull() if "go" in queries.columns else F.lit(False)).alias("exact"))
+    kept = found.join(sent(exact), "query_id").where(F.col("exact") | (F.col("score") >= least)).drop("exact")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place")))

@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import lineage as L
 from ..operators import retrieval as R
-from .base import CORPUS_SQL, LINEAGE_SQL, QUERIES_SQL, corpus, facts, lineage, questions
+from ..sources.shared import sent
+from .base import CORPUS_SQL, LINEAGE_SQL, PHRASES_SQL, QUERIES_SQL, corpus, facts, lineage, phrases, questions
 from .registry import Fixture, query, table
 
 DENSE_SQL = f"""(SELECT query_id, id, dense_rank, dense_sim FROM (SELECT query_id, id, dense_sim, row_number() OVER (PARTITION BY query_id ORDER BY dense_sim DESC, id) AS dense_rank
   FROM (SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS dense_sim
     FROM {{q}} q JOIN {CORPUS_SQL} c ON c.embedding IS NOT NULL {{where}})) WHERE dense_rank <= 50)"""
-SPARSE_SQL = f"""(SELECT query_id, id, sparse_rank, sparse_score FROM (SELECT query_id, id, sparse_score, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, id) AS sparse_rank
-  FROM (SELECT q.query_id, c.id, 0.1 * len([t FOR t IN regexp_extract_all(lower(c.text), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}]+') IF t = q.query_text]) AS sparse_score
-    FROM {{q}} q JOIN {CORPUS_SQL} c ON contains(lower(c.text), q.query_text) {{where}})) WHERE sparse_rank <= 50)"""
+TOKENS_SQL = "regexp_extract_all(lower({t}), '[\\p{L}\\p{M}\\p{N}]+')"
+#: query_id, id, score: cover density from the last occurrence of each term at or before each occurrence; 0 for literal hits.
+MATCH_SQL = f"""(WITH q AS MATERIALIZED (SELECT query_id, query_text, list_distinct({TOKENS_SQL.replace("{t}", "query_text")}) AS terms FROM {{q}} z),
+  t AS MATERIALIZED (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms FROM q),
+  docs AS MATERIALIZED (SELECT id, lower(text) AS t, {TOKENS_SQL.replace("{t}", "text")} AS toks FROM {CORPUS_SQL}),
+  pairs AS MATERIALIZED (SELECT q.query_id, docs.id FROM q JOIN docs ON len(terms) > 0 AND list_has_all(toks, terms)),
+  p AS (SELECT id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs WHERE id IN (SELECT id FROM pairs)),
+  o AS MATERIALIZED (SELECT query_id, id, term, pos, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS i FROM pairs JOIN p USING (id) JOIN t USING (query_id, term)),
+  l AS (SELECT o.query_id, o.id, o.i, max(CASE WHEN o.term = t.term THEN o.i END) OVER (PARTITION BY o.query_id, o.id, t.term ORDER BY o.i) AS last FROM o JOIN t USING (query_id)),
+  b AS (SELECT query_id, id, i, min(last) AS s FROM l GROUP BY query_id, id, i HAVING count(last) = count(*)),
+  c AS (SELECT query_id, id, s, min(i) AS e FROM b GROUP BY query_id, id, s),
+  d AS (SELECT c.query_id, c.id, sum(0.1::DOUBLE / (1.0::DOUBLE + (y.pos - x.pos) - (c.e - c.s))) AS score FROM c JOIN o x ON x.query_id = c.query_id AND x.id = c.id AND x.i = c.s JOIN o y ON y.query_id = c.query_id AND y.id = c.id AND y.i = c.e GROUP BY c.query_id, c.id)
+  SELECT query_id, id, round(max(score), 9) AS score FROM (SELECT * FROM d UNION ALL SELECT q.query_id, docs.id, 0.0 FROM q JOIN docs ON contains(docs.t, substring(lower(q.query_text), 1, 100))) GROUP BY query_id, id)"""
+SPARSE_SQL = f"""(SELECT query_id, id, sparse_rank, sparse_score FROM (SELECT m.query_id, m.id, m.score AS sparse_score, row_number() OVER (PARTITION BY m.query_id ORDER BY m.score DESC, m.id) AS sparse_rank
+  FROM {MATCH_SQL} m JOIN {{q}} q ON q.query_id = m.query_id JOIN {CORPUS_SQL} c ON c.id = m.id {{where}}) WHERE sparse_rank <= 50)"""
 
 
 def dense_sql(q: str = QUERIES_SQL, where: str = "") -> str:
@@ -24,7 +37,7 @@ def dense_sql(q: str = QUERIES_SQL, where: str = "") -> str:
 
 
 def sparse_sql(q: str = QUERIES_SQL, where: str = "") -> str:
-    return SPARSE_SQL.replace("{q}", q).replace("{where}", where).replace("{{", "{").replace("}}", "}")
+    return SPARSE_SQL.replace("{q}", q).replace("{where}", where)
 
 
 def fused_sql(q: str = QUERIES_SQL, where: str = "") -> str:
@@ -53,26 +66,27 @@ def dense_rank(spark, sf):
     return R.dense_rank(corpus(spark, sf), questions(spark, sf).drop("department")).withColumn("dense_sim", F.round("dense_sim", 6))
 
 
-@query("cosine", f"SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON c.embedding IS NOT NULL")
+@query("cosine", f"SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON c.department = q.department AND c.embedding IS NOT NULL")
 def cosine(spark, sf):
-    q, c = questions(spark, sf).select("query_id", F.col("embedding").alias("qe")), corpus(spark, sf).where("embedding IS NOT NULL").select("id", "embedding")
-    return c.crossJoin(F.broadcast(q)).select("query_id", "id", F.round(R.cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
+    q, c = questions(spark, sf).select("query_id", "department", F.col("embedding").alias("qe")), corpus(spark, sf).where("embedding IS NOT NULL").select("id", "department", "embedding")
+    return c.join(sent(q), "department").select("query_id", "id", F.round(R.cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
 
 
-@query("sparse_match", f"SELECT q.query_id, c.id FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON contains(lower(c.text), q.query_text)")
+@query("sparse_match", f"SELECT m.query_id, m.id, m.score FROM {MATCH_SQL.replace('{q}', PHRASES_SQL)} m")
 def sparse_match(spark, sf):
-    return R.sparse_matches(facts(spark, sf), questions(spark, sf)).select("query_id", "id")
+    return R.sparse_matches(facts(spark, sf), phrases(spark, sf)).select("query_id", "id", "score")
 
 
-@query("sparse_rank", f"SELECT query_id, id, CAST(sparse_rank AS INTEGER) AS sparse_rank, round(sparse_score, 6) AS sparse_score FROM {sparse_sql()}")
+@query("sparse_rank", f"SELECT query_id, id, CAST(sparse_rank AS INTEGER) AS sparse_rank, round(sparse_score, 6) AS sparse_score FROM {sparse_sql(PHRASES_SQL)} UNION ALL SELECT query_id + 1000000, id, CAST(sparse_rank AS INTEGER), round(sparse_score, 6) FROM {sparse_sql()}")
 def sparse_rank(spark, sf):
-    return R.sparse_rank(facts(spark, sf), questions(spark, sf)).withColumn("sparse_score", F.round("sparse_score", 6))
+    both = phrases(spark, sf).unionByName(questions(spark, sf).select((F.col("query_id") + 1_000_000).alias("query_id"), "query_text"))
+    return R.sparse_rank(facts(spark, sf), both).withColumn("sparse_score", F.round("sparse_score", 6))
 
 
 @query("rrf_fusion", f"SELECT query_id, id, round(rrf, 9) AS rrf, round(dense_sim, 6) AS dense_sim FROM {fused_sql()}")
 def rrf_fusion(spark, sf):
     q = questions(spark, sf).drop("department")
-    return R.fuse(R.dense_rank(corpus(spark, sf), q), R.sparse_rank(facts(spark, sf), q)).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("dense_sim", 6).alias("dense_sim"))
+    return R.fuse(R.dense_rank(corpus(spark, sf), q), R.sparse_rank(facts(spark, sf), q.drop("embedding"))).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("dense_sim", 6).alias("dense_sim"))
 
 
 @query("rrf_hydrate", f"SELECT f.query_id, f.place, f.id, c.department, c.year, sha256(c.text) AS text_digest FROM {scored_sql(10)} f JOIN {CORPUS_SQL} c ON f.id = c.id")
@@ -106,19 +120,25 @@ def score_clamp(spark, sf):
     return SCORES.df(spark).select("row_id", X.clamp(F.col("raw")).alias("score"))
 
 
-@query("relevance_threshold", f"SELECT query_id, id, score FROM {scored_sql()} WHERE score >= 0.55")
+ORDERED_SQL = f"(SELECT *, CASE WHEN query_id % 3 = 0 THEN 'GO-' || query_id % 10 END AS go FROM {QUERIES_SQL})"
+GO_WHERE = "AND (q.go IS NULL OR contains(lower(c.go_number), lower(substr(q.go, 4))))"
+
+
+@query("relevance_threshold", f"SELECT s.query_id, s.id, s.score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.place) AS INTEGER) AS place FROM {scored_sql(25, ORDERED_SQL, GO_WHERE)} s JOIN {ORDERED_SQL} o USING (query_id) WHERE o.go IS NOT NULL OR s.score >= 0.5")
 def relevance_threshold(spark, sf):
-    return found(spark, sf).where("round(score, 6) >= 0.55").select("query_id", "id", F.round("score", 6).alias("score"))
+    q = questions(spark, sf).drop("department").withColumn("go", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("GO-"), (F.col("query_id") % 10).cast("string"))))
+    hits = R.search(corpus(spark, sf), q).withColumn("score", F.round("score", 6))
+    return R.relevant(hits, q).select("query_id", "id", "score", "place")
 
 
-DEPT_WHERE = "AND q.department = c.department"
+DEPT_WHERE = "AND c.department ILIKE '%' || q.department || '%'"
 
 
 @query("facet_filter", f"SELECT q.query_id, c.id FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON q.department = c.department AND c.year BETWEEN 2003 AND 2015 AND c.status = 'CURRENT_ACTIVE'")
 def facet_filter(spark, sf):
     q = questions(spark, sf).select("query_id", "department")
     c = facts(spark, sf).drop("text").where("year BETWEEN 2003 AND 2015 AND status = 'CURRENT_ACTIVE'")
-    return c.join(F.broadcast(q), "department").select("query_id", "id")
+    return c.join(sent(q), "department").select("query_id", "id")
 
 
 @query("relax_dept", f"""WITH q AS (SELECT query_id, query_text, embedding, CASE WHEN query_id % 4 = 0 THEN 'nowhere' ELSE department END AS department FROM {QUERIES_SQL}),
@@ -129,17 +149,21 @@ def relax_dept(spark, sf):
     return R.search(corpus(spark, sf), q, 5).select("query_id", "place", "id")
 
 
-@query("relax_go", f"""WITH q AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 99999999 ELSE query_id * 3 END AS go, department FROM {QUERIES_SQL}),
-  strict AS (SELECT q.query_id, c.id FROM q JOIN {CORPUS_SQL} c ON c.id = q.go AND c.department = q.department),
-  loose AS (SELECT q.query_id, c.id FROM q JOIN {CORPUS_SQL} c ON c.id = q.go WHERE q.query_id NOT IN (SELECT query_id FROM strict))
-  SELECT query_id, id, FALSE AS relaxed FROM strict UNION ALL SELECT query_id, id, TRUE FROM loose""")
+RELAX_SQL = f"(SELECT query_id, query_text, embedding, CASE WHEN query_id % 4 = 0 THEN 'nowhere' ELSE department END AS department, CASE WHEN query_id % 3 = 0 THEN 1990 ELSE 2000 + query_id % 9 END AS y1, CASE WHEN query_id % 3 = 0 THEN 1991 ELSE 2020 END AS y2, CASE WHEN query_id % 2 = 0 THEN '1' || query_id % 10 END AS go FROM {QUERIES_SQL})"
+YEAR_WHERE = "AND c.year BETWEEN q.y1 AND q.y2 AND (q.go IS NULL OR contains(lower(c.go_number), q.go))"
+
+
+@query("relax_go", f"""WITH q AS MATERIALIZED (SELECT * FROM {RELAX_SQL}), strict AS MATERIALIZED (SELECT * FROM {scored_sql(5, 'q', DEPT_WHERE + ' ' + YEAR_WHERE)}),
+  q2 AS MATERIALIZED (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM strict)), loose AS MATERIALIZED (SELECT * FROM {scored_sql(5, 'q2', YEAR_WHERE)}),
+  q3 AS MATERIALIZED (SELECT * FROM q2 WHERE go IS NOT NULL AND query_id NOT IN (SELECT query_id FROM loose)), last AS (SELECT * FROM {scored_sql(5, 'q3', "AND contains(lower(c.go_number), q.go)")})
+  SELECT query_id, place, id FROM strict UNION ALL SELECT query_id, place, id FROM loose UNION ALL SELECT query_id, place, id FROM last""")
 def relax_go(spark, sf):
-    q = questions(spark, sf).select("query_id", "department", F.when(F.col("query_id") % 5 == 0, F.lit(99999999)).otherwise(F.col("query_id") * 3).cast("long").alias("go"))
-    c = facts(spark, sf).select("id", F.col("department").alias("own"))
-    all_ = c.join(F.broadcast(q), F.col("id") == F.col("go"))
-    strict = all_.where("own = department").select("query_id", "id", F.lit(False).alias("relaxed"))
-    loose = all_.join(strict.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "id", F.lit(True).alias("relaxed"))
-    return strict.unionByName(loose)
+    n = F.col("query_id")
+    q = questions(spark, sf).withColumns({
+        "department": F.when(n % 4 == 0, "nowhere").otherwise(F.col("department")), "year_from": F.when(n % 3 == 0, 1990).otherwise(2000 + n % 9).cast("int"),
+        "year_to": F.when(n % 3 == 0, 1991).otherwise(2020).cast("int"), "go": F.when(n % 2 == 0, F.concat(F.lit("1"), (n % 10).cast("string"))),
+    })
+    return R.search(corpus(spark, sf), q, 5).select("query_id", "place", "id")
 
 
 @query("context_top6", f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS r FROM {scored_sql()}) WHERE r <= 6")
@@ -191,15 +215,15 @@ def confidence_fastpath(spark, sf):
     return confidence_rows(spark, sf).select("query_id", L.fast_path(F.col("confidence"), one_order, conflict).alias("confidence"))
 
 
-@query("confidence_blend", f"SELECT query_id, round(0.5 * (query_id % 10) / 10.0 + 0.5 * confidence, 3) AS confidence FROM {CONFIDENCE_SQL}")
+@query("confidence_blend", f"SELECT query_id, ((100 * (query_id % 10) + CAST(round(confidence * 1000) AS BIGINT) + 1) // 2) / 1000.0 AS confidence FROM {CONFIDENCE_SQL}")
 def confidence_blend(spark, sf):
-    return confidence_rows(spark, sf).select("query_id", F.round(F.lit(0.5) * (F.col("query_id") % 10) / 10.0 + 0.5 * F.col("confidence"), 3).alias("confidence"))
+    return confidence_rows(spark, sf).select("query_id", L.blend(F.col("confidence"), (F.col("query_id") % 10) / 10.0).alias("confidence"))
 
 
 @query("lineage_lookup", f"SELECT q.query_id, e.old, e.new, e.status FROM {QUERIES_SQL} q JOIN {LINEAGE_SQL} e ON contains(CAST(e.old AS VARCHAR), CAST(q.query_id AS VARCHAR))")
 def lineage_lookup(spark, sf):
     q = questions(spark, sf).select("query_id")
-    return lineage(spark, sf).join(F.broadcast(q), F.col("old").cast("string").contains(F.col("query_id").cast("string"))).select("query_id", "old", "new", "status")
+    return lineage(spark, sf).join(sent(q), F.col("old").cast("string").contains(F.col("query_id").cast("string"))).select("query_id", "old", "new", "status")
 
 
 @query("lineage_status", f"""WITH k AS (SELECT query_id, CAST(query_id AS VARCHAR) AS key FROM {QUERIES_SQL}), e AS (SELECT CAST(old AS VARCHAR) AS go, status, new FROM {LINEAGE_SQL}), d AS (SELECT CAST(id AS VARCHAR) AS go, status FROM {CORPUS_SQL}),
@@ -234,4 +258,4 @@ def conflict_merge(spark, sf):
 @query("lead_status", f"SELECT q.query_id, arg_min(c.status, c.id) AS status FROM {QUERIES_SQL} q JOIN {CORPUS_SQL} c ON q.department = c.department GROUP BY q.query_id")
 def lead_status(spark, sf):
     q = questions(spark, sf).select("query_id", "department")
-    return facts(spark, sf).select("id", "department", "status").join(F.broadcast(q), "department").groupBy("query_id").agg(F.min_by("status", "id").alias("status"))
+    return facts(spark, sf).select("id", "department", "status").join(sent(q), "department").groupBy("query_id").agg(F.min_by("status", "id").alias("status"))

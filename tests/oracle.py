@@ -1,5 +1,6 @@
 """Comparison of a query with its SQL on DuckDB."""
 
+import decimal
 import os
 
 import duckdb
@@ -13,12 +14,17 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def rows(df) -> list[str]:
+def rows(names: list[str], found: list[tuple]) -> list[str]:
+    """Rows in one spelling: columns by name, numbers as numbers whatever their type."""
+
     def plain(v):
-        if hasattr(v, "tolist"):
-            v = v.tolist()
-        if isinstance(v, float):
-            return None if v != v else round(v, 6)
-        return None if v is None else str(v)
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        if isinstance(v, (bool, str)) or v is None:
+            return v
+        if isinstance(v, (int, float, decimal.Decimal)):
+            return None if v != v else float(round(v, 6)) if abs(v) < 2**53 else int(v)
+        return str(v)
 
-    return sorted(str(tuple(plain(v) for v in r)) for r in df[sorted(df.columns)].itertuples(index=False))
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(str([plain(r[i]) for i in order]) for r in found)
