@@ -47,10 +47,7 @@ def scale_of(header: Column) -> tuple[Column, Column]:
 
 
 def is_total(text: Column) -> Column:
-    out = F.lit(False)
-    for w in fixed.TOTAL_WORDS:
-        out = out | F.lower(F.trim(text)).contains(w)
-    return out
+    return let(F.lower(F.trim(text)), lambda t: F.exists(F.array(*map(F.lit, fixed.TOTAL_WORDS)), lambda w: t.contains(w)))
 
 
 def role_of(header: Column) -> Column:

@@ -153,6 +153,14 @@ def clamp(score: Column) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
+def as_share(value: Column, whole: Column | None = None) -> Column:
+    """A confidence given as a whole percentage from 2 to 100 becomes a share; fractions stay. whole: whether the value was
+    written as a whole number (by default, whether it is one)."""
+    v = value.cast("double")
+    whole = (v == F.floor(v)) if whole is None else whole
+    return F.when(whole & (v > 1) & (v <= 100), v / 100).otherwise(v)
+
+
 def clauses(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, r"(?=(?:^|\n)\s*(?:\(\d+\)|\d+[.\-]\s*))"), strip), lambda s: s != "")
     return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(parts)

@@ -34,16 +34,32 @@ def without_chatter(reply: Column) -> Column:
     return F.when(inner != "", blank(inner)).otherwise(t)
 
 
+def _listed(reply: Column) -> Column:
+    """The text of a reply that is a list of parts."""
+    t = F.trim(F.coalesce(reply, F.lit("")))
+    part = F.get_json_object(F.when(t.startswith("[{'type': 'text'"), F.regexp_replace(t, "'", '"')).otherwise(t), "$[0].text")
+    return F.when(t.rlike(r"""^\[\{['"]type['"]: ['"]text['"]"""), F.coalesce(part, t)).otherwise(F.coalesce(reply, F.lit("")))
+
+
 def header(reply: Column) -> Column:
-    """(go_number, page_text, draft) of a reply's metadata object."""
-    t = F.coalesce(reply, F.lit(""))
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    whole = F.when(F.trim(t).startswith("{") & F.trim(t).endswith("}"), F.trim(t))
-    j = F.coalesce(F.nullif(fenced, F.lit("")), whole)
-    j = F.when(F.try_parse_json(j).isNotNull(), j)
-    go = F.coalesce(F.get_json_object(j, "$.go_number"), F.lit(""))
-    said = F.get_json_object(j, "$.is_draft_placeholder").try_cast("boolean")
-    return F.struct(go.alias("go_number"), F.coalesce(F.get_json_object(j, "$.page_text"), F.lit("")).alias("page_text"), F.coalesce(said, (go == "") | go.rlike(fixed.DRAFT_NUMBER)).alias("draft"))
+    """(go_number, page_text, draft) of a reply with a metadata object, fenced or whole: the page's text is the object's,
+    else what stands round it, else its own entries line by line, else the reply."""
+
+    def read(t: Column) -> Column:
+        block = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+        fenced = F.regexp_extract(t, block, 1)
+        whole = F.when(F.trim(t).startswith("{") & F.trim(t).endswith("}"), F.trim(t))
+        j = F.coalesce(F.nullif(fenced, F.lit("")), whole)
+        rest = F.when(fenced != "", F.trim(F.regexp_replace(t, block, ""))).when(whole.isNotNull(), "").otherwise(t)
+        j = F.when(F.try_parse_json(j).isNotNull(), j)
+        go = F.coalesce(F.get_json_object(j, "$.go_number"), F.lit(""))
+        said = F.get_json_object(j, "$.is_draft_placeholder").try_cast("boolean")
+        entries = F.from_json(j, "map<string,string>")
+        lines = F.transform(F.filter(F.map_entries(entries), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & (e["key"] != "page_text") & (e["value"] != "false")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+        text = F.coalesce(F.nullif(F.trim(F.get_json_object(j, "$.page_text")), F.lit("")), F.nullif(F.trim(rest), F.lit("")), F.nullif(F.array_join(lines, "\n"), F.lit("")), F.trim(t))
+        return F.struct(go.alias("go_number"), text.alias("page_text"), F.coalesce(said, (go == "") | go.rlike(fixed.DRAFT_NUMBER)).alias("draft"))
+
+    return F.get(F.transform(F.array(_listed(reply)), read), F.lit(0))
 
 
 def or_blank(text: Column, least: int = 30) -> Column:

@@ -7,27 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..functions.indic import english_words
 
 
 def entropy(docs: DataFrame) -> DataFrame:
-    """doc_id, entropy of the characters other than white space. Characters are counted within the row."""
-    chars = F.filter(F.split(X.squeezed(F.col("text")), ""), lambda c: c != "")
-    counts = docs.select("doc_id", F.explode(chars).alias("ch")).groupBy("doc_id", "ch").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # H = log2 T - (1/T) sum n log2 n needs one pass over the counts.
-    g = counts.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return g.select("doc_id", F.round(F.log2("t") - F.col("s") / F.col("t"), 3).alias("entropy"))
+    """doc_id, entropy of the characters other than white space, counted within the row: a character occurs as often as
+    taking it out makes the text shorter."""
+
+    def total(solid: Column) -> Column:
+        chars = F.filter(F.array_distinct(F.split(solid, "")), lambda c: c != "")
+        counts = F.transform(chars, lambda c: (F.length(solid) - F.length(F.replace(solid, c, F.lit("")))).cast("double"))
+        # H = log2 T - (1/T) sum n log2 n
+        return F.log2(F.length(solid)) - F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log2(n)) / F.length(solid)
+
+    x = docs.select("doc_id", X.squeezed(F.col("text")).alias("solid")).where("solid <> ''")
+    return x.select("doc_id", F.round(X.let(F.col("solid"), total), 3).alias("entropy"))
+
+
+def _unmapped(text: Column) -> Column:
+    """Share of the tokens that are Latin words of three letters or more but no English word."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[ ,;:.()\[\]{}\"']+|[ ,;:.()\[\]{}\"']+$", ""))
+    return X.let(bare, lambda ts: F.size(F.filter(ts, lambda t: t.rlike("^[A-Za-z]{3,}$") & ~F.lower(t).isin(*english_words()))) / F.size(ts))
 
 
 def garbage(text: Column) -> Column:
-    solid = X.squeezed(text)
-    n = F.length(solid)
-    hits = F.lit(0)
-    for w in fixed.MOJIBAKE:
-        hits = hits + F.lower(text).contains(w).cast("int")
-    return (
-        F.when(text == "", "fine").when(n < 15, "too_short").when((hits >= 2) | ((hits >= 1) & (n < 100)), "mojibake")
-        .when((X.ratio_of(text, r"[^\p{L}\p{N}\x{0900}-\x{097F}]") > 0.3) & (X.ratio_of(text, X.DEVANAGARI) < 0.2), "punctuation").otherwise("fine")
-    )
+    """Why a text layer is no text, or "fine": too short, corrupt fragments, a little of the script among unknown Latin
+    words, or mostly marks."""
+
+    def judged(solid: Column) -> Column:
+        n = F.length(solid)
+        script = F.regexp_count(solid, F.lit(X.DEVANAGARI)) / n
+        marks = F.regexp_count(solid, F.lit(r"[^\p{L}\p{N}\x{0900}-\x{097F}]")) / n
+        hits = X.let(F.lower(text), lambda low: F.size(F.filter(F.array(*map(F.lit, fixed.MOJIBAKE)), lambda w: low.contains(w))))
+        return (
+            F.when(text == "", "fine").when(n < 15, "too_short")
+            .otherwise(X.let(hits, lambda h: F.when((h >= 2) | ((h >= 1) & (n < 100)), "mojibake").otherwise(
+                X.let(script, lambda d: F.when((d > 0) & (d < 0.35) & (_unmapped(text) > 0.4), "mixed_latin").when((d < 0.2) & (marks > 0.3), "punctuation").otherwise("fine")))))
+        )
+
+    return X.let(X.squeezed(text), judged)
 
 
 def is_draft(text: Column) -> Column:
@@ -62,8 +81,9 @@ def endorsed_number(text: Column) -> Column:
     return F.when((c != "") & _sound(c), F.when(F.upper(c).startswith("GO-"), c).otherwise(F.concat(F.lit("GO-"), c)))
 
 
-def order_number(text: Column) -> Column:
-    """Number of an order: that of the endorsement line, else the first sound candidate by form, else GO-UNKNOWN."""
+def order_number(text: Column, stem: Column | None = None) -> Column:
+    """Number of an order: that of the endorsement line, else the first sound candidate by form, else the file's stem, else
+    GO-UNKNOWN."""
     head = F.substring(X.ascii_digits(text), 1, 1200)
     found = [endorsed_number(text)]
     for form in ORDER_FORMS:
@@ -71,6 +91,8 @@ def order_number(text: Column) -> Column:
         ok = F.filter(cands, lambda c: _sound(c) & ~F.lower(c).isin(*NO_NUMBERS))
         one = F.get(ok, F.lit(0))
         found.append(F.when(F.size(ok) > 0, F.when(F.upper(one).startswith("GO-"), one).otherwise(F.concat(F.lit("GO-"), one))))
+    if stem is not None:
+        found.append(F.when(stem != "", F.concat(F.lit("GO-"), F.regexp_replace(stem, r"[^0-9A-Za-z\-_]", ""))))
     return F.coalesce(*found, F.lit("GO-UNKNOWN"))
 
 

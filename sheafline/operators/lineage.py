@@ -58,3 +58,13 @@ def closure(edges: DataFrame, most: int) -> DataFrame:
         if reach < most:
             paths = saved(paths, "lineage-paths")
     return paths
+
+
+def compare_versions(asked: DataFrame, cited: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, go_number, accepted, status, superseded_by of the orders asked about (query_id, go_number). A query is
+    accepted if all its orders are among those cited (query_id, go_number); the others get no status."""
+    marked = asked.join(cited.select("query_id", "go_number").distinct().withColumn("known", F.lit(True)), ["query_id", "go_number"], "left")
+    whole = marked.groupBy("query_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("accepted"))
+    keyed = asked.join(whole, "query_id").withColumn("row", F.xxhash64("query_id", "go_number"))
+    found = statuses(keyed.where("accepted").select(F.col("row").alias("query_id"), F.col("go_number").alias("key")).distinct(), edges, docs).withColumnRenamed("query_id", "row")
+    return keyed.join(found, "row", "left").select("query_id", "go_number", "accepted", "status", "superseded_by")

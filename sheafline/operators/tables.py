@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.money import DECIMAL, is_total, parse_money, role_of
+from ..sources.shared import saved, sent
 
 
 def valued(cells: DataFrame) -> DataFrame:
@@ -14,20 +15,53 @@ def valued(cells: DataFrame) -> DataFrame:
 
 
 def totals(cells: DataFrame) -> DataFrame:
-    """table_id, total_row, total_col, total: the right-most amount of the first row with a total word."""
-    first = cells.where(is_total(F.col("t"))).groupBy("table_id").agg(F.min("r").alias("r"))
-    row = cells.join(first, ["table_id", "r"]).where("v IS NOT NULL")
-    return row.groupBy("table_id", F.col("r").alias("total_row")).agg(F.max("c").alias("total_col"), F.max_by("v", "c").alias("total"))
+    """table_id, total_row, total_col, total: the right-most amount of the first row with a total word and an amount."""
+    rows = cells.groupBy("table_id", "r").agg(F.bool_or(is_total(F.col("t"))).alias("named"), F.max(F.when(F.col("v").isNotNull(), F.struct("c", "v"))).alias("last"))
+    best = rows.where("named AND last IS NOT NULL").groupBy("table_id").agg(F.min(F.struct("r", "last")).alias("x"))
+    return best.select("table_id", F.col("x.r").alias("total_row"), F.col("x.last.c").alias("total_col"), F.col("x.last.v").alias("total"))
 
 
 def balances(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """table_id, valid: sanctioned less spent is the balance in every row that has all three."""
+    """table_id, valid: sanctioned less spent is the balance in every row that has all three, each in the last column of
+    its role; valid where a role has no column."""
     x = cells.withColumn("role", role_of(F.col("header")))
-    of = lambda n: F.max(F.when(F.col("role") == n, F.col("v")))
+    x = x.withColumn("last", F.max(F.when(F.col("role").isNotNull(), F.col("c"))).over(Window.partitionBy("table_id", "role")))
+    of = lambda n: F.max(F.when((F.col("role") == n) & (F.col("c") == F.col("last")), F.col("v")))
     rows = x.groupBy("table_id", "r").agg(of("sanctioned").alias("a"), of("spent").alias("s"), of("balance").alias("b"))
     return rows.groupBy("table_id").agg(F.bool_and(F.coalesce(F.abs(F.col("a") - F.col("s") - F.col("b")) <= tolerance, F.lit(True))).alias("valid"))
 
 
+def verified(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """table_id, computed, declared, delta, valid. The amounts of the total's column but the total's row add up to it;
+    then the rows balance. A table without a total is valid with nulls. Texts are read once, before the checks part."""
+    v = saved(valued(cells), "cells")
+    total = totals(v)
+    sums = v.join(total, "table_id").where("c = total_col AND r <> total_row").groupBy("table_id").agg(F.sum("v").alias("s"))
+    x = v.select("table_id").distinct().join(total, "table_id", "left").join(sums, "table_id", "left").join(balances(v, tolerance).withColumnRenamed("valid", "balanced"), "table_id")
+    zero = F.lit(0).cast(DECIMAL)
+    computed = F.when(F.col("total").isNotNull(), F.coalesce("s", zero).cast(DECIMAL))
+    x = x.select("table_id", computed.alias("computed"), F.col("total").alias("declared"), "balanced").withColumn("delta", F.abs(F.col("computed") - F.col("declared")))
+    valid = F.col("declared").isNull() | ((F.col("delta") <= tolerance) & F.col("balanced"))
+    return x.select("table_id", "computed", "declared", "delta", valid.alias("valid"))
+
+
+def doubtful(cells: DataFrame, least: float = 0.95, tolerance: float = 0.01) -> DataFrame:
+    """Cells of tables whose sum fails that are worth reading again: amounts of the total's column below a confidence, the
+    least sure first (place)."""
+    v = valued(cells)
+    failed = verified(cells, tolerance).where(F.col("delta") > tolerance).select("table_id")
+    x = v.join(failed, "table_id", "left_semi").join(totals(v), "table_id").where((F.col("c") == F.col("total_col")) & (F.col("r") != F.col("total_row")) & F.col("v").isNotNull() & (F.col("confidence") < least))
+    return x.select("table_id", "r", "c", "t", "confidence", F.row_number().over(Window.partitionBy("table_id").orderBy("confidence", "r")).alias("place"))
+
+
+def reread(cells: DataFrame, readings: DataFrame) -> DataFrame:
+    """cells with the texts of a second reading (table_id, r, c, reading) where that holds an amount, at full confidence.
+
+    The reading itself is done outside, for the cells that ``doubtful`` names."""
+    x = cells.join(readings.select("table_id", "r", "c", "reading"), ["table_id", "r", "c"], "left").withColumn("new", parse_money(F.col("reading")).isNotNull())
+    return x.withColumns({"t": F.when(F.col("new"), F.col("reading")).otherwise(F.col("t")), "confidence": F.when(F.col("new"), 1.0).otherwise(F.col("confidence"))}).select(*cells.columns)
+
+
 def candidates(cells: DataFrame) -> DataFrame:
     """cells with candidate, penalty: every amount that one confused digit could have meant."""
     swaps = F.broadcast(cells.sparkSession.createDataFrame(fixed.CONFUSIONS, "d string, alt string, penalty double"))
@@ -83,7 +117,7 @@ def clustered(items: DataFrame, gap: float = 0.025) -> DataFrame:
 def boxed(items: DataFrame, cells: DataFrame) -> DataFrame:
     """cell, t, confidence: texts of the items whose middle lies in the cell, and their least confidence."""
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    hit = items.join(F.broadcast(cells), inside)
+    hit = items.join(sent(cells), inside)
     texts = F.transform(F.sort_array(F.collect_list(F.struct("item", "t"))), lambda s: s["t"])
     return hit.groupBy("cell").agg(F.array_join(texts, " ").alias("t"), F.min("confidence").alias("confidence"))
 
@@ -116,8 +150,24 @@ def rendered_headers(cells: DataFrame) -> DataFrame:
     return one.groupBy("table_id").agg(F.concat(F.lit("| "), F.array_join(names, " | "), F.lit(" |")).alias("header"))
 
 
-def windows(rows: DataFrame, size: int) -> DataFrame:
-    """table_id, w, n, body: rows (table_id, r, cells) in windows of so many, each a text of its own."""
-    line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda s: s["l"]), "\n")
-    return rows.groupBy("table_id", F.floor(F.col("r") / size).cast("int").alias("w")).agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
+def table_texts(rows: DataFrame, size: int) -> DataFrame:
+    """table_id, first, n, body: tables (table_id, headers, r from 0, cells) as text with header and delimiter lines.
+
+    A table of at most one and a half times size is one text. A longer one is cut into windows of max(2, rows / (length /
+    size)) rows, in whole numbers, each with the header and a tag that names its rows.
+    """
+    own = Window.partitionBy("table_id")
+    wide = F.greatest(F.size("headers"), F.max(F.size("cells")).over(own))
+    x = rows.withColumn("wide", wide).withColumn("n_rows", F.count(F.lit(1)).over(own))
+    name = lambda i: F.coalesce(F.nullif(F.get(F.col("headers"), i), F.lit("")), F.concat(F.lit("Col_"), (i + 1).cast("string")))
+    cell = lambda i: F.trim(F.replace(F.coalesce(F.get(F.col("cells"), i), F.lit("")), F.lit("|"), F.lit("-")))
+    places = F.sequence(F.lit(0), F.col("wide") - 1)
+    line = lambda of: F.concat(F.lit("| "), F.array_join(F.transform(places, of), " | "), F.lit(" |"))
+    x = x.withColumns({"line": line(cell), "head": F.concat(line(name), F.lit("\n"), line(lambda i: F.lit("---")))})
+    x = x.withColumn("long", F.length("head") + F.sum(F.length("line") + 1).over(own))
+    per = F.greatest(F.lit(2), F.floor(F.col("n_rows") / F.greatest(F.floor(F.col("long") / size), F.lit(1)))).cast("int")
+    x = x.withColumn("per", F.when(F.col("long") <= 1.5 * size, F.col("n_rows").cast("int")).otherwise(per)).withColumn("first", (F.floor(F.col("r") / F.col("per")) * F.col("per")).cast("int"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]), "\n")
+    g = x.groupBy("table_id", "first").agg(F.count(F.lit(1)).alias("n"), F.first("head").alias("head"), F.first("n_rows").alias("n_rows"), F.first("long").alias("long"), body.alias("rows"))
+    tag = F.format_string(" [Table Slice Rows %d-%d of %d]", F.col("first") + 1, F.col("first") + F.col("n"), F.col("n_rows"))
+    return g.select("table_id", "first", "n", F.concat("head", F.lit("\n"), "rows", F.when(F.col("long") <= 1.5 * size, "").otherwise(tag)).alias("body"))

@@ -91,6 +91,7 @@ def clean_excerpt(spark, sf):
 REPLIES = Fixture("row_id int, reply string", [
     (1, "```json\n{\"answer\": \"Forty two is the answer\", \"n\": 1}\n```"), (2, "noise {\"content\": \"plain\"} tail"), (3, "no json here"), (4, None), (5, "{broken"), (6, "{\"text\": \"  \", \"markdown\": \"kept\"}"), (7, "Sure, here it is\n\nbody text @@@ goes here\n\nI hope this helps you"),
     (8, "```markdown\n| a | b |\n```"), (9, "{\"go_number\": \"\", \"page_text\": \"page body\"}"), (10, "{\"go_number\": \"संख्या-__/XXX\", \"is_draft_placeholder\": true}"),
+    (11, "[{'type': 'text', 'text': 'listed words'}]"), (12, "{\"go_number\": \"GO-7/XX\", \"date\": \"2018\"}"), (13, "before\n```json\n{\"go_number\": \"GO-9/AB\", \"is_draft_placeholder\": false}\n```\nafter the block"),
 ])
 
 
@@ -99,25 +100,36 @@ def reply_json(spark, sf):
     return REPLIES.df(spark).select("row_id", A.reply_json(F.col("reply")).isNotNull().alias("found"))
 
 
-@query("answer_unwrap", "SELECT row_id, CASE WHEN json_valid(j) AND j <> '' THEN coalesce(" + ", ".join(f"nullif(trim(json_extract_string(CASE WHEN json_valid(j) THEN j ELSE '{{}}' END, '$.{k}')), '')" for k in fixed.ANSWER_KEYS) + ", trim(reply)) ELSE trim(coalesce(reply, '')) END AS answer FROM (SELECT row_id, reply, coalesce(regexp_extract(reply, '(?s)\\{.*\\}'), '') AS j FROM " + REPLIES.sql() + ") WHERE row_id NOT IN (1, 8)")
+@query("answer_unwrap", "SELECT row_id, CASE WHEN json_valid(j) AND j <> '' THEN coalesce(" + ", ".join(f"nullif(trim(json_extract_string(CASE WHEN json_valid(j) THEN j ELSE '{{}}' END, '$.{k}')), '')" for k in fixed.ANSWER_KEYS) + ", t) ELSE t END AS answer FROM (SELECT row_id, t, regexp_extract(t, '(?s)\\{.*\\}') AS j FROM (SELECT row_id, trim(regexp_replace(trim(coalesce(reply, '')), '(?m)^```(?:json|markdown)?\\s*|\\s*```$', '', 'g')) AS t FROM " + REPLIES.sql() + "))")
 def answer_unwrap(spark, sf):
-    return REPLIES.df(spark).where("row_id NOT IN (1, 8)").select("row_id", A.unwrapped(F.col("reply")).alias("answer"))
+    return REPLIES.df(spark).select("row_id", A.unwrapped(F.col("reply")).alias("answer"))
 
 
-@query("strip_chatter", r"""SELECT row_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(reply, '@+', '', 'g')), '^(?:Here is the (?:extracted |markdown |verbatim )?text[^\n]*\n+|Sure,?[^\n]*\n+|Certainly,?[^\n]*\n+)', '', 'i'), '\n+(?:Let me know if you need anything else|I hope this helps|Note: The above text is extracted)[^\n]*$', '', 'i'), ' ' || chr(10)) AS t FROM """ + REPLIES.sql() + " WHERE reply NOT LIKE '```%'")
+@query("strip_chatter", r"""SELECT row_id, CASE WHEN inside <> '' THEN trim(inside, ' ' || chr(10)) ELSE t END AS t FROM (SELECT row_id, t, regexp_extract(t, '(?s)^```(?:markdown|text)?\s*\n(.*)\n```$', 1) AS inside FROM (SELECT row_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(reply, '@+', '', 'g'), ' ' || chr(10)), '^(?:Here is the (?:extracted |markdown |verbatim )?text[^\n]*\n+|Sure,?[^\n]*\n+|Certainly,?[^\n]*\n+)', '', 'i'), '\n+(?:Let me know if you need anything else|I hope this helps|Note: The above text is extracted)[^\n]*$', '', 'i'), ' ' || chr(10)) AS t FROM """ + REPLIES.sql() + "))")
 def strip_chatter(spark, sf):
-    return REPLIES.df(spark).where("reply NOT LIKE '```%'").select("row_id", A.without_chatter(F.col("reply")).alias("t"))
+    return REPLIES.df(spark).select("row_id", A.without_chatter(F.col("reply")).alias("t"))
 
 
-@query("header_json", "SELECT row_id, coalesce(json_extract_string(j, '$.go_number'), '') AS go_number, coalesce(nullif(json_extract_string(j, '$.page_text'), ''), '') AS page_text, coalesce(CAST(json_extract_string(j, '$.is_draft_placeholder') AS BOOLEAN), coalesce(json_extract_string(j, '$.go_number'), '') = '') AS draft FROM (SELECT row_id, CASE WHEN starts_with(trim(reply), '{') AND ends_with(trim(reply), '}') AND json_valid(reply) THEN reply ELSE '{}' END AS j FROM " + REPLIES.sql() + " WHERE row_id > 1)")
+HEADER_SQL = r"""WITH x AS (SELECT row_id, CASE WHEN regexp_matches(trim(coalesce(reply, '')), '^\[\{[\x27"]type[\x27"]: [\x27"]text[\x27"]') THEN coalesce(json_extract_string(CASE WHEN json_valid(replace(trim(reply), chr(39), '"')) THEN replace(trim(reply), chr(39), '"') ELSE '[]' END, '$[0].text'), trim(reply)) ELSE coalesce(reply, '') END AS t FROM REPLIES),
+  y AS (SELECT *, regexp_extract(t, '(?s)```(?:json)?\s*(\{.*?\})\s*```', 1) AS f, starts_with(trim(t), '{') AND ends_with(trim(t), '}') AS whole FROM x),
+  z AS (SELECT *, CASE WHEN f <> '' THEN f WHEN whole THEN trim(t) END AS raw, CASE WHEN f <> '' THEN trim(regexp_replace(t, '(?s)```(?:json)?\s*(\{.*?\})\s*```', '', 'g')) WHEN whole THEN '' ELSE t END AS rest FROM y),
+  w AS (SELECT *, CASE WHEN json_valid(raw) THEN raw ELSE '{}' END AS j FROM z),
+  v AS (SELECT *, coalesce(json_extract_string(j, '$.go_number'), '') AS go, array_to_string([k || ': ' || json_extract_string(j, '$.' || k) FOR k IN json_keys(j) IF k <> 'page_text' AND coalesce(json_extract_string(j, '$.' || k), '') NOT IN ('', 'false')], chr(10)) AS entries FROM w)
+  SELECT row_id, go AS go_number, coalesce(nullif(trim(json_extract_string(j, '$.page_text')), ''), nullif(trim(rest), ''), nullif(entries, ''), trim(t)) AS page_text, coalesce(TRY_CAST(json_extract_string(j, '$.is_draft_placeholder') AS BOOLEAN), go = '' OR regexp_matches(go, DRAFT)) AS draft FROM v"""
+
+
+@query("header_json", HEADER_SQL.replace("REPLIES", REPLIES.sql()).replace("DRAFT", literal(fixed.DRAFT_NUMBER)))
 def header_json(spark, sf):
-    return REPLIES.df(spark).where("row_id > 1").select("row_id", A.header(F.col("reply")).alias("h")).select("row_id", "h.go_number", "h.page_text", "h.draft")
+    return REPLIES.df(spark).select("row_id", A.header(F.col("reply")).alias("h")).select("row_id", "h.go_number", "h.page_text", "h.draft")
 
 
-@query("blank_page", "SELECT page_id, CASE WHEN length(regexp_replace(t, '[\\s\\-_=@~|`#*]', '', 'g')) < 30 THEN 0 ELSE length(t) END AS n FROM (SELECT page_id, regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '<[^>]*>', '', 'g') AS t FROM pages)")
+@query("blank_page", "SELECT page_id, CASE WHEN length(regexp_replace(t, '[\\s\\-_=@~|`#*]', '', 'g')) < 30 THEN 0 ELSE length(t) END AS n FROM (SELECT page_id * 2 AS page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages UNION ALL SELECT page_id * 2 + 1, '-- ' || substring(url, 1, CAST(page_id % 50 AS INTEGER)) FROM pages)")
 def blank_page(spark, sf):
-    t = F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)", 1), "<[^>]*>", "")
-    return table(spark, sf, "pages").select("page_id", F.length(A.or_blank(t)).cast("long").alias("n"))
+    """The text of every page, and the head of its address, which is blank for some."""
+    p = table(spark, sf, "pages")
+    texts = p.select((F.col("page_id") * 2).alias("page_id"), F.regexp_replace("html", "<[^>]*>", "").alias("t"))
+    heads = p.select((F.col("page_id") * 2 + 1).alias("page_id"), F.concat(F.lit("-- "), F.col("url").substr(F.lit(1), (F.col("page_id") % 50).cast("int"))).alias("t"))
+    return texts.unionByName(heads).select("page_id", F.length(A.or_blank(F.col("t"))).cast("long").alias("n"))
 
 
 @query("fallback_summary", "SELECT doc_id, array_to_string(['- **' || left(l, 180) FOR l IN ([x FOR x IN [trim(y) FOR y IN string_split(text, chr(10))] IF length(x) > 10])[1:3]], chr(10)) AS summary FROM documents")

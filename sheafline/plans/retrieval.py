@@ -237,6 +237,22 @@ def lineage_status(spark, sf):
     return L.statuses(keys, edges, docs)
 
 
+VERSIONS_SQL = "(SELECT item_id AS query_id, CAST(item_id * k AS VARCHAR) AS go_number FROM benchmark, (VALUES (1), (7)) v(k) WHERE item_id > 0)"
+
+
+@query("compare_versions", f"""WITH a AS (SELECT *, query_id % 3 > 0 AS accepted FROM {VERSIONS_SQL}), e AS (SELECT CAST(old AS VARCHAR) AS go, status, new FROM {LINEAGE_SQL}), d AS (SELECT CAST(id AS VARCHAR) AS go, status FROM {CORPUS_SQL}),
+  k AS (SELECT DISTINCT go_number AS key FROM a WHERE accepted), m AS (SELECT key, CASE WHEN e.go = key THEN 1 ELSE 2 END AS rule, go, status, new FROM k JOIN e ON contains(e.go, k.key) OR contains(k.key, e.go) UNION ALL SELECT key, 3, go, status, NULL FROM k JOIN d ON d.go = k.key)
+  SELECT a.query_id, a.go_number, a.accepted, CASE WHEN a.accepted THEN coalesce(x.status, 'CURRENT_ACTIVE') END AS status, CASE WHEN a.accepted THEN x.new END AS superseded_by FROM a LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY rule, go) = 1) x ON x.key = a.go_number""")
+def compare_versions(spark, sf):
+    """Two orders of each question; those of every third question are not all cited."""
+    asked = table(spark, sf, "benchmark").where("item_id > 0").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.col("item_id").cast("string"), (F.col("item_id") * 7).cast("string"))).alias("go_number"))
+    cited = asked.where((F.col("query_id") % 3 > 0) | (F.length("go_number") < 2))
+    cited = cited.where((F.col("query_id") % 3 > 0) | (F.col("go_number") != F.col("query_id").cast("string")))
+    edges = lineage(spark, sf).select(F.col("old").cast("string").alias("go"), "status", F.col("new").alias("superseded_by"))
+    docs = facts(spark, sf).select(F.col("id").cast("string").alias("go"), "status")
+    return L.compare_versions(asked, cited, edges, docs)
+
+
 @query("lineage_closure", f"""WITH RECURSIVE e AS (SELECT old, new FROM {LINEAGE_SQL}), c AS (SELECT old AS root, new AS node, 1 AS depth FROM e
   UNION ALL SELECT c.root, e.new, c.depth + 1 FROM c JOIN e ON e.old = c.node WHERE c.depth < 20) SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node""")
 def lineage_closure(spark, sf):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import indic
+from ..operators import chunks as K
 from ..operators import state as S
 from ..sources import store as D
+from ..sources.shared import folder
 from ..streaming import reviews as V
 from .base import CORPUS_SQL, facts
 from .registry import Fixture, query, table
@@ -103,10 +107,11 @@ def session_list(spark, sf):
 USERS = Fixture("user_id int, role string", [(0, "OFFICER"), (1, "ADMIN"), (2, "OFFICER")])
 
 
-@query("session_access", f"SELECT u.user_id, s.conv_id, s.conv_id % 5 = u.user_id OR u.role = 'ADMIN' AS allowed FROM {USERS.sql()} u, {SESSIONS_SQL} s")
+@query("session_access", f"SELECT s.conv_id, u.user_id, s.conv_id % 5 = u.user_id OR u.role = 'ADMIN' AS allowed FROM {SESSIONS_SQL} s JOIN {USERS.sql()} u ON u.user_id = s.conv_id % 3")
 def session_access(spark, sf):
-    s = D.sessions(table(spark, sf, "conversations")).select("conv_id")
-    return s.crossJoin(F.broadcast(USERS.df(spark))).select("user_id", "conv_id", ((F.col("conv_id") % 5 == F.col("user_id")) | (F.col("role") == "ADMIN")).alias("allowed"))
+    """Every session is asked for by one user: the owner and administrators may see it."""
+    s = D.sessions(table(spark, sf, "conversations")).select("conv_id", (F.col("conv_id") % 3).alias("user_id"))
+    return s.join(USERS.df(spark), "user_id").select("user_id", "conv_id", ((F.col("conv_id") % 5 == F.col("user_id")) | (F.col("role") == "ADMIN")).alias("allowed"))
 
 
 FILES = Fixture("path string, stem string, go string", [("a/8102018.pdf", "8102018", "GO-667/X-3"), ("a/order_115.pdf", "order_115", "115/XXX(4)/2018"), ("b/forest-notice.pdf", "forest-notice", "GO-99"), ("b/115x.pdf", "115x", "GO-1158")])
@@ -120,11 +125,66 @@ def resolve_document(spark, sf):
     return D.resolve(WANTED.df(spark), FILES.df(spark))
 
 
-@query("source_highlight", "SELECT conv_id, min(turn) AS turn, arg_min(length(text), turn) AS n FROM conversations WHERE role <> 'system' AND text IS NOT NULL GROUP BY conv_id")
+CHUNKS_SQL = "(SELECT 'GO-' || conv_id % 40 AS go_number, turn AS page, conv_id AS chunk_index, CASE WHEN conv_id % 3 > 0 THEN [conv_id % 10 / 10.0::DOUBLE, turn / 100.0::DOUBLE, 0.5::DOUBLE, 0.1::DOUBLE] END AS box FROM conversations)"
+ASKED_SQL = "(SELECT doc_id AS row_id, 'GO-' || doc_id % 45 AS go_number, doc_id % 4 AS page FROM documents)"
+CITED_SQL = "(SELECT 'GO-' || item_id % 42 AS go_number, item_id % 4 AS page, CASE WHEN item_id % 6 = 0 THEN [0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, item_id / 1000.0::DOUBLE] END AS box FROM benchmark)"
+
+
+def _go(column: str, n: int):
+    return F.concat(F.lit("GO-"), (F.col(column) % n).cast("string")).alias("go_number")
+
+
+@query("source_highlight", f"""WITH own AS (SELECT go_number, page, min(box) AS box FROM {CITED_SQL} WHERE box IS NOT NULL GROUP BY 1, 2), first AS (SELECT go_number, page, arg_min(box, chunk_index) AS box FROM {CHUNKS_SQL} WHERE box IS NOT NULL GROUP BY 1, 2), known AS (SELECT DISTINCT go_number FROM {CITED_SQL})
+  SELECT row_id, CASE WHEN k.go_number IS NULL THEN 'violation' ELSE 'ok' END AS status, CASE WHEN k.go_number IS NOT NULL THEN array_to_string([round(x, 4) FOR x IN coalesce(own.box, first.box)], ' ') END AS box FROM {ASKED_SQL} a LEFT JOIN known k USING (go_number) LEFT JOIN own ON own.go_number = a.go_number AND own.page = a.page LEFT JOIN first ON first.go_number = a.go_number AND first.page = a.page""")
 def source_highlight(spark, sf):
-    """The first chunk of each page that has a box."""
-    c = table(spark, sf, "conversations").where("role <> 'system' AND text IS NOT NULL")
-    return c.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by(F.length("text"), "turn").cast("long").alias("n"))
+    chunks = table(spark, sf, "conversations").select(_go("conv_id", 40), F.col("turn").alias("page"), F.col("conv_id").alias("chunk_index"), F.when(F.col("conv_id") % 3 > 0, F.array(F.col("conv_id") % 10 / 10.0, F.col("turn") / 100.0, F.lit(0.5), F.lit(0.1))).alias("box"))
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), _go("doc_id", 45), (F.col("doc_id") % 4).alias("page"))
+    cited = table(spark, sf, "benchmark").select(_go("item_id", 42), (F.col("item_id") % 4).alias("page"), F.when(F.col("item_id") % 6 == 0, F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.col("item_id") / 1000.0)).alias("box"))
+    out = D.highlights(asked, cited, chunks)
+    return out.withColumn("box", F.array_join(F.transform("box", lambda x: F.round(x, 4).cast("string")), " "))
+
+
+STATES_SQL = "(SELECT user_id AS thread_id, event_id AS seq, props AS state FROM events)"
+
+
+@query("checkpoint_resume", f"SELECT t.thread_id, x.seq, x.state FROM (SELECT DISTINCT conv_id AS thread_id FROM conversations) t LEFT JOIN (SELECT thread_id, max(seq) AS seq, arg_max(state, seq) AS state FROM {STATES_SQL} GROUP BY thread_id) x USING (thread_id)")
+def checkpoint_resume(spark, sf):
+    """Two writes of thread states, then every conversation resumes what its thread has."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.col("props").alias("state"))
+    stored = D.checkpointed(D.checkpointed(e.limit(0), e.where("seq % 2 = 0")), e.where("seq % 2 = 1"))
+    return D.resumed(stored, table(spark, sf, "conversations").select(F.col("conv_id").alias("thread_id")).distinct())
+
+
+@query("truncate_all", "SELECT 2 AS emptied, 0 AS left_over")
+def truncate_all(spark, sf):
+    """Two stored tables are emptied in a folder of their own; a third path has none."""
+    at = f"{folder(spark)}/truncate-{uuid.uuid4().hex}"
+    for name in ("labels", "benchmark"):
+        table(spark, sf, name).write.parquet(f"{at}/{name}")
+    done = D.truncate(spark, f"{at}/labels", f"{at}/benchmark", f"{at}/absent")
+    left = spark.read.parquet(f"{at}/labels").agg(F.count(F.lit(1)).cast("int").alias("left_over"))
+    return left.select(F.lit(done).alias("emptied"), "left_over")
+
+
+@query("embedding_dimension", "SELECT vec_id, len(embedding) = 64 AND vec_id % 9 <> 0 AS fits FROM embeddings")
+def embedding_dimension(spark, sf):
+    """Vectors of another length than the table's wait; a ninth of them are cut here."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    good, rest = indic.of_dimension(e, 64)
+    return good.select("vec_id", F.lit(True).alias("fits")).unionByName(rest.select("vec_id", F.lit(False).alias("fits")))
+
+
+@query("embed_texts")
+def embed_texts(spark, sf):
+    """No SQL: the stand-in for a model hashes in a chain."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("t"))
+    return indic.embedded(d, dims=64).select("row_id", "embedding")
+
+
+@query("legacy_decode_v1")
+def legacy_decode_v1(spark, sf):
+    """No SQL: replacements in sequence."""
+    return RAW.df(spark).select("row_id", indic.decoded(F.col("t"), plain=True).alias("t"))
 
 
 @query("recency_bucket", "SELECT event_id, CASE WHEN d <= 0 THEN 'Today' WHEN d <= 1 THEN 'Yesterday' WHEN d <= 7 THEN 'Previous 7 Days' ELSE 'Older' END AS bucket FROM (SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS d FROM events)")
@@ -255,7 +315,7 @@ def legacy_decode(spark, sf):
 def triage(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("t"))
     both = d.unionByName(RAW.df(spark).select((-F.col("row_id")).cast("long").alias("row_id"), "t"))
-    return indic.triaged(both)
+    return indic.triaged(both, K.garbage(F.col("t")))
 
 
 @query("hash_embedding")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import sent
+
 
 def scan_files(spark: SparkSession, folder: str, glob: str = "*.pdf", only: str | None = None) -> DataFrame:
     """path, name, stem, length, content of the files of a folder, by one name or stem if given."""
@@ -36,6 +38,40 @@ def delete(target: DataFrame, column: str, exact: str | None = None, contains: s
     return target.where(~F.coalesce(gone, F.lit(False)))
 
 
+def truncate(spark: SparkSession, *paths: str) -> int:
+    """Empties Parquet tables, keeping their columns; the number of tables that were there."""
+    done = 0
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+            done += 1
+    return done
+
+
+def checkpointed(states: DataFrame, updates: DataFrame) -> DataFrame:
+    """States by thread (thread_id, seq, state): of what is stored and what comes the one of the greatest seq, so that a
+    late write of an earlier state changes nothing."""
+    best = states.unionByName(updates).groupBy("thread_id").agg(F.max_by(F.struct("seq", "state"), "seq").alias("x"))
+    return best.select("thread_id", "x.*")
+
+
+def resumed(states: DataFrame, threads: DataFrame) -> DataFrame:
+    """The stored state of each asked thread, null where there is none."""
+    return sent(threads).join(states, "thread_id", "left")
+
+
+def highlights(asked: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked (row_id, go_number, page) with status and box: a number that is not cited is a violation; the box attached to
+    the citation is taken, else that of the page's first chunk that has one, else none, which is no error."""
+    known = citations.groupBy("go_number").agg(F.lit(True).alias("cited"))
+    own = citations.where("box IS NOT NULL").groupBy("go_number", "page").agg(F.min("box").alias("attached"))
+    first = chunks.where("box IS NOT NULL").groupBy("go_number", "page").agg(F.min_by("box", "chunk_index").alias("stored"))
+    x = asked.join(known, "go_number", "left").join(own, ["go_number", "page"], "left").join(first, ["go_number", "page"], "left")
+    cited = F.coalesce("cited", F.lit(False))
+    return x.select("row_id", F.when(cited, "ok").otherwise("violation").alias("status"), F.when(cited, F.coalesce("attached", "stored")).alias("box"))
+
+
 def titles(text: Column) -> Column:
     t = F.trim(text)
     return F.when(t == "", "New Query").when(F.length(t) > 60, F.concat(F.substring(t, 1, 57), F.lit("..."))).otherwise(t)

@@ -82,10 +82,58 @@ def test_normaliser(spark):
     assert one(spark, "कार्मििक", indic.matras) == "कार्मिक"
 
 
-def test_triage():
-    assert indic.route("oe qff gibo siion xx yy") == "scanned_image"
-    assert indic.route("वन विभाग द्वारा अनुमति दी जाएगी यहाँ सभी को") == "native_unicode"
-    assert indic.route("") == "scanned_image"
+def test_triage(spark):
+    texts = ["oe qff gibo siion xx yy", "वन विभाग द्वारा अनुमति दी जाएगी यहाँ सभी को", "", "mRrjk[k.M 'kklu foHkkx la[;k fnukad nsgjknwu", "plain English words of a scanned page", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, t string")
+    got = {r["row_id"]: r["kind"] for r in indic.triaged(rows, chunks.garbage(F.col("t"))).collect()}
+    assert [got[i] for i in range(6)] == ["scanned_image", "native_unicode", "scanned_image", "legacy_font", "scanned_image", "scanned_image"]
+
+
+def test_garbage_rules(spark):
+    cases = [("वन विभाग kqxz wprtl mnbvc zxcvb qwrty", "mixed_latin"), ("वन विभाग order of the forest department", "fine"), ("abc", "too_short"), ("", "fine"), ("!!! ??? --- abc def ,,, ;;;", "punctuation")]
+    for text, verdict in cases:
+        assert one(spark, text, chunks.garbage) == verdict
+
+
+def test_cover_density(spark):
+    def brute(tokens, terms):
+        at = [(i, t) for i, t in enumerate(tokens) if t in terms]
+        spans = [(x, y) for x in range(len(at)) for y in range(x, len(at)) if {t for _, t in at[x : y + 1]} == set(terms)]
+        least = [(x, y) for x, y in spans if not any((a, b) != (x, y) and a >= x and b <= y for a, b in spans)]
+        return sum(0.1 / (1 + (at[y][0] - at[x][0]) - (y - x)) for x, y in least) if least else None
+
+    rng = random.Random(5)
+    rows = [([rng.choice("abcdefg") for _ in range(rng.randint(0, 25))], rng.sample("abcde", rng.randint(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "tokens array<string>, terms array<string>").select("tokens", "terms", retrieval.cover_density(F.col("tokens"), F.col("terms")).alias("x"))
+    for r in df.collect():
+        want = brute(r["tokens"], r["terms"])
+        assert r["x"] == (None if want is None else pytest.approx(want)), r
+
+
+def test_literal_questions(spark):
+    docs = spark.createDataFrame([(1, "That and onesen erblest it"), (2, "xthat andx"), (3, "THAT AND one sen"), (4, "nothing")], "id long, text string")
+    asked = spark.createDataFrame([(1, "that and"), (2, "t and onesen erb"), (3, "hin"), (4, "..."), (5, "one sen that and more")], "query_id long, query_text string")
+    got = {(r["query_id"], r["id"]) for r in retrieval.sparse_matches(docs, asked).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 4)}
+
+
+def test_table_texts(spark):
+    rows = [(1, r, [f"item {r}", str(r * 1000)], ["Item", "Amount"]) for r in range(10)] + [(2, 0, ["a|b"], ["", "B"])]
+    got = tables.table_texts(spark.createDataFrame(rows, "table_id int, r int, cells array<string>, headers array<string>"), 100).orderBy("table_id", "first").collect()
+    assert got[-1]["body"] == "| Col_1 | B |\n| --- | --- |\n| a-b |  |"
+    own = [r for r in got if r["table_id"] == 1]
+    assert len(own) >= 2 and all(r["body"].startswith("| Item | Amount |\n| --- | --- |\n") for r in own)
+    assert own[0]["body"].endswith(f" [Table Slice Rows 1-{own[0]['n']} of 10]") and sum(r["n"] for r in own) == 10
+
+
+def test_dense_facets_equal_sparse_facets(spark):
+    rng = random.Random(1)
+    corpus = spark.createDataFrame([(i, [rng.random() for _ in range(4)], rng.choice(["Forest", "वन विभाग", "Finance", None]), rng.choice([2001, 2005, None]), rng.choice(["A", "B"]), f"GO-{i}/X") for i in range(60)], "id long, embedding array<double>, department string, year int, status string, go_number string")
+    asked = spark.createDataFrame([(1, "Forest", None, None, None), (2, None, 2000, 2002, "A"), (3, None, None, None, "B"), (4, "", None, None, None)], "query_id long, department string, year_from int, year_to int, status string").withColumn("go", F.when(F.col("query_id") == 3, "GO-15")).withColumn("embedding", F.array(*[F.lit(0.5)] * 4))
+    got = {(r["query_id"], r["id"]) for r in retrieval.dense_scores(corpus, asked, 100).collect()}
+    wanted, facets = retrieval.facets_of(asked)
+    ok = corpus.crossJoin(wanted).where(retrieval.allowed(F.col("department"), F.col("year"), F.col("status"), F.col("go_number"), facets))
+    assert got == {(r["query_id"], r["id"]) for r in ok.collect()} and {q for q, _ in got} == {1, 2, 3, 4}
 
 
 def test_hash_vector(spark):
