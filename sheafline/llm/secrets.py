@@ -17,7 +17,7 @@ import math
 import string
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample, materialise
@@ -35,6 +35,7 @@ TOKEN = "[A-Za-z0-9+/_=.-]"
 class SecretSpec:
     """min_token: shortest token judged. threshold: least mean log ratio. train_docs: about how many documents' strings
     of token characters are the sample of ordinary identifiers (ordinary_length characters or more); random strings come from all base matches.
+    made: how many random strings are made beside those found, so that kinds of which the texts hold none are known.
     prior: weight of single characters against pairs; floor: count added to each character in the smaller sample, in the
     other in proportion, so that a character neither holds weighs 0."""
 
@@ -42,6 +43,7 @@ class SecretSpec:
     threshold: float = 0.7
     train_docs: int = 2000
     ordinary_length: int = 6
+    made: int = 2000
     prior: float = 10.0
     floor: float = 0.1
 
@@ -125,21 +127,42 @@ def score(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(n - 1, F.lit(1))
 
 
+def made_strings(spark: SparkSession, n: int) -> DataFrame:
+    """n strings of random characters, base 64 (with and without marks) and hexadecimal of both cases, from digests of numbers."""
+    bits = F.sha2(F.concat(F.lit("made:"), F.col("id").cast("string")), 256)
+    coded = F.regexp_replace(F.base64(F.unhex(bits)), "=+$", "")
+    kinds = [coded, F.regexp_replace(coded, "[+/]", ""), F.translate(coded, "+/", "-_"), bits, F.upper(bits)]
+    token = kinds[0]
+    for i, k in enumerate(kinds[1:], 1):
+        token = F.when(F.col("id") % 5 == i, k).otherwise(token)
+    return spark.range(n).select(F.substring(token, F.lit(1), (F.lit(20) + F.col("id") % 20).cast("int")).alias("token"))
+
+
+def made_rules(spark: SparkSession) -> DataFrame:
+    """Rules and leaders: each character of the alphabet many times over."""
+    at = F.expr("cast(id / 5 as int) + 1")
+    return spark.range(5 * len(ALPHABET)).select(F.repeat(F.substring(F.lit(ALPHABET), at, F.lit(1)), (F.lit(20) + 5 * (F.col("id") % 5)).cast("int")).alias("token"))
+
+
 def samples_of(docs: DataFrame, found: DataFrame, spec: SecretSpec) -> DataFrame:
-    """Labelled samples from the texts themselves: values of base matches are random strings, all other
-    strings of token characters ordinary, the long ones unless they score as random beside the short ones."""
-    random = found.where("ok AND kind < 3").select(F.col("val").alias("token")).distinct().withColumn("label", F.lit(1))
+    """Labelled samples: random strings are values of base matches that mix digits and letters ("changeme" teaches nothing)
+    and made ones; ordinary are made rules and all other strings of token characters of the texts, the long ones unless they
+    score as random beside the short ones."""
+    mixed = F.col("val").rlike("[0-9]") & F.col("val").rlike("[A-Za-z]") & (F.length("val") >= 12)
+    random = found.where(F.col("ok") & (F.col("kind") < 3) & mixed).select(F.col("val").alias("token")).distinct()
+    random = random.union(made_strings(docs.sparkSession, spec.made)).withColumn("label", F.lit(1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for pattern in (ASSIGN, f"{ACCESS[:-1]}{{16,}}", "[0-9a-f]{24,}"):
         text = F.regexp_replace(text, pattern, " ")
     tokens = F.regexp_extract_all(text, F.lit(f"{TOKEN}{{{spec.ordinary_length},}}"), F.lit(0))
     texts = hash_sample(docs.select("doc_id", "text"), spec.train_docs)
     ordinary = materialise(texts.select(F.explode(tokens).alias("token")).distinct().withColumn("label", F.lit(0)), "ordinary-strings")
+    rules = made_rules(docs.sparkSession).withColumn("label", F.lit(0))
     # Long ones may be the secrets that are sought: they are admitted by a model of the short ones.
     long = F.length("token") >= spec.min_token
-    first = train(random.unionByName(ordinary.where(~long)), spec)
+    first = train(random.unionByName(ordinary.where(~long)).unionByName(rules), spec)
     ordinary = ordinary.where(~long | (score(F.col("token"), first) < spec.threshold))
-    return random.unionByName(ordinary)
+    return random.unionByName(ordinary).unionByName(rules)
 
 
 def scan(docs: DataFrame, spec: SecretSpec | None = None, samples: DataFrame | None = None) -> DataFrame:

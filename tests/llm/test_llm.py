@@ -383,6 +383,25 @@ def test_samples_of_the_texts_know_rules_paths_names_and_dates(spark):
     assert sum(r["n"] > 0 for r in got if r["doc_id"] >= 2000) >= 57
 
 
+def test_added_spans_precision_and_recall(spark):
+    """Secrets of kinds that the texts do not hold, and strings of many kinds that are none, planted in clean documents."""
+    rng = random.Random(21)
+    d = duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.01/documents.parquet') WHERE n_chars > 200 ORDER BY doc_id LIMIT 300").df().text.tolist()
+    words = [w.lower() for w in " ".join(d).split() if re.fullmatch("[A-Za-z]{3,9}", w)]
+    pick = lambda k: rng.choices(words, k=k)
+    any_of = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randint(24, 44)))
+    good = [lambda: any_of(secrets.ALPHABET[:62]), lambda: any_of(secrets.ALPHABET[:64]), lambda: "sk-" + any_of(secrets.ALPHABET[:62]), lambda: any_of("0123456789ABCDEF")]
+    plain = [
+        lambda: "_".join(pick(5)), lambda: "".join(w.title() for w in pick(5)), lambda: "/".join(["", "home", *pick(4)]) + ".txt", lambda: ".".join(pick(5)), lambda: "-".join(pick(5)),
+        lambda: f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}_{rng.randrange(10, 24)}.{rng.randrange(10, 60)}.{rng.randrange(10, 60)}", lambda: f"{'_'.join(pick(3))}_v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}", lambda: rng.choice("-=_.+") * 30,
+    ]
+    rows = [(i, f"{t[:150]} {(good[i % 4] if i % 2 else plain[i // 2 % 8])()} {t[150:]}") for i, t in enumerate(d)]
+    got = {r["doc_id"]: r["n"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.expr("size(filter(spans, s -> s.k = 3))").alias("n")).collect()}
+    caught, wrong = sum(n > 0 for i, n in got.items() if i % 2), sum(n for i, n in got.items() if not i % 2)
+    print("added spans: recall", caught / 150, "precision", caught / (caught + wrong))
+    assert caught >= 0.95 * 150 and caught / (caught + wrong) >= 0.95
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan(odd).collect()
     assert len(got) == 10 and sum(r["n_assign"] for r in got) == 1
