@@ -45,7 +45,7 @@ from .shingles import mix64
 class RepeatSpec:
     """length of a repeat; k: bytes of an anchor; shards of a merge; bytes of text per bucket, map step and hashing step;
     documents and bytes of the first occurrence per unit; letters per merge; contexts of one anchor in a map step from
-    which its windows are dealt one by one."""
+    which its windows are dealt one by one; most tasks of a step."""
 
     length: int = 100
     k: int = 56
@@ -57,6 +57,7 @@ class RepeatSpec:
     unit_bytes: int = 1 << 15
     merge_letters: int = 1 << 19
     hot: int = 8
+    most_tasks: int = 100_000
 
 
 # -- merging transforms
@@ -498,16 +499,18 @@ def spans_removed(docs: DataFrame, spec: RepeatSpec | None = None) -> DataFrame:
     # Bound methods are wrapped: the number of a function's arguments tells whether it wants the key.
     one, two = (lambda step: lambda t: step(t)), (lambda step: lambda t, u: step(t, u))
     of_kind = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    # A number of tasks that the buckets set: adaptive execution would join many small compressed buckets in one task.
+    dealt = lambda df: df.repartition(min(buckets, spec.most_tasks), "bucket").groupBy("bucket")
     packed = own.mapInArrow(pieces(steps.pack), ROW)
-    found = materialise(own.mapInArrow(pieces(steps.find), ROW).groupBy("bucket").applyInArrow(one(steps.match), ROW), "repeat-contexts")
-    served = materialise(packed.groupBy("bucket").cogroup(of_kind(found, WANTED, SOUGHT).groupBy("bucket")).applyInArrow(two(steps.serve), ROW), "repeat-units")
-    windows = of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW)).groupBy("bucket").applyInArrow(one(steps.pair), ROW)
-    more = packed.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(two(steps.serve), ROW)
-    edges = of_kind(served, UNIT).unionByName(more).groupBy("bucket").applyInArrow(one(steps.decide), ROW)
+    found = materialise(dealt(own.mapInArrow(pieces(steps.find), ROW)).applyInArrow(one(steps.match), ROW), "repeat-contexts")
+    served = materialise(dealt(packed).cogroup(dealt(of_kind(found, WANTED, SOUGHT))).applyInArrow(two(steps.serve), ROW), "repeat-units")
+    windows = dealt(of_kind(found, WINDOW).unionByName(of_kind(served, WINDOW))).applyInArrow(one(steps.pair), ROW)
+    more = dealt(packed).cogroup(dealt(windows)).applyInArrow(two(steps.serve), ROW)
+    edges = dealt(of_kind(served, UNIT).unionByName(more)).applyInArrow(one(steps.decide), ROW)
     # Not written: the texts dealt by bucket are exchanged once for this and the next step.
     marks = of_kind(found, MARK).unionByName(of_kind(served, MARK)).unionByName(edges)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    result = packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(two(steps.cut), schema)
+    result = dealt(packed).cogroup(dealt(marks)).applyInArrow(two(steps.cut), schema)
     empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
     whole = rows.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
     if shape["n"] != distinct:
