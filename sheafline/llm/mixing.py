@@ -14,7 +14,7 @@ Cases. Null domain, language, source count as ''. Null text has 0 tokens; docume
 soon as their key is within the cut. A child without a weight gets ``default_weight``; negative or null weights count as
 0 and a weight of 0 takes nothing. Rows that repeat a doc_id have the same key and are taken together. Ties of keys are
 settled by doc_id. An empty table gives an empty result. Extra columns are ignored (``plan_mix``) or returned unchanged
-(``mix``), and a clashing name is harmless as working columns start with two underscores.
+(``mix``), whatever their names.
 """
 
 from __future__ import annotations
@@ -169,5 +169,8 @@ def mix(docs: DataFrame, domain: Column, spec: MixSpec) -> DataFrame:
     led = materialise(ledger(docs, domain, spec), "ledger")
     plan = cuts(led, spec).select(*[f"__{n}" for n in LEVELS], "__epochs", "__cut_key", "__cut_id")
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__domain": blank(domain), "__lang": blank(F.col("lang")), "__source": blank(F.col("source"))})
-    return _with_copies(keyed, plan, spec).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The table's columns go by number meanwhile, so that no name of theirs meets a working column.
+    own = [F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, F.col("doc_id"), blank(domain).alias("__domain"), blank(F.col("lang")).alias("__lang"), blank(F.col("source")).alias("__source"))
+    taken = _with_copies(keyed, plan, spec).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*[F.col(f"u{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -848,6 +848,21 @@ def test_weightless_child_leaves_its_share_to_others(spark):
     assert got == {("g0", "en"): 0, ("g0", "de"): 10, ("g1", "en"): 90}
 
 
+def test_mix_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    found = con.execute(oracle.OP10)
+    names = [c[0] for c in found.description]
+    assert sorted(map(tuple, queries.op10_mix_sources(spark, SMALL).select(*names).collect())) == sorted(found.fetchall())
+
+
+def test_mix_clashing_names(spark):
+    rows = [(i, "a b c", "en", f"s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"__domain": F.lit("own"), "__copies": F.lit(-1), "__epochs": F.lit("x"), "u0": F.lit(None).cast("string")})
+    got = mixing.mix(df, F.col("source"), mixing.MixSpec(budget_share=2.0, max_epochs=2))
+    assert got.columns == df.columns and got.count() == 24 and {tuple(r)[4:] for r in got.collect()} == {("own", -1, "x", None)}
+
+
 def test_mix_odd(odd, none):
     spec = mixing.MixSpec(budget_share=1.0, max_epochs=3)
     got = mixing.plan_mix(odd, F.lit(None), spec).collect()
@@ -881,6 +896,34 @@ def test_pipeline_against_its_parts(spark):
     assert dict(got) == {i: n for i, n in copies.items() if n}
 
 
+def stored(spark, folder, docs, labels=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as p
+
+    assert p.run(spark, stored(spark, tmp_path / "none", none)).count() == 0
+    assert p.run(spark, stored(spark, tmp_path / "some", odd.drop("score"), [(1, None, 1), (2, 1, None), (9, 0, 0), (None, 1, 1)])).count() > 0
+    docs = odd
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert docs.columns == odd.columns, name
+    texts = {r["text"] for r in p.near_stage(spark, p.exact_stage(spark, odd, ""), "").collect()}
+    assert texts == {None, "  \n ", "abc def ghi " * 40_000, "one two", "no id here", "é漢😀 token=abcdef1234"}
+
+
+def test_pipeline_keeps_texts_whose_ids_are_null_or_repeat(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(None, "alpha text"), (None, "beta text"), (5, "one"), (5, "two"), (7, "three")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 5) for i, t in rows], DOCS)
+    left = p.near_stage(spark, p.exact_stage(spark, p.toxicity_stage(spark, docs, stored(spark, tmp_path / "t", docs)), ""), "")
+    assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows)
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline as p
 
