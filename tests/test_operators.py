@@ -82,6 +82,16 @@ def test_normaliser(spark):
     assert one(spark, "कार्मििक", indic.matras) == "कार्मिक"
 
 
+@pytest.mark.parametrize("section", ["phonemes", "abbreviations"])
+def test_rule_chains_equal_the_patterns(spark, section):
+    rng = random.Random(4)
+    words = [w for line in indic._sections("indic_rules.txt")[section] for w in re.findall(r"[\u0900-\u097f]+", line)] + ["सं०", "दिo 5", "रु.", "अ० शा०", "विभाग", "plain", "x", "।", "50,000"]
+    rows = [(i, rng.choice(["", "(", "-"]).join(rng.choice([" ", "", ", "]) + rng.choice(words) for _ in range(rng.randint(0, 8)))) for i in range(400)]
+    f = getattr(indic, section)
+    for r in spark.createDataFrame(rows, "i int, t string").select("t", f(F.col("t")).alias("x")).collect():
+        assert r["x"] == indic._apply(section, r["t"])
+
+
 def test_triage(spark):
     texts = ["oe qff gibo siion xx yy", "वन विभाग द्वारा अनुमति दी जाएगी यहाँ सभी को", "", "mRrjk[k.M 'kklu foHkkx la[;k fnukad nsgjknwu", "plain English words of a scanned page", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, t string")
