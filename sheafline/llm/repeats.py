@@ -66,34 +66,41 @@ def _order(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Order by (major, minor), both below 2^32, and the dense rank, from 0, of each element. Keys that leave room for the
     place in one number are sorted with it."""
     bits, own = int(minor.max(initial=0)).bit_length(), len(major).bit_length()
-    key = (major.astype(np.uint64) << np.uint64(bits)) | minor.astype(np.uint64)
-    if int(major.max(initial=0)).bit_length() + bits + own <= 64:
-        key = (key << np.uint64(own)) | np.arange(len(key), dtype=np.uint64)
+    if int(major.max(initial=0)).bit_length() + bits + own <= 63:
+        key = major.astype(np.int64)
+        key <<= bits
+        key |= minor
+        key <<= own
+        key |= np.arange(len(key))
+        key = key.view(np.uint64)
         key.sort()
-        order = (key & np.uint64((1 << own) - 1)).astype(np.int64)
+        order = (key & np.uint64((1 << own) - 1)).astype(np.int32)
         key >>= np.uint64(own)
     else:
-        order = np.argsort(key)
+        key = (major.astype(np.uint64) << np.uint64(bits)) | minor.astype(np.uint64)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    new = np.zeros(len(key), np.int32)
+    np.not_equal(key[1:], key[:-1], out=new[1:], casting="unsafe")
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     return order, rank
 
 
 def letters_of(raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of strings laid end to end, size + 1 each: (string, place in it, letter). The letter of a place is the rank,
     from 1, of the width bytes there; 0 where fewer are left, which ends one of the string's width offsets."""
-    who = np.repeat(np.arange(len(size)), size + 1)
-    place = np.arange(len(who)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    letter = np.zeros(len(who), np.int64)
+    who = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    place = np.arange(len(who), dtype=np.int32) - np.repeat((np.cumsum(size + 1) - size - 1).astype(np.int32), size + 1)
+    letter = np.zeros(len(who), np.int32)
     n = len(raw) - width + 1
     if n > 0:
         # Ranks of the first bytes, of twice as many, ...; places beyond the last whole letter are never used.
         done = next(w for w in range(min(5, width), 0, -1) if width % w == 0)
-        word = np.zeros(len(raw) - done + 1, np.uint64)
+        word = np.zeros(len(raw) - done + 1, np.int64)
         for i in range(done):
-            word = (word << np.uint64(8)) | raw[i : i + len(word)]
-        ranks = {done: _order(word >> np.uint64(24), word & np.uint64(0xFFFFFF))[1]}
+            word = (word << 8) | raw[i : i + len(word)]
+        ranks = {done: _order(word >> 24, word & 0xFFFFFF)[1]}
         while done < width:
             step = done if 2 * done <= width else max(x for x in ranks if x <= width - done)
             own = len(raw) - done - step + 1
@@ -104,20 +111,24 @@ def letters_of(raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarra
     return who, place, letter
 
 
-def transform(slots: np.ndarray, room: np.ndarray, letter: np.ndarray, width: int, depth: int) -> np.ndarray:
+def transform(slots: np.ndarray, room: np.ndarray, letter: np.ndarray, width: int, depth: int, space: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Slots of one shard in the order of their first depth letters. room: slots from each to its string's last. Ranks of
-    1, 2, 4, ... letters are joined; the transform's own letters are those width places before each slot."""
-    ranks, done, order = {1: letter}, 1, np.argsort(letter[slots], kind="stable")
+    1, 2, 4, ... letters are joined; the transform's own letters are those width places before each slot. space: arrays as
+    long as letter that shards may share."""
+    space = {} if space is None else space
+    ranks, own, done, order = {1: letter}, letter[slots], 1, None
     while done < depth:
         n = done if 2 * done <= depth else max(x for x in ranks if x <= depth - done)
-        on = room[slots] >= done * width
-        after = np.zeros(len(slots), np.int64)  # the rank, from 1, of what stands done letters on; 0 beyond the string
-        after[on] = ranks[n][slots[on] + done * width] + 1
-        order, rank = _order(ranks[done][slots], after)
+        on = np.nonzero(room[slots] >= done * width)[0]
+        after = np.zeros(len(slots), np.int32)  # the rank, from 1, of what stands done letters on; 0 beyond the string
+        after[on] = ranks[n][slots[on] + done * width]
+        after[on] += 1
+        order, own = _order(own, after)
         done += n
-        ranks[done] = np.zeros(len(letter), np.int64)
-        ranks[done][slots] = rank
-    return slots[order]
+        if done < depth:
+            ranks[done] = space.setdefault(done, np.empty(len(letter), np.int32))
+            ranks[done][slots] = own
+    return slots[np.argsort(own, kind="stable") if order is None else order]
 
 
 def merge(order: np.ndarray, before: np.ndarray, back: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +166,14 @@ def repeated(raw: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int)
     width = max(w for w in range(1, 21) if length % w == 0)
     depth = length // width
     who, place, letter = letters_of(raw, size, width)
-    room = size[who] - place
-    order = np.concatenate([transform(np.nonzero(shard[who] == s)[0], room, letter, width, depth) for s in np.unique(shard)])
-    where = np.empty(len(order), np.int64)
-    where[order] = np.arange(len(order))
-    inner = place[order] >= width
-    before, back = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    before[inner], back[inner] = letter[order[inner] - width], where[order[inner] - width]
+    room, shards, space = size.astype(np.int32)[who] - place, shard.astype(np.int32)[who], {}
+    order = np.concatenate([transform(np.nonzero(shards == s)[0].astype(np.int32), room, letter, width, depth, space) for s in np.unique(shard)])
+    where = np.empty(len(order), np.int32)
+    where[order] = np.arange(len(order), dtype=np.int32)
+    inner = np.nonzero(place[order] >= width)[0]
+    left = order[inner] - width
+    before, back = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+    before[inner], back[inner] = letter[left], where[left]
     slots, common = merge(order, before, back, np.nonzero(letter[order] == 0)[0], depth)
     interval = np.cumsum(common < depth)
     many = np.bincount(interval)[interval] > 1
