@@ -44,6 +44,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INF = float("inf")
+NOTHING: dict = {}
 assert array("i").itemsize == 4 and sys.byteorder == "little"
 
 
@@ -182,12 +183,14 @@ class PieceTransducer:
             able = list(self.id)
             # What a character of no piece weighs in unigram models.
             self.other = 10.0 - min((x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
-        self.trie: dict = {}
+        self.whole = dict.fromkeys(able, True)
+        self.trie: tuple[dict, list] = ({}, [None])  # a node: its children by character, and the piece that ends there
         for s in able:
             node = self.trie
             for c in s:
-                node = node.setdefault(c, {})
-            node[""] = s
+                node = node[0].setdefault(c, ({}, [None]))
+            node[1][0] = s
+        self.trie = self._frozen(self.trie)
         self.out = [
             bytes([int(s[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else s.replace(BLANK, " ").encode()
             for s, k in zip(self.names, self.kinds, strict=True)
@@ -195,7 +198,8 @@ class PieceTransducer:
         self.out_len = np.array(list(map(len, self.out)), np.int64)
         self.out_at = np.concatenate([[0], np.cumsum(self.out_len)[:-1]])
         self.out_all = np.frombuffer(b"".join(self.out), np.uint8)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}  # by the piece on the left, then the one on the right
+        self.n_fits = 0
         self.young: dict[str, bytes] = {}  # chunks met lately, and those of the generation before
         self.old: dict[str, bytes] = {}
         self.cache_size = cache
@@ -237,11 +241,13 @@ class PieceTransducer:
         Goes back in time along the right edge of u and the left edge of v: while both parts stand side by side, their
         own merge must not come before the next merge of either.
         """
-        known = self.fits.get((u, v))
+        known = self.fits.get(u, {}).get(v)
         if known is not None:
             return known
-        if len(self.fits) > 250_000:
+        self.n_fits += 1
+        if self.n_fits > 250_000:
             self.fits.clear()
+            self.n_fits = 1
         r, left, until, boundary_first, ok = u, v, INF, False, True
         while True:
             c = self.rank(r + left)
@@ -257,18 +263,22 @@ class PieceTransducer:
                 until, boundary_first, left = tl, True, self.split(left)[0]
             else:
                 until, boundary_first, r = tr, False, self.split(r)[1]
-        self.fits[u, v] = ok
+        self.fits.setdefault(u, {})[v] = ok
         return ok
 
+    @staticmethod
+    def _frozen(node: tuple[dict, list]) -> tuple[dict, str | None]:
+        return {c: PieceTransducer._frozen(n) for c, n in node[0].items()}, node[1][0]
+
     # -- composition and shortest path
 
     def arcs(self, chunk: str, place: int) -> list[str]:
         """Pieces that begin at a place, shortest first; a character of no piece stands for its fallback."""
         node, end, found = self.trie, place, []
-        while end < len(chunk) and (node := node.get(chunk[end])) is not None:
+        while end < len(chunk) and (node := node[0].get(chunk[end])) is not None:
             end += 1
-            if "" in node:
-                found.append(node[""])
+            if node[1] is not None:
+                found.append(node[1])
         if not found or len(found[0]) > 1:
             found.insert(0, chunk[place])
         return found
@@ -280,30 +290,32 @@ class PieceTransducer:
             return self.other if i is None else -self.scores[i]
         if i is None or not state or state not in self.id:
             return 1.0  # a character of no piece never merges
-        ok = self.fits.get((state, piece))
-        return 1.0 if (self.fit(state, piece) if ok is None else ok) else INF
+        return 1.0 if self.fit(state, piece) else INF
 
     def shortest(self, chunk: str) -> list[str]:
         """Pieces of the shortest path over the lattice, place by place. One state of the weights is kept for each place:
         unigram models have one, and in pair-merge models all but one have infinite weight. ``arcs`` and ``weight`` stand
         inline, as this is the inner loop."""
         n, merges, root, ids, fits, scores = len(chunk), self.model == BPE, self.trie, self.id, self.fits, self.scores
+        if merges and self.whole.get(chunk):
+            return [chunk]  # one arc, and no path is shorter
         cost, last = [0.0] + [INF] * n, [""] * (n + 1)
         for place in range(n):
             so_far, state = cost[place], last[place]
             if so_far == INF:
                 continue
-            bound, node, end = merges and state in ids, root, place
-            while end < n and (node := node.get(chunk[end])) is not None:
+            bound, children, end = merges and state in ids, root[0], place
+            fitting = fits.get(state, NOTHING) if bound else NOTHING
+            while end < n and (node := children.get(chunk[end])) is not None:
                 end += 1
-                piece = node.get("")
+                children, piece = node
                 if piece is None:
                     continue
                 if merges:
                     if cost[end] < INF:
                         continue
                     if bound:
-                        ok = fits.get((state, piece))
+                        ok = fitting.get(piece)
                         if not (self.fit(state, piece) if ok is None else ok):
                             continue
                     w = so_far + 1.0
