@@ -86,7 +86,8 @@ def signatures(docs: DataFrame, spec: NearSpec, name: Column | None = None) -> D
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
-    """k and s, the sorted shingle hashes, of the sets whose digests are in ids: one row each."""
+    """k and s, the sorted shingle hashes, of the sets whose digests are in ids (k, doc_id): a row for each, more where a
+    doc_id repeats."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +96,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_digests(sets), _lists(sets)], ["k", "s"])
 
     made = texts.mapInArrow(run, "k binary, s array<long>")
-    # An id may repeat with the same text, or with others that are no candidates.
-    return made.join(ids.select("k"), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s"))
+    return made.join(ids.select("k"), "k", "left_semi")  # an id's other texts may be no candidates
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
@@ -234,8 +234,10 @@ def components(docs: DataFrame, spec: NearSpec | None = None, name: Column | Non
         meant = star.select(F.col("x").alias("k")).union(star.select("z")).distinct()
         meant = materialise(classes.join(meant, "k", "left_semi").select("k", "doc_id"), "candidates")
         # So many (24 bytes each) are sent to the texts; more are joined by an exchange of both.
-        small = meant.count() <= spec.broadcast_ids
-        sets = materialise(shingle_sets(docs, F.broadcast(meant) if small else meant, spec), "candidate-sets")
+        wanted = meant.count()
+        sets = materialise(shingle_sets(docs, F.broadcast(meant) if wanted <= spec.broadcast_ids else meant, spec), "candidate-sets")
+        if sets.count() != wanted:  # ids repeat with one text
+            sets = materialise(sets.groupBy("k").agg(F.first("s").alias("s")), "candidate-sets")
         able = star.where(spec.of * F.least("n", "zn") >= spec.similar * F.greatest("n", "zn")).select(F.col("z").alias("a"), F.col("x").alias("b"))
         edges = materialise(linked_pairs(able, sets, spec), "links")
         labels = materialise(connected(edges), "components")
