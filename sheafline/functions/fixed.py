@@ -75,12 +75,14 @@ SCALES = [
     ("करोड़", 10000000), ("करोड", 10000000), ("cr", 10000000), ("crore", 10000000), ("crores", 10000000), ("लाख", 100000), ("lakh", 100000),
     ("lacs", 100000), ("हजार", 1000), ("हज़ार", 1000), ("thousand", 1000), ("k", 1000),
 ]
+# Without the words that may stand before a scale ("Rs. in"): they decide nothing.
 HEADER_SCALES = [("करोड़|करोड|crores?|cr", 10000000, "करोड़"), ("लाख|lakhs?|lacs?", 100000, "लाख"), ("हजार|हज़ार|thousands?|k", 1000, "हज़ार")]
 TOTAL_WORDS = ["योग", "कुल", "कुल योग", "महायोग", "total", "grand total", "sum"]
 SANCTIONED = ["स्वीकृत", "आवंटन", "sanctioned", "allotted", "provision"]
 SPENT = ["व्यय", "expenditure", "spent"]
 BALANCE = ["अवशेष", "balance", "remaining", "बचत"]
-# Digits that scans confuse, with penalties.
+# Digits that scans confuse, with penalties. Letters that look like digits are left out: only the digits of a
+# cell are read, so they never occur.
 CONFUSIONS = [
     ("3", "8", 1.0), ("3", "9", 1.5), ("3", "2", 2.0), ("8", "3", 1.0), ("8", "0", 1.2), ("8", "9", 1.5), ("1", "7", 1.0), ("1", "4", 1.8),
     ("7", "1", 1.0), ("7", "9", 1.8), ("0", "8", 1.2), ("0", "6", 1.8), ("5", "6", 1.5), ("5", "9", 1.8), ("6", "5", 1.5), ("6", "0", 1.8),

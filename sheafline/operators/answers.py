@@ -106,13 +106,16 @@ ROUTES = {
 
 def aligned(cites: DataFrame, passages: DataFrame) -> DataFrame:
     """cite_id, pos: same order and page, then most shared keywords, then same order, then the first passage."""
-    c, p = cites.alias("c"), F.broadcast(passages.alias("p"))
-    same = F.col("c.go") == F.col("p.go")
-    score = F.lit(0)
-    for w in fixed.CITATION_WORDS:
-        score = score + F.when(F.lower("c.excerpt").contains(w) & F.lower("p.excerpt").contains(w), 5).otherwise(0)
-    exact = c.join(p, same & (F.col("c.page") == F.col("p.page"))).select("cite_id", F.lit(1).alias("rule"), F.lit(0).alias("s"), "pos")
-    words = c.join(p, score > 0).select("cite_id", F.lit(2).alias("rule"), (-score).alias("s"), "pos")
-    order = c.join(p, same).select("cite_id", F.lit(3).alias("rule"), F.lit(0).alias("s"), "pos")
-    first = cites.select("cite_id").join(F.broadcast(passages.agg(F.min("pos").alias("pos"))), F.lit(True)).select("cite_id", F.lit(4).alias("rule"), F.lit(0).alias("s"), "pos")
+    held = lambda c: F.filter(F.array(*map(F.lit, fixed.CITATION_WORDS)), lambda w: F.lower(F.col(c)).contains(w))
+    c, p = cites.withColumn("own", held("excerpt")), passages.withColumn("own", held("excerpt"))
+    rule = lambda n, s: (F.lit(n).alias("rule"), s.alias("s"), "pos")
+    exact = c.select("cite_id", "go", "page").join(p.select("go", "page", "pos"), ["go", "page"]).select("cite_id", *rule(1, F.lit(0)))
+    order = c.select("cite_id", "go").join(p.groupBy("go").agg(F.min("pos").alias("pos")), "go").select("cite_id", *rule(3, F.lit(0)))
+    # A passage counts by which of the few keywords it holds, so the first passage of each combination stands for all.
+    kinds = p.where(F.size("own") > 0).groupBy(F.col("own").alias("theirs")).agg(F.min("pos").alias("pos"))
+    asked = c.where(F.size("own") > 0).select("own").distinct()
+    shared = F.size(F.array_intersect("own", "theirs")) * 5
+    best = asked.join(F.broadcast(kinds), F.arrays_overlap("own", "theirs")).groupBy("own").agg(F.min(F.struct((-shared).alias("s"), "pos")).alias("x"))
+    words = c.select("cite_id", "own").join(best, "own").select("cite_id", F.lit(2).alias("rule"), "x.s", "x.pos")
+    first = cites.select("cite_id").join(F.broadcast(passages.agg(F.min("pos").alias("pos"))), F.lit(True)).select("cite_id", *rule(4, F.lit(0)))
     return exact.union(words).union(order).union(first).groupBy("cite_id").agg(F.min_by("pos", F.struct("rule", "s", "pos")).alias("pos"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.money import DECIMAL, is_total, parse_money, role_of
+from ..functions.money import DECIMAL, is_total, parse_money, role_of, scale_of
 from ..sources.shared import saved, sent
 
 
@@ -14,6 +14,16 @@ def valued(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", parse_money(F.col("t")))
 
 
+def scaled(cells: DataFrame) -> DataFrame:
+    """cells with v and unit: amounts in the scale that the table's headers or first row name, where a cell names none."""
+    own = Window.partitionBy("table_id")
+    head = F.when(F.col("r") == F.min("r").over(own), F.col("t"))
+    words = F.array_join(F.concat(F.collect_set("header").over(own), F.collect_list("head").over(own)), " ")
+    x = cells.withColumn("head", head).withColumn("words", words)
+    factor, unit = scale_of(F.col("words"))
+    return x.withColumns({"factor": factor, "unit": unit}).withColumn("v", parse_money(F.col("t"), F.col("factor"))).drop("head", "words", "factor")
+
+
 def totals(cells: DataFrame) -> DataFrame:
     """table_id, total_row, total_col, total: the right-most amount of the first row with a total word and an amount."""
     rows = cells.groupBy("table_id", "r").agg(F.bool_or(is_total(F.col("t"))).alias("named"), F.max(F.when(F.col("v").isNotNull(), F.struct("c", "v"))).alias("last"))
@@ -34,7 +44,7 @@ def balances(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
 def verified(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """table_id, computed, declared, delta, valid. The amounts of the total's column but the total's row add up to it;
     then the rows balance. A table without a total is valid with nulls. Texts are read once, before the checks part."""
-    v = saved(valued(cells), "cells")
+    v = saved(scaled(cells), "cells")
     total = totals(v)
     sums = v.join(total, "table_id").where("c = total_col AND r <> total_row").groupBy("table_id").agg(F.sum("v").alias("s"))
     x = v.select("table_id").distinct().join(total, "table_id", "left").join(sums, "table_id", "left").join(balances(v, tolerance).withColumnRenamed("valid", "balanced"), "table_id")

@@ -127,6 +127,12 @@ def test_literal_questions(spark):
     assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 4)}
 
 
+def test_sums_in_the_scale_of_the_header(spark):
+    cells = [(1, 0, 0, "Item", "a"), (1, 0, 1, "Amount in lakh", "1.5"), (1, 1, 0, "Item", "b"), (1, 1, 1, "Amount in lakh", "50 thousand"), (1, 2, 0, "Item", "Total"), (1, 2, 1, "Amount in lakh", "2")]
+    got = tables.verified(spark.createDataFrame(cells, "table_id int, r int, c int, header string, t string")).first()
+    assert got["valid"] and float(got["computed"]) == 200_000 == float(got["declared"])
+
+
 def test_table_texts(spark):
     rows = [(1, r, [f"item {r}", str(r * 1000)], ["Item", "Amount"]) for r in range(10)] + [(2, 0, ["a|b"], ["", "B"])]
     got = tables.table_texts(spark.createDataFrame(rows, "table_id int, r int, cells array<string>, headers array<string>"), 100).orderBy("table_id", "first").collect()
