@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import indic
 from ..operators import chunks as K
 from ..operators import state as S
+from ..sources import pdf
 from ..sources import store as D
 from ..sources.shared import folder
 from ..streaming import reviews as V
@@ -94,6 +95,18 @@ TITLE_SQL = "CASE WHEN trim(text) = '' THEN 'New Query' WHEN length(trim(text))
 SESSIONS_SQL = f"(SELECT conv_id, coalesce(arg_min(title, turn) FILTER (WHERE title NOT IN ('New Query', '')), 'New Query') AS title, min(turn) AS created, max(turn) AS updated FROM (SELECT *, {TITLE_SQL} AS title FROM conversations) GROUP BY conv_id)"
 
 
+@query("pdf_pages", "WITH p AS (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM benchmark) SELECT CAST(item_id AS VARCHAR) AS path, 1 AS page, trim(substr(t, 1, 40)) || chr(10) || trim(substr(t, 41, 40)) AS text, 1 AS n_boxes FROM p UNION ALL SELECT CAST(item_id AS VARCHAR), 2, trim(substr(t, 81, 40)), 1 FROM p")
+def pdf_pages(spark, sf):
+    """Every benchmark text set as a file of two pages, and read back."""
+    t = F.regexp_replace("text", "[^A-Za-z ]", "")
+    part = lambda k: F.trim(F.substring(t, 40 * k + 1, 40))
+    page = lambda n, body: F.concat(F.lit(f"{n} 0 obj << /Type /Page /Parent 2 0 R /Contents {n + 1} 0 R >> endobj\n{n + 1} 0 obj << /Length 99 >>\nstream\nBT /F1 10 Tf 12 TL 20 360 Td "), body, F.lit(" ET\nendstream endobj\n"))
+    line = lambda k: F.concat(F.lit("("), part(k), F.lit(") Tj "))
+    head = F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 5 0 R] /MediaBox [0 0 400 400] >> endobj\n")
+    files = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.concat(head, page(3, F.concat(line(0), F.lit("T* "), line(1))), page(5, line(2))).cast("binary").alias("content"))
+    return pdf.read_pages(files).select("path", "page", "text", F.size("boxes").alias("n_boxes"))
+
+
 @query("session_upsert", f"SELECT * FROM {SESSIONS_SQL}")
 def session_upsert(spark, sf):
     return D.sessions(table(spark, sf, "conversations"))
