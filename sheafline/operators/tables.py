@@ -15,13 +15,15 @@ def valued(cells: DataFrame) -> DataFrame:
 
 
 def scaled(cells: DataFrame) -> DataFrame:
-    """cells with v and unit: amounts in the scale that the table's headers or first row name, where a cell names none."""
+    """cells with v: amounts in the scale that the table's headers or first row name, where a cell names none. Tables in
+    which no cell or header names a scale, most of them, are read as they stand."""
+    names = F.coalesce(scale_of(F.col("header"))[1], scale_of(F.col("t"))[1]).isNotNull()
+    some = sent(saved(cells.where(names).select("table_id").distinct(), "scaled-tables"))
     own = Window.partitionBy("table_id")
-    head = F.when(F.col("r") == F.min("r").over(own), F.col("t"))
-    words = F.array_join(F.concat(F.collect_set("header").over(own), F.collect_list("head").over(own)), " ")
-    x = cells.withColumn("head", head).withColumn("words", words)
-    factor, unit = scale_of(F.col("words"))
-    return x.withColumns({"factor": factor, "unit": unit}).withColumn("v", parse_money(F.col("t"), F.col("factor"))).drop("head", "words", "factor")
+    x = cells.join(some, "table_id", "left_semi").withColumn("head", F.when(F.col("r") == F.min("r").over(own), F.col("t")))
+    x = x.withColumn("words", F.array_join(F.concat(F.collect_set("header").over(own), F.collect_list("head").over(own)), " "))
+    x = x.withColumn("v", parse_money(F.col("t"), scale_of(F.col("words"))[0]))
+    return valued(cells.join(some, "table_id", "left_anti")).unionByName(x.drop("head", "words"))
 
 
 def totals(cells: DataFrame) -> DataFrame:
