@@ -124,15 +124,20 @@ def dense_rank(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> Dat
 
 
 def cover_density(tokens: Column, terms: Column) -> Column:
+    """Score of a text's tokens for different terms; null without a cover. See ``covers``."""
+    at = F.transform(tokens, lambda t, i: F.struct(F.array_position(terms, t).cast("int").alias("k"), i.alias("p")))
+    return covers(F.filter(at, lambda o: o["k"] > 0), F.size(terms))
+
+
+def covers(occurrences: Column, n_terms: Column) -> Column:
     """Sum over the minimal covers of the terms (spans of tokens that hold all of them and no shorter such span) of 0.1 over
-    one plus the tokens in it that are no terms; null without a cover.
+    one plus the tokens in it that are no terms; null without a cover. occurrences: (k from 1, p) in the order of places p.
 
     One fold over the occurrences: the last one of each term is kept, the least of these begins the shortest cover that
     ends here, and a cover counts if no earlier one begins at the same place.
     """
-    at = F.transform(tokens, lambda t, i: F.struct(F.array_position(terms, t).cast("int").alias("k"), i.alias("p")))
     start = F.struct(
-        F.transform(terms, lambda t: F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))).alias("last"),
+        F.transform(F.sequence(F.lit(1), F.greatest(n_terms, F.lit(1))), lambda t: F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))).alias("last"),
         F.lit(-1).alias("begun"), F.lit(0).alias("i"), F.lit(0.0).alias("score"), F.lit(0).alias("n"),
     )
 
@@ -149,7 +154,7 @@ def cover_density(tokens: Column, terms: Column) -> Column:
 
         return X.let(last, lambda x: X.let(F.struct(x.alias("last"), F.array_min(x).alias("first")), with_first))
 
-    return F.aggregate(F.filter(at, lambda o: o["k"] > 0), start, step, lambda a: F.when(a["n"] > 0, a["score"]))
+    return F.aggregate(occurrences, start, step, lambda a: F.when(a["n"] > 0, a["score"]))
 
 
 #: Questions too short for tokens to decide where they stand literally are dealt in blocks of so many.
@@ -160,40 +165,45 @@ def sparse_matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score: rows of corpus (id, text) that hold every term of the query, or its first 100 characters as they
     stand. The score is the cover density of the terms, 0 for a row that holds the query only literally.
 
-    Candidates come from an inverted list of one term for each query, the one that fewest rows have; all else is decided on
-    those rows. A row that holds the characters has every whole token inside them, so their rarest inner token serves in
-    the same way. Only of queries without an inner token the characters are looked for in every text.
+    Texts are cut once into an inverted list of the queries' own tokens: (id, token, places). Candidates are the rows of
+    each query's rarest term; the lists of its other terms are joined to them, so texts do not travel. A row that holds the
+    characters has every whole token inside them, so their rarest inner token gives the rows in which they are looked for;
+    only of queries without an inner token they are looked for in every text.
     """
     low = F.lower(F.col("query_text"))
     asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("query_text"))).alias("terms"), F.substring(low, 1, 100).alias("needle"))
     cut = X.tokens(F.col("needle"))
     asked = saved(asked.withColumn("inner", F.array_distinct(F.when(F.size(cut) > 2, F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>")))), "questions")
-    tokens = corpus.select("id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
     every = asked.select(F.explode("terms").alias("token")).union(asked.select(F.explode("inner"))).distinct()
-    counts = sent(saved(tokens.join(sent(every), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "term-counts"))
+    places = corpus.select("id", F.posexplode(X.tokens(F.col("text"))).alias("p", "token")).join(sent(every), "token")
+    lists = saved(places.groupBy("id", "token").agg(F.sort_array(F.collect_list("p")).alias("ps")), "places")
+    counts = sent(saved(lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "term-counts"))
 
-    def rarest(of: str) -> DataFrame:
+    def candidates(of: str) -> DataFrame:
+        """query_id, id of the rows that hold the rarest of the tokens."""
         named = asked.select("query_id", F.explode(of).alias("token")).join(counts, "token", "left")
-        return named.groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+        rarest = named.groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+        return lists.select("id", "token").join(sent(saved(rarest, "rare-terms")), "token").select("query_id", "id")
 
-    chosen = saved(rarest("terms").union(rarest("inner")).distinct(), "rare-terms")
-    # A text is read and cut once for all queries that it is a candidate of.
-    asking = tokens.join(sent(chosen), "token").groupBy("id").agg(F.collect_set("query_id").alias("asking"))
+    terms = sent(asked.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "token")))
+    held = candidates("terms").join(terms, "query_id").join(lists, ["id", "token"]).groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.collect_list(F.struct("k", "ps")).alias("x"))
+    at = F.array_sort(F.flatten(F.transform("x", lambda t: F.transform(t["ps"], lambda p: F.struct(p.alias("p"), (t["k"] + 1).alias("k"))))))
+    found = held.where(F.size("x") == F.col("n_terms")).select("query_id", "id", covers(at, F.col("n_terms")).alias("score"))
     texts = corpus.select("id", F.lower("text").alias("t"))
-    held = texts.join(asking, "id").withColumn("words", F.regexp_extract_all("t", F.lit(X.TOKEN), F.lit(1)))
-    held = held.select("id", "t", "words", F.explode("asking").alias("query_id")).join(sent(asked.select("query_id", "terms", "needle")), "query_id")
-    complete = (F.size("terms") > 0) & F.forall("terms", lambda t: F.array_contains(F.col("words"), t))
-    held = held.withColumn("literal", F.contains("t", "needle")).withColumn("complete", complete).where("literal OR complete")
-    by_token = held.select("query_id", "id", F.coalesce(F.when(F.col("complete"), cover_density(F.col("words"), F.col("terms"))), F.lit(0.0)).alias("score"))
+    needles = sent(asked.select("query_id", "needle"))
+    # A text is read once for all queries that it is a candidate of.
+    asking = candidates("inner").groupBy("id").agg(F.collect_list("query_id").alias("asking"))
+    literal = texts.join(asking, "id").select("id", "t", F.explode("asking").alias("query_id")).join(needles, "query_id").where(F.contains("t", "needle"))
+    found = found.unionByName(literal.select("query_id", "id", F.lit(0.0).alias("score")))
     short = asked.where(F.size("inner") == 0).select("query_id", "needle")
     n = -(-short.count() // NEEDLES)
     if n:
         block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
         blocks = short.groupBy(block.alias("b")).agg(F.collect_list(F.struct("query_id", "needle")).alias("needles"))
         dealt = texts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(blocks) if n <= 16 else blocks, "b")
-        found = dealt.select("id", F.explode(F.filter("needles", lambda x: F.contains(F.col("t"), x["needle"]))).alias("x"))
-        by_token = by_token.unionByName(found.select("x.query_id", "id", F.lit(0.0).alias("score")))
-    return by_token.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score"))
+        hits = dealt.select("id", F.explode(F.filter("needles", lambda x: F.contains(F.col("t"), x["needle"]))).alias("x"))
+        found = found.unionByName(hits.select("x.query_id", "id", F.lit(0.0).alias("score")))
+    return found.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score"))
 
 
 def sparse_rank(corpus: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -46,7 +46,7 @@ def balances(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
 def verified(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """table_id, computed, declared, delta, valid. The amounts of the total's column but the total's row add up to it;
     then the rows balance. A table without a total is valid with nulls. Texts are read once, before the checks part."""
-    v = saved(scaled(cells), "cells")
+    v = saved(scaled(saved(cells, "cells")), "amounts")
     total = totals(v)
     sums = v.join(total, "table_id").where("c = total_col AND r <> total_row").groupBy("table_id").agg(F.sum("v").alias("s"))
     x = v.select("table_id").distinct().join(total, "table_id", "left").join(sums, "table_id", "left").join(balances(v, tolerance).withColumnRenamed("valid", "balanced"), "table_id")
