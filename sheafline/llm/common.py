@@ -102,11 +102,11 @@ def hash_sample(df: DataFrame, n: int, key: str = "doc_id", by: str | None = Non
 
 @contextmanager
 def lean(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Fewer rows per Arrow batch for the jobs run inside, where the session has the default of 10000: batches of whole
-    texts otherwise take tens of MB in the executor and again in its Python worker. The session's value is put back."""
+    """At most so many rows per Arrow batch for the jobs run inside: batches of whole texts or sets otherwise take tens of MB
+    in the executor and again in its Python worker. The session's value is put back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name, "10000")
-    if before == "10000":
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
     try:
         yield

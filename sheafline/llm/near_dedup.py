@@ -34,6 +34,10 @@ from . import shingles
 from .common import chunks_of, discard, lean, materialise, without
 
 
+#: A pair of sets is some 5 kB, of very long texts 300 kB and more; those of one centre stand together.
+PAIRS_PER_BATCH = 64
+
+
 @dataclass(frozen=True)
 class NearSpec:
     """words per shingle; similarity as a ratio of integers; permutations and values per band; rows per block and most
@@ -239,9 +243,10 @@ def components(docs: DataFrame, spec: NearSpec | None = None, name: Column | Non
         if sets.count() != wanted:  # ids repeat with one text
             sets = materialise(sets.groupBy("k").agg(F.first("s").alias("s")), "candidate-sets")
         able = star.where(spec.of * F.least("n", "zn") >= spec.similar * F.greatest("n", "zn")).select(F.col("z").alias("a"), F.col("x").alias("b"))
-        edges = materialise(linked_pairs(able, sets, spec), "links")
-        labels = materialise(connected(edges), "components")
-        more = materialise(_rest(star, labels, sets, spec), "more-links")
+        with lean(docs.sparkSession, PAIRS_PER_BATCH):
+            edges = materialise(linked_pairs(able, sets, spec), "links")
+            labels = materialise(connected(edges), "components")
+            more = materialise(_rest(star, labels, sets, spec), "more-links")
         if not more.isEmpty():
             labels = materialise(connected(edges.union(more)), "components")
     # A component's id is the smallest doc_id of its classes.
