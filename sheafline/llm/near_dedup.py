@@ -186,39 +186,44 @@ def _rest(star: DataFrame, labels: DataFrame, sets: DataFrame, spec: NearSpec) -
     return found.union(cells.groupBy("t", "i", "j").applyInArrow(compare, "a binary, b binary"))
 
 
-def _across(odd: np.ndarray, ids: list[bytes], component: list[bytes], sets: list[np.ndarray], spec: NearSpec) -> pa.Table:
-    """Links between the odd rows and the others that lie in different components, by products of incidence matrices."""
-    left, right = np.nonzero(odd)[0], np.nonzero(~odd)[0]
+def _across(odd: np.ndarray, ids: list[bytes], component: list[bytes], sets: list[np.ndarray], spec: NearSpec, most: int = 1_000_000) -> pa.Table:
+    """Links between the odd rows and the others that lie in different components, sets of most hashes at a time."""
+    size = np.array(list(map(len, sets)), np.int64)
+    _, comp = np.unique(np.array(component, object), return_inverse=True)
+
+    def parts(rows: np.ndarray) -> list[np.ndarray]:
+        return np.split(rows, np.nonzero(np.diff(np.cumsum(size[rows]) // most))[0] + 1) if len(rows) else []
+
     out: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
-        size = np.array(list(map(len, sets)), np.int64)
-        _, comp = np.unique(np.array(component, object), return_inverse=True)
-        where = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
-        _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        common = df > 1
-        slot = np.cumsum(common) - 1
-        fine = common[code]
-        where, code = where[fine], slot[code[fine]]
-        both = np.zeros((len(left), len(right)), np.float32)
-        place = np.full(len(sets), -1)
-        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
-        step = 8192  # columns of the incidence matrices at a time
-        order = np.argsort(code, kind="stable")
-        where, code = where[order], code[order]
-        for a in range(0, int(common.sum()), step):
-            lo, hi = np.searchsorted(code, [a, a + step])
-            w, c = where[lo:hi], code[lo:hi] - a
-            p, q = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-            p[place[w[odd[w]]], c[odd[w]]] = 1
-            q[place[w[~odd[w]]], c[~odd[w]]] = 1
-            both += p @ q.T
-        both = both.astype(np.int64)
-        union = size[left][:, None] + size[right][None, :] - both
-        i, j = np.nonzero((spec.of * both >= spec.similar * union) & (comp[left][:, None] != comp[right][None, :]))
-        out = [(ids[left[x]], ids[right[y]]) for x, y in zip(i, j, strict=True)]
+    for left in parts(np.nonzero(odd)[0]):
+        for right in parts(np.nonzero(~odd)[0]):
+            i, j = _links([sets[x] for x in left], [sets[x] for x in right], spec)
+            far = comp[left[i]] != comp[right[j]]
+            out += [(ids[left[x]], ids[right[y]]) for x, y in zip(i[far], j[far], strict=True)]
     return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
+def _links(left: list[np.ndarray], right: list[np.ndarray], spec: NearSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the similar pairs of two lists of sets, by products of incidence matrices of the hashes that repeat."""
+    sets, n = left + right, len(left)
+    size = np.array(list(map(len, sets)), np.int64)
+    where = np.repeat(np.arange(len(sets)), size)
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = df > 1
+    fine = common[code]
+    where, code = where[fine], (np.cumsum(common) - 1)[code[fine]]
+    order = np.argsort(code, kind="stable")
+    where, code = where[order], code[order]
+    both, step = np.zeros((n, len(right)), np.float32), 8192  # columns of the matrices at a time
+    for a in range(0, int(common.sum()), step):
+        lo, hi = np.searchsorted(code, [a, a + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[where[lo:hi], code[lo:hi] - a] = 1
+        both += m[:n] @ m[n:].T
+    both = both.astype(np.int64)
+    return np.nonzero(spec.of * both >= spec.similar * (size[:n, None] + size[None, n:] - both))
+
+
 def components(docs: DataFrame, spec: NearSpec | None = None, name: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (and name, a number that tells rows of one doc_id apart, if given): one row per
     row of docs."""

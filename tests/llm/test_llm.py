@@ -238,6 +238,19 @@ def test_near_passage_of_many_documents(spark):
         assert got == brute_near(rows, 4)
 
 
+def test_links_across_parts():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 400, 120)).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.05], rng.integers(1000, 9000, 3).astype(np.uint64)])) for b in base for _ in range(8)]
+    odd, comp = rng.random(48) > 0.6, [bytes([int(x)]) for x in rng.integers(0, 3, 48)]
+    ids = [bytes([i]) for i in range(48)]
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(ids[i], ids[j]) for i in range(48) for j in range(48) if odd[i] and not odd[j] and comp[i] != comp[j] and share(sets[i], sets[j]) >= 0.8}
+    for most in (50, 500, 10**6):
+        got = near_dedup._across(odd, ids, comp, sets, near_dedup.NearSpec(), most)
+        assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want and want
+
+
 def test_near_documents_of_one_id(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "other words stand here alone now"), (None, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"name": F.lit("clash"), "k": F.lit(1), "n_shingles": F.lit(2)})
