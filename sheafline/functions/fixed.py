@@ -77,6 +77,8 @@ SCALES = [
 ]
 # Without the words that may stand before a scale ("Rs. in"): they decide nothing.
 HEADER_SCALES = [("करोड़|करोड|crores?|cr", 10000000, "करोड़"), ("लाख|lakhs?|lacs?", 100000, "लाख"), ("हजार|हज़ार|thousands?|k", 1000, "हज़ार")]
+# Of each scale in that order: what every spelling holds in lower case. No "s", which a pattern without regard to case finds in "ſ" too.
+HEADER_SCALE_PARTS = [["करो", "cr"], ["लाख", "lakh", "lac"], ["हज", "thou", "k"]]
 TOTAL_WORDS = ["योग", "कुल", "कुल योग", "महायोग", "total", "grand total", "sum"]
 SANCTIONED = ["स्वीकृत", "आवंटन", "sanctioned", "allotted", "provision"]
 SPENT = ["व्यय", "expenditure", "spent"]

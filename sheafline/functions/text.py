@@ -59,19 +59,19 @@ def claims(text: Column) -> Column:
     """Statements of an answer: its lines without headers, JSON, preambles and negative remarks, else its sentences."""
     line_ok = lambda s: ~(
         (s == "") | s.rlike(r"^\s*[\"{}\[\]]") | s.rlike("(?i)" + fixed.JSON_KEYS) | s.startswith("#") | s.startswith("*(") | s.endswith(")*")
-        | s.contains("प्रमाणित प्रशासनिक संदर्भ") | (s.contains("शासनादेश संख्या") & s.contains("के अनुसार")) | _any(s, fixed.NEGATIVE_REMARKS)
+        | s.contains("प्रमाणित प्रशासनिक संदर्भ") | (s.contains("शासनादेश संख्या") & s.contains("के अनुसार")) | any_of(s, fixed.NEGATIVE_REMARKS)
     )
     lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), line_ok)
     lines = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^[*\-•\d.\s]+", ""), r"[*_]", "")))
     lines = F.filter(lines, lambda s: F.length(s) >= 15)
     sentences = F.filter(
         F.transform(F.split(text, r"[।.\n]+"), lambda s: F.trim(s)),
-        lambda s: (F.length(s) >= 15) & ~s.startswith("*(") & ~s.rlike(r"^\s*[\"{}\[\]]") & ~_any(s, fixed.NEGATIVE_REMARKS[:4]),
+        lambda s: (F.length(s) >= 15) & ~s.startswith("*(") & ~s.rlike(r"^\s*[\"{}\[\]]") & ~any_of(s, fixed.NEGATIVE_REMARKS[:4]),
     )
     return F.when(F.size(lines) > 0, lines).when(F.length(F.trim(text)) >= 20, sentences).otherwise(F.array().cast("array<string>"))
 
 
-def _any(s: Column, words: list[str]) -> Column:
+def any_of(s: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
         out = out | s.contains(w)

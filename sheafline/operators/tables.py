@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.money import DECIMAL, is_total, parse_money, role_of, scale_of
+from ..functions.money import DECIMAL, is_total, parse_money, role_of, scale_of, with_amount
 from ..sources.shared import saved, sent
 
 
 def valued(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("v", parse_money(F.col("t")))
+    return with_amount(cells, "t", "v")
 
 
 def scaled(cells: DataFrame) -> DataFrame:
-    """cells with v: amounts in the scale that the table's headers or first row name, where a cell names none. Tables in
-    which no cell or header names a scale, most of them, are read as they stand."""
+    """cells with v, written once: amounts in the scale that the table's headers or first row name, where a cell names
+    none. Tables in which no cell or header names a scale, most of them, are read as they stand."""
     names = F.coalesce(scale_of(F.col("header"))[1], scale_of(F.col("t"))[1]).isNotNull()
-    some = sent(saved(cells.where(names).select("table_id").distinct(), "scaled-tables"))
-    own = Window.partitionBy("table_id")
-    x = cells.join(some, "table_id", "left_semi").withColumn("head", F.when(F.col("r") == F.min("r").over(own), F.col("t")))
+    texts = saved(cells.select("table_id", "r", "c", "header", "t"), "cells")  # dealt evenly again, for the patterns
+    all_cells = saved(valued(texts).withColumn("names", names), "amounts")
+    some = saved(all_cells.where("names").select("table_id").distinct(), "scaled-tables")
+    if some.isEmpty():
+        return all_cells.drop("names")
+    some, own = sent(some), Window.partitionBy("table_id")
+    x = all_cells.drop("names", "v").join(some, "table_id", "left_semi").withColumn("head", F.when(F.col("r") == F.min("r").over(own), F.col("t")))
     x = x.withColumn("words", F.array_join(F.concat(F.collect_set("header").over(own), F.collect_list("head").over(own)), " "))
     x = x.withColumn("v", parse_money(F.col("t"), scale_of(F.col("words"))[0]))
-    return valued(cells.join(some, "table_id", "left_anti")).unionByName(x.drop("head", "words"))
+    return saved(all_cells.drop("names").join(some, "table_id", "left_anti").unionByName(x.select("table_id", "r", "c", "header", "t", "v")), "scaled-amounts")
 
 
 def totals(cells: DataFrame) -> DataFrame:
@@ -33,6 +37,18 @@ def totals(cells: DataFrame) -> DataFrame:
     return best.select("table_id", F.col("x.r").alias("total_row"), F.col("x.last.c").alias("total_col"), F.col("x.last.v").alias("total"))
 
 
+def sums(cells: DataFrame) -> DataFrame:
+    """table_id, total (as ``totals`` finds it, null without one) and s, the sum of the other amounts of its column. One
+    exchange and one sort of all cells: rows, tables and sums follow the same order."""
+    row, own = Window.partitionBy("table_id", "r"), Window.partitionBy("table_id")
+    x = cells.select("table_id", "r", "c", "v", is_total(F.col("t")).alias("named")).repartition("table_id").sortWithinPartitions("table_id", "r")
+    x = x.select("table_id", "r", "c", "v", F.max("named").over(row).alias("named"), F.max(F.when(F.col("v").isNotNull(), F.col("c"))).over(row).alias("last"))
+    x = x.withColumn("at", F.min(F.when(F.col("named") & F.col("last").isNotNull(), F.struct("r", F.col("last").alias("c")))).over(own))
+    column = F.col("c") == F.col("at.c")
+    total, others = F.when(column & (F.col("r") == F.col("at.r")), F.col("v")), F.when(column & (F.col("r") != F.col("at.r")), F.col("v"))
+    return x.groupBy("table_id").agg(F.max(total).alias("total"), F.sum(others).alias("s"))
+
+
 def balances(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """table_id, valid: sanctioned less spent is the balance in every row that has all three, each in the last column of
     its role; valid where a role has no column."""
@@ -45,11 +61,12 @@ def balances(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 def verified(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """table_id, computed, declared, delta, valid. The amounts of the total's column but the total's row add up to it;
-    then the rows balance. A table without a total is valid with nulls. Texts are read once, before the checks part."""
-    v = saved(scaled(saved(cells, "cells")), "amounts")
-    total = totals(v)
-    sums = v.join(total, "table_id").where("c = total_col AND r <> total_row").groupBy("table_id").agg(F.sum("v").alias("s"))
-    x = v.select("table_id").distinct().join(total, "table_id", "left").join(sums, "table_id", "left").join(balances(v, tolerance).withColumnRenamed("valid", "balanced"), "table_id")
+    then the rows balance. A table without a total is valid with nulls.
+
+    Texts are read once, before the checks part; only cells under a header of a role are looked at for the balance."""
+    v = scaled(cells)
+    balanced = balances(v.where(role_of(F.col("header")).isNotNull()), tolerance).withColumnRenamed("valid", "balanced")
+    x = sums(v).join(balanced, "table_id", "left").withColumn("balanced", F.coalesce("balanced", F.lit(True)))
     zero = F.lit(0).cast(DECIMAL)
     computed = F.when(F.col("total").isNotNull(), F.coalesce("s", zero).cast(DECIMAL))
     x = x.select("table_id", computed.alias("computed"), F.col("total").alias("declared"), "balanced").withColumn("delta", F.abs(F.col("computed") - F.col("declared")))
