@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +36,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, for an exchange."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows per Arrow batch for the jobs run inside; the session's value is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -237,3 +237,33 @@ def test_window_stream(spark, small, tmp_path):
     q = reviews.windowed(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_sums_take_one_exchange_of_the_cells(spark):
+    cells = [(1, 0, 0, "Item", "a"), (1, 0, 1, "Amount", "10"), (1, 0, 1, "Amount", "5"), (1, 1, 0, "Item", "Total"), (1, 1, 1, "Amount", "Rs. 1,015.00"), (1, 1, 1, "Amount", "15"), (1, 2, 1, "Amount", "1,000"), (2, 0, 0, "Item", None)]
+    out = tables.verified(spark.createDataFrame(cells, "table_id int, r int, c int, header string, t string"))
+    got = {r["table_id"]: (r["computed"], r["declared"], r["valid"]) for r in out.collect()}
+    assert [None if x is None else float(x) for x in got[1][:2]] == [1015, 1015] and got[1][2] and got[2] == (None, None, True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 2  # the cells, and those of a role: not once for each sum
+
+
+def test_sparse_matches_equal_the_fold_and_stay_in_place(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 25)))) for i in range(120)], "id long, text string")
+    asked = spark.createDataFrame([(j, " ".join(rng.choice("abcde") for _ in range(rng.randint(1, 4)))) for j in range(40)], "query_id long, query_text string")
+    out = retrieval.sparse_matches(docs, asked)
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z])"), F.lit(1))
+    both = docs.crossJoin(asked).withColumn("s", retrieval.cover_density(words(F.col("text")), F.array_distinct(words(F.col("query_text"))))).where("s IS NOT NULL OR contains(text, query_text)")
+    want = {(r["query_id"], r["id"]): r["s"] or 0.0 for r in both.collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_matches_texts_once(spark, monkeypatch):
+    calls, real = [], retrieval.sparse_matches
+    monkeypatch.setattr(retrieval, "sparse_matches", lambda *a: calls.append(a) or real(*a))
+    docs = spark.createDataFrame([(i, "one two three", "x", 2001, [1.0, float(i)]) for i in range(4)], "id long, text string, department string, year int, embedding array<double>")
+    asked = spark.createDataFrame([(1, "one two", [1.0, 0.5], "nowhere")], "query_id long, query_text string, embedding array<double>, department string")
+    assert retrieval.search(docs, asked, 2).count() == 2 and len(calls) == 1
