@@ -53,7 +53,7 @@ def scored_sql(k: int = 25, q: str = QUERIES_SQL, where: str = "") -> str:
 
 def found(spark, sf, k=25):
     """One query set without facets: the list that later queries score and check."""
-    return R.search(corpus(spark, sf), questions(spark, sf).drop("department"), k)
+    return R.search(corpus(spark, sf), questions(spark, sf).drop("department"), k, facts(spark, sf))
 
 
 @query("hybrid_search", f"SELECT * FROM {scored_sql()}")
@@ -127,7 +127,7 @@ GO_WHERE = "AND (q.go IS NULL OR contains(lower(c.go_number), lower(substr(q.go,
 @query("relevance_threshold", f"SELECT s.query_id, s.id, s.score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.place) AS INTEGER) AS place FROM {scored_sql(25, ORDERED_SQL, GO_WHERE)} s JOIN {ORDERED_SQL} o USING (query_id) WHERE o.go IS NOT NULL OR s.score >= 0.5")
 def relevance_threshold(spark, sf):
     q = questions(spark, sf).drop("department").withColumn("go", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("GO-"), (F.col("query_id") % 10).cast("string"))))
-    hits = R.search(corpus(spark, sf), q).withColumn("score", F.round("score", 6))
+    hits = R.search(corpus(spark, sf), q, facts=facts(spark, sf)).withColumn("score", F.round("score", 6))
     return R.relevant(hits, q).select("query_id", "id", "score", "place")
 
 
@@ -146,7 +146,7 @@ def facet_filter(spark, sf):
   SELECT query_id, place, id FROM strict UNION ALL SELECT query_id, place, id FROM loose""")
 def relax_dept(spark, sf):
     q = questions(spark, sf).withColumn("department", F.when(F.col("query_id") % 4 == 0, "nowhere").otherwise(F.col("department")))
-    return R.search(corpus(spark, sf), q, 5).select("query_id", "place", "id")
+    return R.search(corpus(spark, sf), q, 5, facts(spark, sf)).select("query_id", "place", "id")
 
 
 RELAX_SQL = f"(SELECT query_id, query_text, embedding, CASE WHEN query_id % 4 = 0 THEN 'nowhere' ELSE department END AS department, CASE WHEN query_id % 3 = 0 THEN 1990 ELSE 2000 + query_id % 9 END AS y1, CASE WHEN query_id % 3 = 0 THEN 1991 ELSE 2020 END AS y2, CASE WHEN query_id % 2 = 0 THEN '1' || query_id % 10 END AS go FROM {QUERIES_SQL})"
@@ -163,7 +163,7 @@ def relax_go(spark, sf):
         "department": F.when(n % 4 == 0, "nowhere").otherwise(F.col("department")), "year_from": F.when(n % 3 == 0, 1990).otherwise(2000 + n % 9).cast("int"),
         "year_to": F.when(n % 3 == 0, 1991).otherwise(2020).cast("int"), "go": F.when(n % 2 == 0, F.concat(F.lit("1"), (n % 10).cast("string"))),
     })
-    return R.search(corpus(spark, sf), q, 5).select("query_id", "place", "id")
+    return R.search(corpus(spark, sf), q, 5, facts(spark, sf)).select("query_id", "place", "id")
 
 
 @query("context_top6", f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS r FROM {scored_sql()}) WHERE r <= 6")
